@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.functions.geometry import cell_of, cells_near, foot, squared_gap
@@ -22,6 +22,9 @@ GEOMETRY = ("x1", "y1", "x2", "y2")
 DENSE_CELL = 20_000
 # Tables of at most this many rows are broadcast (two small columns each).
 SMALL_TABLE = 200_000
+# Up to this many undecided points are tried once more, this many times farther out.
+FEW_POINTS = 20_000
+WIDER = 8
 
 
 def as_pieces(points: DataFrame) -> DataFrame:
@@ -29,9 +32,20 @@ def as_pieces(points: DataFrame) -> DataFrame:
     return points.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x"), "y2": F.col("y")})
 
 
-def _register(pieces: DataFrame, cell: float, reach: float) -> DataFrame:
-    spread = pieces.withColumn("_at", F.explode(cells_near(cell, reach)))
-    return spread.withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+def _register(pieces: DataFrame, cell: float, reach: float, once: bool = False) -> DataFrame:
+    """One row per piece and cell within ``reach``; ``once`` forbids repeats of long pieces."""
+    if once:
+        spread = pieces.withColumn("_at", F.explode(cells_near(cell, reach)))
+        return spread.withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / cell)).cast("int")
+    walked = pieces.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+
+    def span(start, step):
+        a, b = F.col(start) + step * F.col("_i") / F.col("_n"), F.col(start) + step * (F.col("_i") + 1) / F.col("_n")
+        return F.explode(F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell)))
+
+    return walked.withColumn("_cx", span("x1", dx)).withColumn("_cy", span("y1", dy)).drop("_n", "_i")
 
 
 def _located(points: DataFrame, cell: float) -> DataFrame:
@@ -85,8 +99,19 @@ def nearest(
     if within is not None:
         missing = _located(missing, cell).join(crowded.select(*by, "_cx", "_cy"), [*by, "_cx", "_cy"], "left_semi")
     missing = cut(missing.select(*pts.columns))
-    if missing.isEmpty():
+    left = missing.count()
+    if left == 0:
         return best
+    if within is None and not any_dense and left <= FEW_POINTS:
+        wide = _located(missing, cell * WIDER)
+        wide_net = _register(net, cell * WIDER, reach * WIDER)
+        hits = _score(F.broadcast(wide), wide_net, [*by, "_cx", "_cy"], differ).where(F.col("_d2") <= (reach * WIDER) ** 2)
+        second = cut(_best(hits, point_id, [*by, "_cx", "_cy"], key, carry))
+        best = best.unionByName(second)
+        found = second.count()
+        if found == left:
+            return best
+        missing = missing.join(second.select(point_id), point_id, "left_anti")
     rest = _tree_search(missing, net, point_id, key, by, carry, cell / 16 if any_dense else cell, differ)
     if within is not None:
         rest = rest.where(F.col("dist") <= within)
@@ -153,9 +178,12 @@ def _tree_search(points, pieces, point_id, key, by, carry, cell, differ) -> Data
         gap_x = F.greatest(low_x - F.col("x"), F.col("x") - (low_x + side), F.lit(0.0))
         gap_y = F.greatest(low_y - F.col("y"), F.col("y") - (low_y + side), F.lit(0.0))
         step = step.withColumns({"_low": gap_x * gap_x + gap_y * gap_y, "_up": F.least(F.col("_u"), *[bound(r) for r in reps])})
-        limit = step.groupBy(point_id).agg(F.min("_up").alias("_best"))
-        kept = step.join(limit, point_id).where(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-6)
-        found = cut(kept.select(*points.columns, F.col("_kx").alias("_cx"), F.col("_ky").alias("_cy"), F.col("_best").alias("_u")))
+        # the cells of one point are few, so this window never holds a large group
+        step = step.withColumn("_best", F.min("_up").over(Window.partitionBy(point_id)))
+        kept = step.where(F.col("_low") <= F.col("_best") * (1 + 1e-9) + 1e-6)
+        found = kept.select(*points.columns, F.col("_kx").alias("_cx"), F.col("_ky").alias("_cy"), F.col("_best").alias("_u"))
+        if level % 3 == 2:
+            found = cut(found)
     leaves = leaves.withColumns({"_cx": F.col("_cx") - x0, "_cy": F.col("_cy") - y0})
     hits = _score(found.drop("_u"), leaves, [*by, "_cx", "_cy"], differ)
     return _best(hits, point_id, by, key, carry)
@@ -185,7 +213,7 @@ def within_distance(
     if clash:
         raise ValueError(f"rename columns present on both sides: {clash}")
     on = [*by, "_cx", "_cy"]
-    pairs = _score(_located(points, side), _register(pieces, side, r), on, None).where(F.col("_d2") <= r * r)
+    pairs = _score(_located(points, side), _register(pieces, side, r, once=True), on, None).where(F.col("_d2") <= r * r)
     back = {f"_p_{c}": c for c in pieces.columns if c not in on}
     return (
         pairs.withColumnsRenamed(back).withColumnsRenamed({"_t": "t"}).withColumn("dist", F.sqrt("_d2")).drop("_cx", "_cy", "_d2")
