@@ -82,15 +82,18 @@ def owner_split(incidents: DataFrame, owner: str = "owner") -> DataFrame:
     )
 
 
+def _scoped(cells: DataFrame) -> DataFrame:
+    """Rows of a small count table once for "all" and, where ``_fatal``, once for "fatal"."""
+    return cells.withColumn("scope", F.explode(F.when(F.col("_fatal"), F.array(F.lit("all"), F.lit("fatal"))).otherwise(F.array(F.lit("all")))))
+
+
 def owner_split_range(incidents: DataFrame, owner: str = "owner", corner: str = "is_corner") -> DataFrame:
     """Surface split with its upper bound: corner cases moved to the state route (AG6)."""
-    surface = C.flag(F.col(owner).isin(*C.SURFACE_OWNERS))
-    groups = F.explode(F.array(*[F.struct(F.lit(g).alias("scope"), ok.alias("take")) for g, ok in (("all", F.lit(True)), ("fatal", C.is_fatal()))]))
-    scoped = incidents.select(owner, corner, "severity", groups.alias("_g")).where("_g.take")
-    per = scoped.groupBy(F.col("_g.scope").alias("scope")).agg(
-        F.count_if(surface).alias("surface"), F.count_if(C.flag(F.col(owner) == C.CITY)).alias("city"),
-        F.count_if(C.flag(F.col(owner) == C.STATE_ROUTE)).alias("state"), F.count_if(C.flag(F.col(corner))).alias("corner"),
-        F.count_if(C.flag(F.col(owner).isin(*C.LIMITED_OWNERS))).alias("limited"),
+    cells = incidents.groupBy(F.col(owner).alias("o"), C.flag(F.col(corner)).alias("c"), C.is_fatal().alias("_fatal")).agg(F.count(F.lit(1)).alias("n"))
+    count = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0))
+    per = _scoped(cells).groupBy("scope").agg(
+        count(F.col("o").isin(*C.SURFACE_OWNERS)).alias("surface"), count(F.col("o") == C.CITY).alias("city"), count(F.col("o") == C.STATE_ROUTE).alias("state"),
+        count(F.col("c")).alias("corner"), count(F.col("o").isin(*C.LIMITED_OWNERS)).alias("limited"),
     )
     return per.select(
         "*", C.percent("city", "surface").alias("city_pct"), C.percent("state", "surface").alias("state_pct"),
@@ -120,9 +123,9 @@ def totals_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def scoped_shares(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """How many (fatal) incidents meet each predicate, in rows ``scope, n, <test>, <test>_pct`` (AG11, AG15)."""
-    groups = F.explode(F.array(*[F.struct(F.lit(g).alias("scope"), ok.alias("take")) for g, ok in (("all", F.lit(True)), ("fatal", C.is_fatal()))]))
-    scoped = df.withColumn("_g", groups).where("_g.take")
-    per = scoped.groupBy(F.col("_g.scope").alias("scope")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(C.flag(t)).alias(k) for k, t in tests.items()])
+    cells = df.groupBy(C.is_fatal().alias("_fatal"), *[C.flag(t).alias(k) for k, t in tests.items()]).agg(F.count(F.lit(1)).alias("_n"))
+    met = [F.coalesce(F.sum(F.when(F.col(k), F.col("_n"))), F.lit(0)).alias(k) for k in tests]
+    per = _scoped(cells).groupBy("scope").agg(F.sum("_n").alias("n"), *met)
     return per.select("scope", "n", *[e for k in tests for e in (F.col(k), C.percent(k, "n").alias(f"{k}_pct"))])
 
 
@@ -212,13 +215,12 @@ def mix_by_keyword(df: DataFrame, name: str, labels: Sequence[str], keywords: Se
 def trailing_windows(incidents: DataFrame, by: Sequence[str], months: Sequence[int] = (12, 6, 3, 1), date: str = "incident_date") -> DataFrame:
     """Incidents and deaths in all data and the last months, counted back from the data's last
     date (WN7). Months clamp at month end."""
-    latest = incidents.agg(F.max(date).alias("_last"))  # one row
-    dated = incidents.join(F.broadcast(latest))
-    inside = lambda m: C.flag(F.col(date) >= F.add_months(F.col("_last"), -m))
+    last = F.lit(incidents.agg(F.max(date)).first()[0])
+    inside = lambda m: C.flag(F.col(date) >= F.add_months(last, -m))
     cols = [F.count(F.lit(1)).alias("all_n"), n_fatal().alias("all_fatal")]
     for m in months:
         cols += [F.count_if(inside(m)).alias(f"m{m}_n"), F.count_if(inside(m) & C.is_fatal()).alias(f"m{m}_fatal")]
-    return dated.groupBy(*by).agg(*cols)
+    return incidents.groupBy(*by).agg(*cols)
 
 
 def coverage_dates(incidents: DataFrame, date: str = "incident_date") -> DataFrame:
