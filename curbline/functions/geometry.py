@@ -102,4 +102,5 @@ def capsule_interval(r: float, a=("ax", "ay"), b=("bx", "by"), p=("px", "py"), q
     e0, e1 = disc(qx, qy)
     t0 = F.least(F.when(band, lo), d0, e0)
     t1 = F.greatest(F.when(band, hi), d1, e1)
-    return F.greatest(t0, F.lit(0.0)), F.least(t1, F.lit(1.0))
+    # greatest and least skip nulls: no hit must stay null
+    return F.when(t0.isNotNull(), F.greatest(t0, F.lit(0.0))), F.when(t1.isNotNull(), F.least(t1, F.lit(1.0)))

@@ -12,7 +12,7 @@ from curbline.functions.geometry import METRES_PER_FOOT, METRES_PER_MILE
 from curbline.operators import aggregates as A
 from curbline.operators import network as N
 from curbline.operators.chains import along_nearest, longest_gap, measured, spacing_and_gaps
-from curbline.operators.crossings import crossings_between, line_crossings
+from curbline.operators.crossings import crossings_between, meeting_points
 from curbline.operators.graph import cluster_points
 from curbline.operators.overlap import _pairs
 from curbline.operators.scan import percentiles
@@ -92,10 +92,7 @@ def crossing_points(points: DataFrame, ref: DataFrame, through: DataFrame, *, po
 
 def junction_points(ref: DataFrame, through: DataFrame) -> DataFrame:
     """Where each reference line meets differently named through-roads (LR5): ``street, x, y``."""
-    slim = ["street", "x1", "y1", "x2", "y2"]
-    met = line_crossings(ref.select(*slim).unionByName(through.select(*slim)))
-    sides = met.select(F.explode(F.array("name_a", "name_b")).alias("street"), "x", "y")
-    return sides.join(ref.select("street").distinct(), "street", "left_semi").distinct()
+    return meeting_points(ref, through)
 
 
 def junction_signals(crossings: DataFrame, ref: DataFrame, corners: DataFrame, *, point_id: str = "crossing_id", r: float = 30.0) -> DataFrame:

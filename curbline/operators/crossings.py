@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.functions.geometry import cells_near
@@ -24,11 +24,9 @@ def _sides(pieces: DataFrame, name: str, mark: str) -> DataFrame:
     return spread.withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
 
 
-def _meet(left: DataFrame, right: DataFrame, name: str, ordered: bool) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, name: str, keep: Column) -> DataFrame:
     """``name_a, name_b, x, y``: crossings, touching ends, middles of shared runs; 1 mm apart."""
-    pairs = _sides(left, name, "a").join(_sides(right, name, "b"), ["_cx", "_cy"])
-    if ordered:
-        pairs = pairs.where(F.col("name_a") < F.col("name_b"))
+    pairs = _sides(left, name, "a").join(_sides(right, name, "b"), ["_cx", "_cy"]).where(keep)
     c = F.col
     boxes = (
         (F.least("ax1", "ax2") <= F.greatest("bx1", "bx2") + _SAFE) & (F.least("bx1", "bx2") <= F.greatest("ax1", "ax2") + _SAFE)
@@ -95,13 +93,19 @@ def _rounded(points: DataFrame) -> DataFrame:
 
 def line_crossings(pieces: DataFrame, *, name: str = "street") -> DataFrame:
     """Crossing points of every pair of differently named lines, names in order (JN9)."""
-    return _meet(pieces, pieces, name, ordered=True)
+    return _meet(pieces, pieces, name, F.col("name_a") < F.col("name_b"))
 
 
 def crossings_between(left: DataFrame, right: DataFrame, *, name: str = "street") -> DataFrame:
     """Crossing points of each named line of ``left`` with the union of ``right`` (JN10)."""
     one = right.withColumn(name, F.lit("*"))
-    return _meet(left, one, name, ordered=False).drop("name_b", "crossing_key").withColumnRenamed("name_a", name)
+    return _meet(left, one, name, F.lit(True)).drop("name_b", "crossing_key").withColumnRenamed("name_a", name)
+
+
+def meeting_points(left: DataFrame, right: DataFrame, *, name: str = "street") -> DataFrame:
+    """Where each line of ``left`` meets differently named lines of ``right``: ``name, x, y``."""
+    met = _meet(left, right, name, F.col("name_a") != F.col("name_b"))
+    return met.select(F.col("name_a").alias(name), "x", "y").distinct()
 
 
 def endpoint_nodes(pieces: DataFrame, *, name: str = "street", grid: float = 1.0) -> DataFrame:
