@@ -5,7 +5,7 @@ A line is the set of its straight pieces (x1, y1, x2, y2), all in metres.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRES_PER_MILE = 1609.344
@@ -63,44 +63,44 @@ def cell_of(value, cell: float) -> Column:
     return F.floor(col(value) / cell)
 
 
-def capsule_interval(r: float, a=("ax", "ay"), b=("bx", "by"), p=("px", "py"), q=("qx", "qy")) -> tuple[Column, Column]:
-    """Shares [t0, t1] of piece a-b that lie within ``r`` of piece p-q (null when none).
+def with_capsule_interval(df: DataFrame, r: float, t0: str, t1: str, *, keep_misses: bool = False) -> DataFrame:
+    """``df`` plus the shares [t0, t1] of piece a-b within ``r`` of piece p-q.
 
+    Rows without any are dropped, or kept with nulls (``keep_misses``).
     The r-neighbourhood of p-q is convex (a band closed by two discs), so a straight piece
     meets it in one interval: the hull of its intervals with the band and with both discs.
+    Columns: ax, ay, bx, by and px, py, qx, qy. Computed in steps, so that no term repeats.
     """
-    ax, ay, bx, by = (col(c) for c in (*a, *b))
-    px, py, qx, qy = (col(c) for c in (*p, *q))
-    dx, dy, ex, ey = bx - ax, by - ay, qx - px, qy - py
-    dd = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    ee = ex * ex + ey * ey
-
-    def disc(cx, cy):
-        wx, wy = ax - cx, ay - cy
-        half = wx * dx + wy * dy
-        root = half * half - dd * (wx * wx + wy * wy - r * r)
-        ok = root >= 0
-        return F.when(ok, (-half - F.sqrt(root)) / dd), F.when(ok, (-half + F.sqrt(root)) / dd)
+    c = F.col
+    kept = df.columns
+    step = df.withColumns(
+        {"_dx": c("bx") - c("ax"), "_dy": c("by") - c("ay"), "_ex": c("qx") - c("px"), "_ey": c("qy") - c("py"), "_wx": c("ax") - c("px"), "_wy": c("ay") - c("py"), "_vx": c("ax") - c("qx"), "_vy": c("ay") - c("qy")}
+    )
+    dot = lambda a, b: c(f"_{a}x") * c(f"_{b}x") + c(f"_{a}y") * c(f"_{b}y")
+    cross = lambda a, b: c(f"_{a}x") * c(f"_{b}y") - c(f"_{a}y") * c(f"_{b}x")
+    step = step.withColumns({"_dd": dot("d", "d"), "_ee": dot("e", "e"), "_hp": dot("w", "d"), "_hq": dot("v", "d"), "_bs": dot("w", "e"), "_ds": dot("d", "e"), "_bc": cross("w", "e"), "_dc": cross("d", "e"), "_ww": dot("w", "w"), "_vv": dot("v", "v")})
+    step = step.withColumn("_dd", F.nullif("_dd", F.lit(0.0))).withColumns(
+        {"_rp": c("_hp") * c("_hp") - c("_dd") * (c("_ww") - r * r), "_rq": c("_hq") * c("_hq") - c("_dd") * (c("_vv") - r * r), "_wide": r * F.sqrt("_ee")}
+    )
 
     def linear(base, slope, low, high):
-        # base + t * slope within [low, high]
-        first, second = (low - base) / F.nullif(slope, F.lit(0.0)), (high - base) / F.nullif(slope, F.lit(0.0))
-        flat = slope == 0
-        inside = (base >= low) & (base <= high)
-        return (
-            F.when(flat, F.when(inside, F.lit(-1e18)).otherwise(F.lit(1e18))).otherwise(F.least(first, second)),
-            F.when(flat, F.when(inside, F.lit(1e18)).otherwise(F.lit(-1e18))).otherwise(F.greatest(first, second)),
-        )
-
-    wx, wy = ax - px, ay - py
-    s0, s1 = linear(wx * ex + wy * ey, dx * ex + dy * ey, F.lit(0.0), ee)
-    width = F.lit(r) * F.sqrt(ee)
-    p0, p1 = linear(wx * ey - wy * ex, dx * ey - dy * ex, -width, width)
-    lo, hi = F.greatest(s0, p0), F.least(s1, p1)
-    band = (ee > 0) & (lo <= hi)
-    d0, d1 = disc(px, py)
-    e0, e1 = disc(qx, qy)
-    t0 = F.least(F.when(band, lo), d0, e0)
-    t1 = F.greatest(F.when(band, hi), d1, e1)
+        # base + t * slope within [low, high]; a flat line is inside everywhere or nowhere
+        one, two = (low - c(base)) / F.nullif(c(slope), F.lit(0.0)), (high - c(base)) / F.nullif(c(slope), F.lit(0.0))
+        inside = (c(base) >= low) & (c(base) <= high)
+        first = F.when(c(slope) != 0, F.least(one, two)).when(inside, F.lit(-1e18)).otherwise(F.lit(1e18))
+        last = F.when(c(slope) != 0, F.greatest(one, two)).when(inside, F.lit(1e18)).otherwise(F.lit(-1e18))
+        return first, last
+
+    s0, s1 = linear("_bs", "_ds", F.lit(0.0), c("_ee"))
+    w0, w1 = linear("_bc", "_dc", -c("_wide"), c("_wide"))
+    disc = lambda h, root, sign: F.when(c(root) >= 0, (-c(h) + sign * F.sqrt(root)) / c("_dd"))
+    step = step.withColumns({"_lo": F.greatest(s0, w0), "_hi": F.least(s1, w1), "_p0": disc("_hp", "_rp", -1), "_p1": disc("_hp", "_rp", 1), "_q0": disc("_hq", "_rq", -1), "_q1": disc("_hq", "_rq", 1)})
+    band = (c("_ee") > 0) & (c("_lo") <= c("_hi"))
+    step = step.withColumns({"_c0": F.least(F.when(band, c("_lo")), "_p0", "_q0"), "_c1": F.greatest(F.when(band, c("_hi")), "_p1", "_q1")})
     # greatest and least skip nulls: no hit must stay null
-    return F.when(t0.isNotNull(), F.greatest(t0, F.lit(0.0))), F.when(t1.isNotNull(), F.least(t1, F.lit(1.0)))
+    hit = c("_c0").isNotNull() & (F.greatest("_c0", F.lit(0.0)) <= F.least("_c1", F.lit(1.0)))
+    found = F.struct(F.greatest("_c0", F.lit(0.0)).alias("t0"), F.least("_c1", F.lit(1.0)).alias("t1"))
+    # a generator, not a filter: Catalyst would push the filter, all terms spelled out, to the join
+    miss = F.array(F.lit(None).cast("struct<t0:double,t1:double>")) if keep_misses else F.array().cast("array<struct<t0:double,t1:double>>")
+    out = step.select(*kept, F.explode(F.when(hit, F.array(found)).otherwise(miss)).alias("_iv"))
+    return out.select(*kept, F.col("_iv.t0").alias(t0), F.col("_iv.t1").alias(t1))

@@ -12,7 +12,7 @@ from curbline.functions import columns as C
 from curbline.functions.geometry import METRES_PER_MILE, piece_length
 from curbline.operators.aggregates import dominant, n_fatal
 from curbline.operators.graph import cluster_points
-from curbline.operators.overlap import buffer_overlap, name_present
+from curbline.operators.overlap import overlap_measures
 from curbline.operators.spatial import nearest, nearest_point, points_in_polygon
 
 
@@ -33,13 +33,9 @@ class Rulebook:
 
 def segment_measures(segments: DataFrame, routes: DataFrame, rules: Rulebook) -> DataFrame:
     """Segments with ``len, ov10, ov8, ov_same, name_hit``: how much they run beside routes."""
-    out = segments.withColumn("len", piece_length())
-    out = out.join(buffer_overlap(segments, routes, rules.wide, out="ov10"), "seg_id", "left")
-    out = out.join(buffer_overlap(segments, routes, rules.tight, out="ov8"), "seg_id", "left")
-    named = segments.where(F.col("name_key") != "")
-    out = out.join(buffer_overlap(named, routes, rules.wide, by=["name_key"], out="ov_same"), "seg_id", "left")
-    hit = name_present(segments, routes, rules.wide, key="name_key").withColumn("name_hit", F.lit(True))
-    out = out.join(hit, "seg_id", "left")
+    beside = overlap_measures(segments, routes, wide=rules.wide, tight=rules.tight, key="name_key")
+    beside = beside.withColumnsRenamed({"ov_wide": "ov10", "ov_tight": "ov8"})
+    out = segments.withColumn("len", piece_length()).join(beside, "seg_id", "left")
     return out.fillna(0.0, ["ov10", "ov8", "ov_same"]).fillna(False, ["name_hit"])
 
 

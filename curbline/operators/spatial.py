@@ -83,8 +83,10 @@ def nearest(
     reach = cell if within is None else within
     cell = max(cell, reach / 4)
     registered = _register(net, cell, reach)
-    crowded = cut(registered.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense))
+    crowded = registered.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense)
     any_dense = not crowded.isEmpty()
+    if any_dense:
+        crowded = cut(crowded)
     here = _located(pts, cell)
     easy = here
     if any_dense:

@@ -25,9 +25,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+_SCENES: dict[tuple[str, str], Scene] = {}
+
+
+def scene(spark: SparkSession, folder: str) -> Scene:
+    """One scene per session and folder: the tables it wrote are read again, not recomputed."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SCENES:
+        _SCENES[key] = Scene(spark, folder)
+    return _SCENES[key]
+
+
+def forget_scenes() -> None:
+    """Drop all shared tables, so that the next query computes everything itself."""
+    _SCENES.clear()
+
+
 def query(name: str, check: str | None = None):
     def keep(build: Callable[[Scene], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Scene(spark, folder))
+        QUERIES[name] = lambda spark, folder: build(scene(spark, folder))
         if check is not None:
             CHECKS[name] = Q.sql(check)
         return build
@@ -325,7 +341,7 @@ def _(s: Scene):
     return A.owner_split_range(s.classified)
 
 
-@query("ag07_threshold_sensitivity", f"SELECT t * 1e0 AS limit_m, {Q.n('dist <= t')} AS within, {Q.pct(Q.n('dist <= t'), 'count(*)')} AS within_pct FROM incident_route CROSS JOIN (VALUES (10), (20), (30), (40), (50)) v(t) GROUP BY t")
+@query("ag07_threshold_sensitivity", f"SELECT lim * 1e0 AS limit_m, {Q.n('dist <= lim')} AS within, {Q.pct(Q.n('dist <= lim'), 'count(*)')} AS within_pct FROM incident_route CROSS JOIN (VALUES (10), (20), (30), (40), (50)) v(lim) GROUP BY lim")
 def _(s: Scene):
     hit = P.nearest(s.incidents, s.routes, point_id="incident_id", key=["route_id"], cell=500.0)
     return A.threshold_sensitivity(hit, "dist", (10, 20, 30, 40, 50))
@@ -493,7 +509,7 @@ def _(s: Scene):
     return R.under_tag_impact(s.classified, s.rulebook, under=0.05, gap_names=("VALLEY1",))
 
 
-@query("ag31_gap_percentiles", "SELECT share, CAST(floor(quantile_cont(g, share) * 10 + 0.500001) AS BIGINT) AS gap_dm FROM (SELECT sqrt(" + Q.gap2() + ") AS g FROM met a JOIN met b ON a.name_a = b.name_a AND a.crossing_key < b.crossing_key AND " + Q.gap2() + " <= 62500e0) q CROSS JOIN (VALUES (0.5e0), (0.75e0), (0.9e0), (0.95e0), (0.99e0), (1e0)) v(share) GROUP BY share")
+@query("ag31_gap_percentiles", "SELECT share, CAST(floor(v * 10 + 0.500001) AS BIGINT) AS gap_dm FROM (SELECT unnest([0.5e0, 0.75e0, 0.9e0, 0.95e0, 0.99e0, 1e0]) AS share, unnest(quantile_cont(g, [0.5, 0.75, 0.9, 0.95, 0.99, 1])) AS v FROM (SELECT sqrt(" + Q.gap2() + ") AS g FROM met a JOIN met b ON a.name_a = b.name_a AND a.crossing_key < b.crossing_key AND " + Q.gap2() + " <= 62500e0 AND (a.name_a = b.name_a)) q) u")
 def _(s: Scene):
     # the lattice has no divided roads, so gaps along one street (up to a block) stand in
     one = s.met.withColumn("name_b", F.lit("*"))
@@ -590,7 +606,7 @@ def _(s: Scene):
     return A.deaths_running(s.ranking)
 
 
-@query("wn05_first_match", f"SELECT signal_id, seg_id FROM signal_segment")
+@query("wn05_first_match", f"SELECT signal_id, seg_id FROM signal_segment WHERE dist <= 125")
 def _(s: Scene):
     from pyspark.sql import Window
 
