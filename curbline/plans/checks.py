@@ -274,6 +274,11 @@ def _views() -> dict[str, str]:
         "UNION ALL SELECT d.signal_id, i.incident_id, i.severity FROM net_dist d JOIN net_inc i ON i.nb = d.node WHERE d.d + i.o1 <= 300 "
         "UNION ALL SELECT s.signal_id, i.incident_id, i.severity FROM net_start s JOIN net_inc i ON i.seg_id = s.seg_id WHERE abs(s.d0 - i.o0) <= 300) q"
     )
+    # pieces that share an end point exactly, and pieces whose ends lie within 1 m
+    v["net_piece_link"] = "SELECT DISTINCT a.e // 2 AS a, b.e // 2 AS b FROM net_ends a JOIN net_ends b ON a.predir = b.predir AND a.x = b.x AND a.y = b.y"
+    v["net_piece_reach"] = "SELECT seg_id AS a, seg_id AS b FROM pieces UNION SELECT r.a, l.b FROM net_piece_reach r JOIN net_piece_link l ON l.a = r.b"
+    v["net_touch_link"] = f"SELECT DISTINCT a.e // 2 AS a, b.e // 2 AS b FROM net_ends a JOIN net_ends b ON a.predir = b.predir AND {gap2()} <= 1e0"
+    v["net_touch_reach"] = "SELECT seg_id AS a, seg_id AS b FROM pieces UNION SELECT r.a, l.b FROM net_touch_reach r JOIN net_touch_link l ON l.a = r.b"
     # search
     v["base_words"] = "SELECT street, regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g') AS base FROM streets"
     v["street_index"] = (
