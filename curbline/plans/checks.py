@@ -279,6 +279,8 @@ def _views() -> dict[str, str]:
     v["net_piece_reach"] = "SELECT seg_id AS a, seg_id AS b FROM pieces UNION SELECT r.a, l.b FROM net_piece_reach r JOIN net_piece_link l ON l.a = r.b"
     v["net_touch_link"] = f"SELECT DISTINCT a.e // 2 AS a, b.e // 2 AS b FROM net_ends a JOIN net_ends b ON a.predir = b.predir AND {gap2()} <= 1e0"
     v["net_touch_reach"] = "SELECT seg_id AS a, seg_id AS b FROM pieces UNION SELECT r.a, l.b FROM net_touch_reach r JOIN net_touch_link l ON l.a = r.b"
+    v["net_piece_cluster"] = "SELECT p.seg_id, p.predir, min(r.b) AS c FROM pieces p JOIN net_touch_reach r ON r.a = p.seg_id GROUP BY ALL"
+    v["net_chain_end"] = "SELECT e.predir, e.x, e.y, c.c FROM net_ends e JOIN net_piece_cluster c ON c.seg_id = e.e // 2 QUALIFY count(*) OVER (PARTITION BY e.predir, e.x, e.y) <> 2"
     # search
     v["base_words"] = "SELECT street, regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g') AS base FROM streets"
     v["street_index"] = (

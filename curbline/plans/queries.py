@@ -516,7 +516,11 @@ def _(s: Scene):
     return scan.percentiles(X.same_pair_gaps(one, 250.0), "dist", [0.5, 0.75, 0.9, 0.95, 0.99, 1.0]).select("share", dm("value").alias("gap_dm"))
 
 
-@query("ag32_nn_distance_profile", None)
+_NN = Q.nearest_place("signals", "signal_id", "(SELECT signal_id AS other, x, y FROM signals)", "other", "a.signal_id <> b.other")
+
+
+@query("ag32_nn_distance_profile", f"SELECT measure, round(v, 3) AS value FROM (SELECT unnest(['p10', 'p25', 'p50', 'p75', 'p90', 'p95']) AS measure, unnest(quantile_cont(dist, [0.1, 0.25, 0.5, 0.75, 0.9, 0.95])) AS v FROM ({_NN}) q) z UNION ALL "
+       + " UNION ALL ".join(f"SELECT 'within_{k}', {Q.pct(Q.n(f'dist <= {k}'), 'count(*)')} FROM ({_NN}) q" for k in (5, 15, 25, 40)))
 def _(s: Scene):
     return K.nn_profile(s.signals.select("signal_id", "x", "y"), point_id="signal_id").withColumn("value", F.round("value", 3))
 

@@ -109,7 +109,8 @@ def _(s: Scene):
     return whole.groupBy("predir").agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("pieces"))
 
 
-@query("gr04_real_gaps")
+@query("gr04_real_gaps", f"SELECT predir, chains, clusters, {Q.dm('gap')} AS gap_dm, gap > 15 AS real_gap FROM (SELECT predir, count(DISTINCT c) AS clusters FROM net_piece_cluster GROUP BY predir) k JOIN (SELECT predir, CAST(count(*) // 2 AS BIGINT) AS chains FROM net_chain_end GROUP BY predir) n USING (predir) "
+       f"JOIN (SELECT a.predir, min(sqrt({Q.gap2()})) AS gap FROM net_chain_end a JOIN net_chain_end b ON a.predir = b.predir AND a.c <> b.c GROUP BY a.predir) g USING (predir)")
 def _(s: Scene):
     out = N.real_gaps(s.net_chains, s.net, by=["predir"])
     return out.select("predir", "chains", "clusters", dm("nearest_gap").alias("gap_dm"), "real_gap")
@@ -375,10 +376,10 @@ def _folder(s: Scene, name: str) -> str:
 
 
 def _write_pages(df, path: str, item: str = "features") -> None:
-    """Pages of about 500 features, one JSON document per line of a text file per page group."""
-    page = F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(64))
+    """Pages of about 500 features, one JSON document per file, however many features there are."""
+    page = F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(max(1, df.count() // 500)))
     pages = df.groupBy(page.alias("page")).agg(F.collect_list(F.struct(*df.columns)).alias(item))
-    pages.select(item, "page").repartition(16, "page").write.partitionBy("page").option("ignoreNullFields", "true").json(path)
+    pages.select(item, "page").repartition("page").write.partitionBy("page").option("ignoreNullFields", "true").json(path)
 
 
 _PERSON = T.StructType([T.StructField("incident_id", T.LongType()), T.StructField("person_seq", T.LongType()), T.StructField("injury", T.StringType()), T.StructField("lat", T.DoubleType())])
