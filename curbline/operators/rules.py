@@ -47,6 +47,7 @@ def tag_segments(measured: DataFrame, rules: Rulebook) -> DataFrame:
         forced = forced | F.col("seg_id").isin(*rules.forced_ids)
     pct = lambda c: F.format_string("%.0f%%", 100 * F.col(c))
     name = F.initcap(F.lower("street"))
+    # Rule names and the sentence stated for each.
     ladder = [
         (F.col("mtfcc") == "S1100", C.INTERSTATE, "interstate_mainline", F.lit("interstate: MTFCC S1100")),
         (F.col("mtfcc") == "S1630", C.RAMP, "interstate_ramp", F.lit("interstate ramp: MTFCC S1630")),
