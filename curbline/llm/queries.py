@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import mixing
+from curbline.llm import minhash, mixing
 from curbline.llm.common import table
 
 
@@ -12,5 +12,9 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_systematic_mix,)}
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op3_systematic_mix, op5_minhash_near_duplicates)}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
