@@ -12,6 +12,16 @@ from curbline.session import cut
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number within a partition in its low 33 bits
 
 
+BATCH_ROWS = 500
+
+
+def python_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts may be long, and a batch is held whole by a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbline.llm.common import python_batches
 from curbline.llm.shingles import mix64, shingle_set
 from curbline.operators.graph import connected_components
 from curbline.session import cut
@@ -102,6 +103,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept per row of ``docs`` (doc_id, text)."""
+    python_batches(docs.sparkSession)
     signed = cut(signatures(docs, width, bands, rows))
     classes = signed.where(F.col("vid").isNotNull()).groupBy("vid").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import minhash, mixing
+from curbline.llm import bpe, minhash, mixing
 from curbline.llm.common import table
 
 
@@ -16,5 +16,9 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_systematic_mix, op5_minhash_near_duplicates)}
+def op8_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_systematic_mix, op5_minhash_near_duplicates, op8_matrix_bpe)}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
