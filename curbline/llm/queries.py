@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curbline.llm import bpe, minhash, mixing
+from curbline.llm import bpe, minhash, mixing, repeats
 from curbline.llm.common import table
 
 
@@ -20,5 +20,9 @@ def op8_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_systematic_mix, op5_minhash_near_duplicates, op8_matrix_bpe)}
+def op10_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"), length=400)
+
+
+QUERIES = {f.__name__: f for f in (op3_systematic_mix, op5_minhash_near_duplicates, op8_matrix_bpe, op10_prefix_free_repeats)}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
