@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curbline.llm import bpe, minhash, mixing, repeats
+from curbline.llm import bpe, language, minhash, mixing, quality, repeats
 from curbline.llm.common import table
 
 
@@ -24,5 +25,21 @@ def op10_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"), length=400)
 
 
-QUERIES = {f.__name__: f for f in (op3_systematic_mix, op5_minhash_near_duplicates, op8_matrix_bpe, op10_prefix_free_repeats)}
+def op7_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language.remainder(5) == 0
+    stats = quality.with_statistics(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.scored(stats, quality.fit(stats, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), language.remainder(4) == 2
+    found = language.identify(docs.select("doc_id", "text"), *language.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_systematic_mix, op5_minhash_near_duplicates, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language, op10_prefix_free_repeats,
+)}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
