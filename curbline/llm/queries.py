@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, language, minhash, mixing, quality, repeats
+from curbline.llm import bpe, language, minhash, mixing, quality, rans, repeats
 from curbline.llm.common import table
+from curbline.session import scratch_dir
 
 
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark).rstrip('/')}/curbline-ids-{uuid.uuid4().hex}"
+    rans.write(table(spark, sf_dir, "documents"), folder)
+    return rans.digests(rans.read(spark, folder))
+
+
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -40,6 +49,6 @@ def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_systematic_mix, op5_minhash_near_duplicates, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language, op10_prefix_free_repeats,
+    op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language, op10_prefix_free_repeats,
 )}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
