@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, language, minhash, mixing, quality, rans, repeats
+from curbline.llm import bpe, imatch, language, minhash, mixing, quality, rans, repeats
 from curbline.llm.common import table
 from curbline.session import scratch_dir
 
 
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,6 +53,6 @@ def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language, op10_prefix_free_repeats,
+    op2_imatch_fingerprints, op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language, op10_prefix_free_repeats,
 )}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
