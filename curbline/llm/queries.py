@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, imatch, language, minhash, mixing, quality, rans, repeats
+from curbline.llm import bpe, collisions, imatch, language, minhash, mixing, quality, quotes, rans, repeats
 from curbline.llm.common import table
 from curbline.session import scratch_dir
 
 
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op10_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"), length=400)
 
 
+def op6_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.threads(table(spark, sf_dir, "conversations"))
+
+
 def op7_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language.remainder(5) == 0
     stats = quality.with_statistics(table(spark, sf_dir, "documents"))
@@ -53,6 +61,7 @@ def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_imatch_fingerprints, op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language, op10_prefix_free_repeats,
+    op1_collision_counting, op2_imatch_fingerprints, op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op6_quotation_threads, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language,
+    op10_prefix_free_repeats,
 )}
 CHECKS = {"op3_systematic_mix": mixing.check_sql()}
