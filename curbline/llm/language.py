@@ -125,8 +125,8 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np
 _PART_CHARS = 1_000_000  # characters explained at a time
 
 
-def identify(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``. Clashing names are replaced."""
+def identify(docs: DataFrame, languages: list[str], table: np.ndarray, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` plus the predicted language and its share. Clashing names are replaced."""
     python_batches(docs.sparkSession)
     names = np.array([*languages, UNDETERMINED], object)
 
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
             yield pd.DataFrame({"lang_pred": names[np.concatenate(best)] if best else [], "score": np.concatenate(score) if score else np.empty(0)})
 
     found = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
-    return docs.withColumn("_found", found).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    return docs.withColumn("_found", found).withColumns({out[0]: F.col("_found.lang_pred"), out[1]: F.col("_found.score")}).drop("_found")
 
 
 def remainder(modulus: int) -> Column:

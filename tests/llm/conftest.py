@@ -1,30 +1,26 @@
-import itertools
-import re
+import sys
+from pathlib import Path
 
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-def jaccard_components(rows, width, percent):
-    """Brute force: (doc_id, text) -> {doc_id: (set size, component)} over all pairs."""
-    sets = {}
-    for doc, text in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        sets[doc] = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for a, b in itertools.combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-            n = len(x & y)
-            if 100 * n >= percent * (len(x) + len(y) - n):
-                p, q = sorted((find(a), find(b)))
-                root[q] = p
-    return {d: (len(s), find(d)) for d, s in sets.items()}
+from conftest_llm import jaccard_components, make, odd_rows  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def odd():
+    return odd_rows()
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark, odd):
+    return make(spark, odd)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return make(spark, [])
 
 
 @pytest.fixture(scope="session")
