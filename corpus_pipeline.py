@@ -18,8 +18,8 @@ LEAST_SHARE = 0.4  # of its main language, in a document that stays
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language; those without a letter, or of no language for the most part, go."""
-    found = language.identify(docs, *language.fit(docs), out=("_language", "_share"))
-    return found.where((F.col("_language") != language.UNDETERMINED) & (F.col("_share") >= LEAST_SHARE)).select(*docs.columns)
+    found = language.identify(docs.select("text", F.struct("*").alias("row")), *language.fit(docs))
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

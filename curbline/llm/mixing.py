@@ -64,12 +64,10 @@ def mix(docs: DataFrame, *, share: float = 1.5, weights: Sequence[int] = (3, 1,
 
 def emit(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``plan`` (of ``mix``) takes it, with the columns of ``docs``."""
-    taken = plan.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("_copies")).where(F.col("_copies") > 0)
-    taken = taken.withColumnsRenamed({"doc_id": "_d", "source": "_s", "text_hash": "_h"})
-    rows = docs.withColumn("_th", F.xxhash64("text")).groupBy("doc_id", "source", "_th").agg(*[F.first(c).alias(c) for c in docs.columns if c not in ("doc_id", "source")])
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_th") == F.col("_h"))
-    each = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    return rows.join(taken, same).select(*docs.columns, each).drop("_copy")
+    taken = plan.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("copies")).where(F.col("copies") > 0)
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row")).groupBy("doc_id", "source", "text_hash").agg(F.first("row").alias("row"))
+    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & rows["source"].eqNullSafe(taken["source"]) & (rows["text_hash"] == taken["text_hash"])
+    return rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def check_sql(share: float = 1.5, weights: Sequence[int] = (3, 1, 2), most: float = 2.0, seed: str = "mix") -> str:
