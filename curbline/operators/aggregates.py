@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curbline.functions import columns as C
 from curbline.functions.geometry import METRES_PER_MILE
 from curbline.operators.scan import running_totals
+from curbline.session import cut
 
 
 
@@ -52,6 +53,7 @@ def corridor_ranking(incidents: DataFrame, *, street: str = "street", owner: str
     cells = known.groupBy(F.col(street).alias("street"), F.col(owner).alias("owner"), "speed", "lanes").agg(
         F.count(F.lit(1)).alias("total"), n_fatal().alias("fatal"), F.count_if(C.flag(F.col("severity") == C.SERIOUS)).alias("serious")
     )
+    cells = cut(cells)  # incidents are read and folded once for the four parts below
     base = cells.groupBy("street").agg(*[F.sum(c).alias(c) for c in ("total", "fatal", "serious")])
     own = dominant(cells, ["street"], "owner", out="dominant_owner", share="owner_share", weight=F.col("total"))
     parts = base.join(own, "street", "left")
@@ -205,10 +207,17 @@ def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def mix_by_keyword(df: DataFrame, name: str, labels: Sequence[str], keywords: Sequence[str]) -> DataFrame:
-    """Label mix of rows whose name contains a whole word (AG21). Names are split into words and
-    met with the word list by an equi join; labels are folded per name first."""
+    """Label mix of rows whose name contains whole words (AG21). Names are split into runs of as many
+    words as the keywords have; labels are folded per name first."""
     per = df.groupBy(F.upper(F.col(name)).alias("_name"), *labels).agg(F.count(F.lit(1)).alias("_n"))
-    words = per.withColumn("keyword", F.explode(F.array_distinct(F.split(F.col("_name"), r"[^A-Z0-9_]+"))))
+    per = per.withColumn("_w", F.split(F.col("_name"), r"[^A-Z0-9_]+"))
+
+    def runs(size: int) -> Column:
+        starts = F.when(F.size("_w") >= size, F.sequence(F.lit(1), F.size("_w") - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, F.lit(size)), " "))
+
+    sizes = sorted({len(k.split()) for k in keywords})
+    words = per.withColumn("keyword", F.explode(F.array_distinct(F.concat(*[runs(k) for k in sizes])))) if sizes else per.withColumn("keyword", F.lit("")).limit(0)
     return words.where(F.col("keyword").isin(*keywords)).groupBy("keyword", *labels).agg(F.sum("_n").alias("n"))
 
 

@@ -18,8 +18,10 @@ def signature(incidents: DataFrame) -> DataFrame:
 
 def change_probe(old_rows: DataFrame, new_rows: DataFrame, *, key: str = "incident_id", date: str = "incident_date", days: int = OVERLAP_DAYS) -> DataFrame:
     """One row (ING1): new ids, vanished ids and row counts since ``days`` before the last known date."""
-    floor = F.date_sub(F.lit(old_rows.agg(F.max(date)).first()[0]), days)
-    recent = lambda df, side: df.where(F.col(date) >= floor).groupBy(key).agg(F.count(F.lit(1)).alias(side))
+    last = old_rows.agg(F.max(date)).first()[0]
+    # a first load has no last date: everything is new then
+    since = F.lit(True) if last is None else F.col(date) >= F.date_sub(F.lit(last), days)
+    recent = lambda df, side: df.where(since).groupBy(key).agg(F.count(F.lit(1)).alias(side))
     both = recent(old_rows, "old_n").join(recent(new_rows, "new_n"), key, "full_outer")
     out = both.agg(
         F.count_if(F.col("old_n").isNull()).alias("new_ids"), F.count_if(F.col("new_n").isNull()).alias("gone_ids"),
@@ -41,8 +43,8 @@ def merge_by_key(old: DataFrame, new: DataFrame, *, key: str = "incident_id") ->
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def gate(name: str, df: DataFrame, *, ok: Column, value: Column) -> DataFrame:
-    return df.select(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), value.cast("bigint").alias("value"))
+def gate(name: str, *, ok: Column, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), value.cast("bigint").alias("value"))
 
 
 def quality_gates(old: DataFrame, new: DataFrame, *, least_share: float = 0.9, may_lose: int = 5, may_gain: int = 75) -> DataFrame:
@@ -54,17 +56,14 @@ def quality_gates(old: DataFrame, new: DataFrame, *, least_share: float = 0.9, m
     both = ask(old, "old").join(ask(new, "new"), "_one")  # one row each
     c = F.col
     gates = [
-        gate("enough_rows", both, ok=c("new_n") >= least_share * c("old_n"), value=c("new_n")),
-        gate("parts_sum", both, ok=c("new_surface") + c("new_limited") == c("new_n"), value=c("new_surface") + c("new_limited")),
-        gate("streets_sum", both, ok=c("new_named") == c("new_n"), value=c("new_named")),
-        gate("not_shrunk", both, ok=c("new_n") >= c("old_n") - may_lose, value=c("new_n") - c("old_n")),
-        gate("not_exploded", both, ok=c("new_n") <= c("old_n") + may_gain, value=c("new_n") - c("old_n")),
-        gate("date_not_back", both, ok=c("new_last") >= c("old_last"), value=F.date_diff(c("new_last"), c("old_last"))),
+        gate("enough_rows", ok=c("new_n") >= least_share * c("old_n"), value=c("new_n")),
+        gate("parts_sum", ok=c("new_surface") + c("new_limited") == c("new_n"), value=c("new_surface") + c("new_limited")),
+        gate("streets_sum", ok=c("new_named") == c("new_n"), value=c("new_named")),
+        gate("not_shrunk", ok=c("new_n") >= c("old_n") - may_lose, value=c("new_n") - c("old_n")),
+        gate("not_exploded", ok=c("new_n") <= c("old_n") + may_gain, value=c("new_n") - c("old_n")),
+        gate("date_not_back", ok=c("new_last") >= c("old_last"), value=F.date_diff(c("new_last"), c("old_last"))),
     ]
-    out = gates[0]
-    for one in gates[1:]:
-        out = out.unionByName(one)
-    return out
+    return both.select(F.explode(F.array(*gates)).alias("_g")).select("_g.*")
 
 
 def require(gates: DataFrame) -> None:

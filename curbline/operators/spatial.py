@@ -114,9 +114,7 @@ def nearest(
         if found == left:
             return best
         missing = missing.join(second.select(point_id), point_id, "left_anti")
-    rest = _tree_search(missing, net, point_id, key, by, carry, cell / 16 if any_dense else cell, differ)
-    if within is not None:
-        rest = rest.where(F.col("dist") <= within)
+    rest = _tree_search(missing, net, point_id, key, by, carry, cell / 16 if any_dense else cell, differ, within)
     return best.unionByName(rest)
 
 
@@ -141,7 +139,7 @@ def _best(hits: DataFrame, point_id: str, group: Sequence[str], key, carry) -> D
     return best.select(point_id, *fields, F.col("_b._t").alias("t"), F.sqrt("_b._d2").alias("dist"))
 
 
-def _tree_search(points, pieces, point_id, key, by, carry, cell, differ) -> DataFrame:
+def _tree_search(points, pieces, point_id, key, by, carry, cell, differ, within=None) -> DataFrame:
     """Exact nearest search from coarse to fine cells, for points the first pass left over.
 
     A level holds its occupied cells with one point on a piece of each cell. Per point and
@@ -188,6 +186,8 @@ def _tree_search(points, pieces, point_id, key, by, carry, cell, differ) -> Data
             found = cut(found)
     leaves = leaves.withColumns({"_cx": F.col("_cx") - x0, "_cy": F.col("_cy") - y0})
     hits = _score(found.drop("_u"), leaves, [*by, "_cx", "_cy"], differ)
+    if within is not None:
+        hits = hits.where(F.col("_d2") <= within * within)  # the same test as in the first pass
     return _best(hits, point_id, by, key, carry)
 
 

@@ -121,8 +121,8 @@ def _views() -> dict[str, str]:
     for c in ("speed", "lanes"):
         v[f"street_{c}"] = f"SELECT street, {c} FROM (SELECT street, {c}, count(*) AS k FROM classed WHERE {c} <> 0 GROUP BY ALL) q QUALIFY row_number() OVER (PARTITION BY street ORDER BY k DESC, {c}) = 1"
     v["ranking"] = (
-        f"SELECT t.street, total, fatal, serious, b.owner AS dominant_owner, b.k * 1e0 / b.al < 0.9e0 AS mixed_owner, p.speed, l.lanes FROM (SELECT street, count(*) AS total, {n(chr(39).join(['severity = ', 'Fatal', '']))} AS fatal, "
-        f"{n(chr(39).join(['severity = ', 'Suspected Serious Injury', '']))} AS serious FROM classed GROUP BY street) t JOIN street_best b USING (street) LEFT JOIN street_speed p USING (street) LEFT JOIN street_lanes l USING (street)"
+        f"SELECT t.street, total, fatal, serious, b.owner AS dominant_owner, b.k * 1e0 / b.al < 0.9e0 AS mixed_owner, p.speed, l.lanes FROM (SELECT street, count(*) AS total, {n("severity = 'Fatal'")} AS fatal, "
+        f"{n("severity = 'Suspected Serious Injury'")} AS serious FROM classed GROUP BY street) t JOIN street_best b USING (street) LEFT JOIN street_speed p USING (street) LEFT JOIN street_lanes l USING (street)"
     )
     v["iv10"], v["iv8"] = capsule("streets", "routes", 10), capsule("streets", "routes", 8)
     v["iv_same"] = capsule("streets", "routes", 10, "s.name_key = r.name_key")

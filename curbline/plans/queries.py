@@ -132,7 +132,7 @@ def _(s: Scene):
     return s.person_rows.groupBy(C.good_location().alias("good")).agg(F.count(F.lit(1)).alias("people"))
 
 
-@query("flt02_severity_light_design", f"SELECT {Q.n(chr(34)[:0] + 'true')} AS crashes, {Q.n('severity = $Fatal$'.replace('$', chr(39)))} AS fatal, {Q.n('light LIKE $Dark%$'.replace('$', chr(39)))} AS dark, {Q.n('light = $Dark-Not Lighted$'.replace('$', chr(39)))} AS unlit, "
+@query("flt02_severity_light_design", f"SELECT {Q.n('true')} AS crashes, {Q.n("severity = 'Fatal'")} AS fatal, {Q.n("light LIKE 'Dark%'")} AS dark, {Q.n("light = 'Dark-Not Lighted'")} AS unlit, "
        f"{Q.n('lanes >= 4')} AS wide, {Q.n('speed >= 40')} AS fast, {Q.n('lanes >= 4 AND speed >= 40')} AS wide_and_fast FROM named")
 def _(s: Scene):
     return s.named.agg(F.count(F.lit(1)).alias("crashes"), A.n_fatal().alias("fatal"), F.count_if(C.is_dark()).alias("dark"), F.count_if(C.is_unlit()).alias("unlit"),
@@ -159,10 +159,10 @@ def _(s: Scene):
 _ODD = "CASE seg_id % 5 WHEN 0 THEN concat('INTERSTATE ', CAST(ln AS VARCHAR(20))) WHEN 1 THEN concat('240 E TO ', name) WHEN 2 THEN concat('I-', CAST(ln AS VARCHAR(20)), ' TO ', name) WHEN 3 THEN concat(name, ' TOWER') ELSE street END"
 
 
-@query("flt05_interstate_names", f"SELECT mainline, ramp, count(*) AS segments FROM (SELECT contains(nm, 'INTERSTATE') AS mainline, regexp_matches(nm, '\\bTO\\b') AND regexp_matches(nm, '\\b(?:I[- ]?\\d|240|269|55|40)\\b') AND NOT contains(nm, 'INTERSTATE') AS ramp FROM (SELECT {_ODD} AS nm FROM streets) a) b GROUP BY ALL")
+@query("flt05_interstate_names", f"SELECT mainline, ramp, count(*) AS segments FROM (SELECT contains(nm, 'INTERSTATE') AS mainline, regexp_matches(nm, '\\bTO\\b') AND (regexp_matches(nm, '\\bI[- ]?[0-9]') OR list_has_any(string_split_regex(nm, '[^A-Z0-9]+'), ['240', '55'])) AND NOT contains(nm, 'INTERSTATE') AS ramp FROM (SELECT {_ODD} AS nm FROM streets) a) b GROUP BY ALL")
 def _(s: Scene):
     nm = s.streets.select(F.expr(_ODD).alias("nm"))
-    return nm.groupBy(C.is_mainline("nm").alias("mainline"), C.is_ramp_name("nm").alias("ramp")).agg(F.count(F.lit(1)).alias("segments"))
+    return nm.groupBy(C.is_mainline("nm").alias("mainline"), C.is_ramp_name("nm", ("240", "55")).alias("ramp")).agg(F.count(F.lit(1)).alias("segments"))
 
 
 @query("flt06_road_class", f"SELECT {Q.THROUGH} AS through, mtfcc IN ('S1100', 'S1630') AS separated, count(*) AS segments FROM streets GROUP BY 1, 2")
@@ -331,7 +331,7 @@ def _(s: Scene):
 
 
 _RANGE = " UNION ALL ".join(
-    f"SELECT '{scope}' AS scope, {Q.n('owner IN ($City$, $State route$)'.replace('$', chr(39)))} AS surface, {Q.n('owner = $City$'.replace('$', chr(39)))} AS city, {Q.n('owner = $State route$'.replace('$', chr(39)))} AS state, {Q.n('is_corner')} AS corner, {Q.n('is_limited')} AS limited FROM classified WHERE {ok}"
+    f"SELECT '{scope}' AS scope, {Q.n("owner IN ('City', 'State route')")} AS surface, {Q.n("owner = 'City'")} AS city, {Q.n("owner = 'State route'")} AS state, {Q.n('is_corner')} AS corner, {Q.n('is_limited')} AS limited FROM classified WHERE {ok}"
     for scope, ok in (("all", "true"), ("fatal", FATAL))
 )
 
@@ -450,9 +450,9 @@ def _(s: Scene):
     return A.transitions(_both_methods(s), "owner_before", "owner")
 
 
-@query("ag21_label_mix_by_keyword", f"SELECT keyword, a.owner AS owner_before, b.owner, count(*) AS n FROM {_FIRST} a JOIN classified b USING (incident_id) JOIN (VALUES ('HICKORY2'), ('VALLEY4'), ('HICKORY1'), ('ST')) k(keyword) ON regexp_matches(b.street, concat('\\b', keyword, '\\b')) GROUP BY ALL")
+@query("ag21_label_mix_by_keyword", f"SELECT keyword, a.owner AS owner_before, b.owner, count(*) AS n FROM {_FIRST} a JOIN classified b USING (incident_id) JOIN (VALUES ('HICKORY2'), ('VALLEY4'), ('HICKORY1'), ('ST'), ('E HICKORY5')) k(keyword) ON regexp_matches(b.street, concat('\\b', keyword, '\\b')) GROUP BY ALL")
 def _(s: Scene):
-    return A.mix_by_keyword(_both_methods(s), "street", ["owner_before", "owner"], ("HICKORY2", "VALLEY4", "HICKORY1", "ST"))
+    return A.mix_by_keyword(_both_methods(s), "street", ["owner_before", "owner"], ("HICKORY2", "VALLEY4", "HICKORY1", "ST", "E HICKORY5"))
 
 
 @query("ag22_signal_clusters", f"SELECT crossing_id, n_signals, n_heads, n_buttons, n_routes, {Q.dm('x')} AS x_dm, {Q.dm('y')} AS y_dm, dom_route, dom_street FROM xings JOIN x_dom_route USING (crossing_id) JOIN x_dom_street USING (crossing_id)")
@@ -504,7 +504,7 @@ def _(s: Scene):
     return out.withColumns({"covered_miles": F.round("covered_miles", 3), "under_miles": F.round("under_miles", 3)})
 
 
-@query("ag30_under_tag_impact", f"SELECT count(*) AS city, {Q.n('ov_same >= 0.05')} AS under_tagged, {Q.n('ov_same >= 0.05 AND ' + FATAL)} AS under_tagged_fatal, {Q.n('c.street LIKE $%VALLEY1%$'.replace('$', chr(39)))} AS layer_gap, {Q.n('c.street LIKE $%VALLEY1%$ AND '.replace('$', chr(39)) + FATAL)} AS layer_gap_fatal FROM classified c JOIN rulebook b USING (seg_id) WHERE b.owner = 'City'")
+@query("ag30_under_tag_impact", f"SELECT count(*) AS city, {Q.n('ov_same >= 0.05')} AS under_tagged, {Q.n('ov_same >= 0.05 AND ' + FATAL)} AS under_tagged_fatal, {Q.n("c.street LIKE '%VALLEY1%'")} AS layer_gap, {Q.n("c.street LIKE '%VALLEY1%' AND " + FATAL)} AS layer_gap_fatal FROM classified c JOIN rulebook b USING (seg_id) WHERE b.owner = 'City'")
 def _(s: Scene):
     return R.under_tag_impact(s.classified, s.rulebook, under=0.05, gap_names=("VALLEY1",))
 
@@ -549,7 +549,7 @@ def _(s: Scene):
     return A.name_quality_flags(s.streets.select("street").distinct())
 
 
-@query("ag37_interstate_audit", f"SELECT street, count(*) AS crashes, {Q.n(FATAL)} AS fatal, {Q.n('a.owner = $City$'.replace('$', chr(39)))} AS was_city, {Q.n('a.owner = $State route$'.replace('$', chr(39)))} AS was_state, (SELECT string_agg(CAST(v AS VARCHAR), '/' ORDER BY v) FROM (SELECT DISTINCT unnest(list(speed)) AS v) u WHERE v > 0) AS speeds FROM {_FIRST} a JOIN classified b USING (incident_id) WHERE mtfcc = 'S1100' GROUP BY street")
+@query("ag37_interstate_audit", f"SELECT street, count(*) AS crashes, {Q.n(FATAL)} AS fatal, {Q.n("a.owner = 'City'")} AS was_city, {Q.n("a.owner = 'State route'")} AS was_state, (SELECT string_agg(CAST(v AS VARCHAR), '/' ORDER BY v) FROM (SELECT DISTINCT unnest(list(speed)) AS v) u WHERE v > 0) AS speeds FROM {_FIRST} a JOIN classified b USING (incident_id) WHERE mtfcc = 'S1100' GROUP BY street")
 def _(s: Scene):
     return R.interstate_audit(_both_methods(s))
 
@@ -669,9 +669,10 @@ def _(s: Scene):
 @query("st03_snapshot_ids", "SELECT 'gone' AS change, count(*) AS n FROM old_snap WHERE incident_id NOT IN (SELECT incident_id FROM new_snap) UNION ALL SELECT 'kept', count(*) FROM old_snap WHERE incident_id IN (SELECT incident_id FROM new_snap) UNION ALL SELECT 'new', count(*) FROM new_snap WHERE incident_id NOT IN (SELECT incident_id FROM old_snap)")
 def _(s: Scene):
     old, new = s.old_snapshot.select("incident_id"), s.new_snapshot.select("incident_id")
-    parts = [("gone", old.subtract(new)), ("kept", old.intersect(new)), ("new", new.subtract(old))]
-    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("change"), "n") for k, df in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    both = old.withColumn("_o", F.lit(1)).join(new.withColumn("_w", F.lit(1)), "incident_id", "full_outer")
+    tests = {"gone": F.col("_w").isNull(), "kept": F.col("_o").isNotNull() & F.col("_w").isNotNull(), "new": F.col("_o").isNull()}
+    counts = both.agg(*[F.count_if(test).alias(k) for k, test in tests.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("change"), F.col(k).alias("n")) for k in tests])).alias("_c")).select("_c.*")
 
 
 @query("st04_name_pairs", "SELECT DISTINCT name_a, name_b FROM met")

@@ -59,7 +59,9 @@ def scan_polygon(spark: SparkSession, path: str, *, polygon: str = "polygon_id")
     shape = T.StructType([T.StructField("rings", LINES)])
     empty = T.StructType([])
     rows = _pages(spark, path, empty, shape, "attributes").select(F.xxhash64(F.to_json("f.geometry")).alias(polygon), F.col("f.geometry.rings").alias("_r"))
-    return lines_to_pieces(rows.where(F.size("_r") > 0), F.col("_r")).select(polygon, "x1", "y1", "x2", "y2")
+    # the same feature on two pages must not cancel itself in the parity
+    rows = rows.where(F.size("_r") > 0).dropDuplicates([polygon])
+    return lines_to_pieces(rows, F.col("_r")).select(polygon, "x1", "y1", "x2", "y2")
 
 
 def scan_points(spark: SparkSession, path: str, attributes: T.StructType, *, lon: str, lat: str) -> DataFrame:
