@@ -62,18 +62,18 @@ ROUND6 = "round({0}, 6)"
        "SELECT *, cos(p1) / sqrt(1 - ec * ec * sin(p1) * sin(p1)) AS m1, cos(p2) / sqrt(1 - ec * ec * sin(p2) * sin(p2)) AS m2, tan(pi() / 4 - p1 / 2) / pow((1 - ec * sin(p1)) / (1 + ec * sin(p1)), ec / 2) AS t1, "
        "tan(pi() / 4 - p2 / 2) / pow((1 - ec * sin(p2)) / (1 + ec * sin(p2)), ec / 2) AS t2, tan(pi() / 4 - p0 / 2) / pow((1 - ec * sin(p0)) / (1 + ec * sin(p0)), ec / 2) AS t0 FROM ("
        "SELECT person_seq, incident_id, radians(lat) AS ph, radians(lon) AS la, sqrt(2e0 / 298.257222101e0 - 1e0 / (298.257222101e0 * 298.257222101e0)) AS ec, radians(36.4166666667e0) AS p1, radians(35.25e0) AS p2, radians(34.3333333333e0) AS p0 "
-       "FROM person_rows WHERE lat > 1) a) b) c) d) e")
+       "FROM person_rows) a) b) c) d) e")
 def _(s: Scene):
     x, y = to_plane()
-    return s.person_rows.where("lat > 1").select("person_seq", "incident_id", dm(x).alias("x_dm"), dm(y).alias("y_dm"))
+    return s.person_rows.select("person_seq", "incident_id", dm(x).alias("x_dm"), dm(y).alias("y_dm"))
 
 
-@query("prj01_inverse", "SELECT incident_id, person_seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM person_rows WHERE lat > 1")
+@query("prj01_inverse", "SELECT incident_id, person_seq, round(lat, 6) + 0e0 AS lat, round(lon, 6) + 0e0 AS lon FROM person_rows")
 def _(s: Scene):
     x, y = to_plane()
     lat, lon = to_degrees("px", "py")
-    there = s.person_rows.where("lat > 1").select("incident_id", "person_seq", x.alias("px"), y.alias("py"))
-    return there.select("incident_id", "person_seq", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+    there = s.person_rows.select("incident_id", "person_seq", x.alias("px"), y.alias("py"))
+    return there.select("incident_id", "person_seq", (F.round(lat, 6) + 0.0).alias("lat"), (F.round(lon, 6) + 0.0).alias("lon"))  # + 0.0: no negative zero
 
 
 @query("prj02_street_name", "SELECT seg_id, CASE WHEN seg_id % 7 = 0 THEN 'OLD MILL RD' ELSE concat(predir, ' ', name, ' ', type, ' N') END AS street FROM streets")

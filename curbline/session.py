@@ -25,6 +25,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -47,4 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/curbline-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Remove all tables that ``cut`` wrote in this session; results that still read them must have been stored."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in map(hadoop, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

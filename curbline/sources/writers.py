@@ -11,10 +11,10 @@ from curbline.functions import columns as C
 
 
 def write_table(df: DataFrame, path: str, *, by: Sequence[str] = ()) -> None:
-    """Parquet, optionally in folders; rows are brought together by folder first, and
-    spread over tasks, so that a folder holding most rows is still written in parallel."""
+    """Parquet, optionally in folders; rows are brought together by folder first, and AQE splits
+    what is too large for a task, so that the number of files per folder follows its size."""
     if by:
-        df = df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+        df = df.hint("rebalance", *by)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
 

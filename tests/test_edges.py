@@ -10,8 +10,9 @@ from curbline.operators import aggregates as A
 from curbline.operators import graph as G
 from curbline.operators import refresh as I
 from curbline.operators import spatial as S
+from curbline.plans.registry import forget_scenes
 from curbline.sources import readers
-from curbline.session import scratch_dir
+from curbline.session import cut, drop_written, scratch_dir
 
 
 def test_a_repeated_feature_does_not_cancel_itself(spark, tmp_path):
@@ -77,3 +78,11 @@ def test_scratch_folder_without_the_setting():
     for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             scratch_dir(_Unset(master, "c"))
+
+
+def test_written_tables_can_be_dropped(spark):
+    forget_scenes()  # shared tables of other tests are computed anew
+    held = cut(spark.range(3))
+    assert held.count() == 3 and drop_written(spark) >= 1 and drop_written(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.?(found|exist)"):
+        held.count()
