@@ -47,7 +47,7 @@ def gate(name: str, *, ok: Column, value: Column) -> Column:
     return F.struct(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed"), value.cast("bigint").alias("value"))
 
 
-def quality_gates(old: DataFrame, new: DataFrame, *, least_share: float = 0.9, may_lose: int = 5, may_gain: int = 75) -> DataFrame:
+def quality_gates(old: DataFrame, new: DataFrame, *, least_share: float, may_lose: int, may_gain: int) -> DataFrame:
     """One row per gate (ING4). ``old`` and ``new`` are classified incidents with ``is_limited``."""
     ask = lambda df, side: df.agg(
         F.count(F.lit(1)).alias(f"{side}_n"), F.max("incident_date").alias(f"{side}_last"), F.count_if("is_limited").alias(f"{side}_limited"),

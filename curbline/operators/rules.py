@@ -114,10 +114,9 @@ def classify_incidents(incidents: DataFrame, rulebook: DataFrame, routes: DataFr
     ).drop("_named")
 
 
-def first_pass_classify(incidents: DataFrame, boundary: DataFrame, routes: DataFrame, *, limit: float = 30.0, box=None, cell: float = 500.0) -> DataFrame:
+def first_pass_classify(incidents: DataFrame, boundary: DataFrame, routes: DataFrame, *, box: tuple[float, float, float, float], limit: float = 30.0, cell: float = 500.0) -> DataFrame:
     """Bad location, outside the city, state route within ``limit``, or city; one bucket each (RL5)."""
-    good = C.good_location("lat", "lon", box) if box else C.good_location()
-    marked = incidents.withColumn("good", good)
+    marked = incidents.withColumn("good", C.good_location(box=box))
     usable = marked.where("good")
     inside = points_in_polygon(usable, boundary, point_id="incident_id").withColumn("_in", F.lit(True))
     near = nearest(usable.join(inside, "incident_id", "left_semi"), routes, point_id="incident_id", key=["route_id"], cell=cell)

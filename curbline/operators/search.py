@@ -39,15 +39,24 @@ def junction_streets(nodes: DataFrame) -> DataFrame:
     return spread.withColumn("base", C.base_form("street"))
 
 
-def alias_groups(routes: DataFrame) -> DataFrame:
-    """Query forms of route designations and the streets that carry them (AG28): ``alias_key, member``."""
+# The forms in which people write a state route, a federal one, and the shown name of the latter.
+STATE_FORMS = ("sr", "state route", "route", "highway", "hwy")
+US_FORMS = ("us %s", "us highway %s", "highway %s", "hwy %s", "us-%s")
+US_NAME = r"(?i)^(?:N |S |E |W )?Us Highway (\d+)$"
+
+
+def alias_groups(routes: DataFrame, *, state: str) -> DataFrame:
+    """Query forms of route designations and the streets that carry them (AG28): ``alias_key, member``.
+
+    ``state``: the abbreviation that is also written before a route's number.
+    """
     shown = C.display_name(F.concat_ws(" ", *[F.when(C.clean(c) != "", C.clean(c)) for c in ("predir", "name", "type")]))
     named = routes.select(C.clean("altname").alias("alt"), shown.alias("member")).where("alt <> '' and member <> ''").distinct()
     digits = F.col("alt").rlike("^[0-9]+$")
-    numbered = F.transform(F.array(*[F.lit(p) for p in ("sr", "state route", "route", "tn", "highway", "hwy")]), lambda p: F.concat_ws(" ", p, F.col("alt")))
+    numbered = F.transform(F.array(*[F.lit(p) for p in (*STATE_FORMS, state)]), lambda p: F.concat_ws(" ", p, F.col("alt")))
     forms = F.when(digits, numbered).otherwise(F.array(F.col("alt"), C.base_form("alt")))
-    us = F.regexp_extract("member", r"(?i)^(?:N |S |E |W )?Us Highway (\d+)$", 1)
-    shapes = F.array(*[F.format_string(p, F.col("_us")) for p in ("us %s", "us highway %s", "highway %s", "hwy %s", "us-%s")])
+    us = F.regexp_extract("member", US_NAME, 1)
+    shapes = F.array(*[F.format_string(p, F.col("_us")) for p in US_FORMS])
     # the "us" forms key the whole group of the designation
     per_alt = named.select("alt", us.alias("_us")).where("_us <> ''").distinct().withColumn("form", F.explode(shapes)).select("alt", "form")
     keys = named.select("alt", F.explode(forms).alias("form")).distinct().unionByName(per_alt)

@@ -19,7 +19,7 @@ from curbline.operators import scan
 from curbline.operators import spatial as P
 from curbline.operators.graph import cluster_points
 from curbline.plans import checks as Q
-from curbline.plans.scene import MERGE_RADIUS, Scene
+from curbline.plans.scene import CITY_BOX, MERGE_RADIUS, Scene
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -129,7 +129,7 @@ GOOD = "lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) AND la
 
 @query("flt01_good_location", f"SELECT coalesce({GOOD}, false) AS good, count(*) AS people FROM person_rows GROUP BY 1")
 def _(s: Scene):
-    return s.person_rows.groupBy(C.good_location().alias("good")).agg(F.count(F.lit(1)).alias("people"))
+    return s.person_rows.groupBy(C.good_location(box=CITY_BOX).alias("good")).agg(F.count(F.lit(1)).alias("people"))
 
 
 @query("flt02_severity_light_design", f"SELECT {Q.n('true')} AS crashes, {Q.n("severity = 'Fatal'")} AS fatal, {Q.n("light LIKE 'Dark%'")} AS dark, {Q.n("light = 'Dark-Not Lighted'")} AS unlit, "
@@ -401,6 +401,7 @@ def _(s: Scene):
     return A.top(s.ranking, 25, "total", "fatal").agg(F.bround(F.avg("lanes"), 1).alias("mean_lanes"), F.bround(F.avg("speed"), 1).alias("mean_speed"), C.percent(F.count_if(C.is_wide()), n).alias("wide_pct"), C.percent(F.count_if(C.is_fast()), n).alias("fast_pct"))
 
 
+# Location labels of the records.
 _PLACES = {"mid_block": "location = 'Not Intersection-On Roadway Not In Crosswalk'", "no_crosswalk": "location IN ('Not Intersection-On Roadway Crosswalk not Available', 'Intersection-On Roadway Crosswalk Not Available')", "in_crosswalk": "location = 'Intersection-In Crosswalk'"}
 
 
@@ -441,7 +442,7 @@ _FIRST = f"(SELECT i.incident_id, CASE WHEN NOT coalesce({GOOD}, false) THEN 'Ex
 
 
 def _both_methods(s: Scene) -> DataFrame:
-    first = R.first_pass_classify(s.incidents, s.boundary, s.routes).select("incident_id", F.col("owner").alias("owner_before"))
+    first = R.first_pass_classify(s.incidents, s.boundary, s.routes, box=CITY_BOX).select("incident_id", F.col("owner").alias("owner_before"))
     return s.classified.join(first, "incident_id")
 
 
@@ -655,8 +656,8 @@ def _(s: Scene):
 
 @query("st01_union_all", f"SELECT part, count(*) AS n, count(street) AS named FROM (SELECT 'located' AS part, street FROM named WHERE coalesce({GOOD}, false) UNION ALL SELECT 'set aside', NULL FROM incidents WHERE NOT coalesce({GOOD}, false)) q GROUP BY part")
 def _(s: Scene):
-    located = s.named.where(C.good_location()).withColumn("part", F.lit("located"))
-    aside = s.incidents.where(~C.good_location()).withColumn("part", F.lit("set aside"))
+    located = s.named.where(C.good_location(box=CITY_BOX)).withColumn("part", F.lit("located"))
+    aside = s.incidents.where(~C.good_location(box=CITY_BOX)).withColumn("part", F.lit("set aside"))
     return located.unionByName(aside, allowMissingColumns=True).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("street").alias("named"))
 
 

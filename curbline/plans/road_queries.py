@@ -20,7 +20,7 @@ from curbline.operators import search as S
 from curbline.operators.graph import cluster_points, connected_components
 from curbline.plans import checks as Q
 from curbline.plans.queries import _FIRST, FATAL, GOOD, query
-from curbline.plans.scene import Scene
+from curbline.plans.scene import CITY_BOX, Scene
 from curbline.session import cut, scratch_dir
 from curbline.sources import readers, writers
 from curbline.streaming import ingest
@@ -33,6 +33,7 @@ def _(s: Scene):
     return s.rulebook.select("seg_id", "owner", "rule")
 
 
+# The sentences of rules.py, typed anew as the check's own statement of them.
 @query("rl02_basis", "SELECT seg_id, CASE rule WHEN 'interstate_mainline' THEN 'interstate: MTFCC S1100' WHEN 'interstate_ramp' THEN 'interstate ramp: MTFCC S1630' WHEN 'limited_access_override' THEN concat('limited-access override: ', predir, ' ', upper(substr(name, 1, 1)), lower(substr(name, 2)), ' ', upper(substr(type, 1, 1)), lower(substr(type, 2))) "
        "WHEN 'state_route_overlap' THEN concat('state route: ', CAST(CAST(round_even(100 * ov10, 0) AS BIGINT) AS VARCHAR), '% overlap, name=', name_key) WHEN 'force_state_route_manual' THEN 'force-state-route: manual override' "
        "WHEN 'force_state_route_completeness' THEN concat('force-state-route: ', CAST(CAST(round_even(100 * ov_same, 0) AS BIGINT) AS VARCHAR), '% collinear w/ same-named SR (', name_key, ')') ELSE 'city: no state-route overlap' END AS basis FROM rulebook")
@@ -52,7 +53,7 @@ def _(s: Scene):
 
 @query("rl05_first_pass", f"SELECT incident_id, owner, in_city, CASE WHEN owner = 'State route' THEN route_id END AS route_id FROM {_FIRST} f")
 def _(s: Scene):
-    return R.first_pass_classify(s.incidents, s.boundary, s.routes).select("incident_id", "owner", "in_city", "route_id")
+    return R.first_pass_classify(s.incidents, s.boundary, s.routes, box=CITY_BOX).select("incident_id", "owner", "in_city", "route_id")
 
 
 @query("rl06_intersection_status", f"SELECT incident_id, at_intersection, intersection_node_id, {Q.dm('nearest_ped_signal_m')} AS signal_dm, is_ambiguous, intersection_signalized FROM signal_status")
@@ -336,7 +337,7 @@ def _(s: Scene):
 @query("ing04_quality_gates", "SELECT gate, passed, CAST(value AS BIGINT) AS value FROM (SELECT unnest(['enough_rows', 'parts_sum', 'streets_sum', 'not_shrunk', 'not_exploded', 'date_not_back']) AS gate, unnest([w >= 0.9e0 * o, true, true, w >= o - 5, w <= o + 75, wd >= od]) AS passed, unnest([w, w, w, w - o, w - o, wd - od]) AS value FROM ("
        "SELECT (SELECT count(*) FROM old_snap) AS o, (SELECT count(*) FROM new_snap) AS w, (SELECT max(incident_date) FROM old_snap) AS od, (SELECT max(incident_date) FROM new_snap) AS wd) q) z")
 def _(s: Scene):
-    return I.quality_gates(s.classified.where("incident_id % 97 <> 0"), s.classified.where("incident_id % 89 <> 0"))
+    return I.quality_gates(s.classified.where("incident_id % 97 <> 0"), s.classified.where("incident_id % 89 <> 0"), least_share=0.9, may_lose=5, may_gain=75)
 
 
 @query("ing05_status_delta", "SELECT count(*) AS common, count(*) FILTER (WHERE n0 IS NULL AND n1 IS NOT NULL) AS gained_node, count(*) FILTER (WHERE n0 IS NOT NULL AND n1 IS NULL) AS lost_node, count(*) FILTER (WHERE s0 <> s1) AS status_changed FROM (SELECT CASE WHEN incident_id % 7 = 0 THEN NULL ELSE intersection_node_id END AS n0, intersection_node_id AS n1, CASE WHEN incident_id % 5 = 0 THEN 'no' ELSE intersection_signalized END AS s0, intersection_signalized AS s1 FROM signal_status) q")

@@ -22,6 +22,7 @@ from curbline.session import cut
 
 # Parameters of the example city: names and ids the rules single out.
 RULES = R.Rulebook(limited_names=("VALLEY4",), forced_ids=(104, 330), forced_names=("E HICKORY5",))
+CITY_BOX = (34.99, 35.42, -90.31, -89.61)  # south, north, west, east
 PERSON_ORDER = ["person_seq", "incident_date", "light"]
 MERGE_RADIUS = 25.0
 
@@ -177,7 +178,7 @@ class Scene(Tables):
 
     @cached_property
     def aliases(self) -> DataFrame:
-        return S.alias_groups(self.routes)
+        return S.alias_groups(self.routes, state="tn")
 
     @cached_property
     def node_streets(self) -> DataFrame:

@@ -33,10 +33,11 @@ def test_a_first_load_is_a_change(spark):
 
 def test_gates_of_one_row_each(spark):
     rows = spark.createDataFrame([(1, "2024-01-05", True, "a"), (2, "2024-02-01", False, "b")], "incident_id long, d string, is_limited boolean, street string").withColumn("incident_date", F.to_date("d"))
-    got = {r["gate"]: r["passed"] for r in I.quality_gates(rows, rows).collect()}
+    limits = {"least_share": 0.9, "may_lose": 5, "may_gain": 75}
+    got = {r["gate"]: r["passed"] for r in I.quality_gates(rows, rows, **limits).collect()}
     assert len(got) == 6 and all(got.values())
     with pytest.raises(RuntimeError, match="enough_rows"):
-        I.require(I.quality_gates(rows, rows.limit(1)))
+        I.require(I.quality_gates(rows, rows.limit(1), **limits))
 
 
 def test_keywords_of_two_words(spark):
