@@ -7,8 +7,9 @@
 3. Representatives meet in buckets of equal bands. The hub of a bucket is the member that meets most others over all
    its buckets; every member is paired with the hubs of its buckets only, a star per bucket.
 4. Pairs are confirmed on the full sets. Members that a hub does not link are then compared with those members of the
-   star that can still be linked: Jaccard distance is a metric, so |d(x, hub) - d(b, hub)| <= d(x, b), and members that
-   already share a component need no test. So no pair of a bucket is lost, and no bucket is capped.
+   star that can still be linked: what two members share inside the hub's set is bounded by what each shares with it, and
+   what they share outside is found by a join on shingles that the hub lacks. Members that already share a component need
+   no test. So no pair of a bucket is lost, and no bucket is capped.
 5. Components of the confirmed links give the classes.
 
 With 50 bands of 7 rows, a pair at similarity 0.8 misses all buckets with probability 0.00001, one at 0.05 meets in one
@@ -26,7 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbline.llm.common import python_batches
@@ -35,6 +36,7 @@ from curbline.operators.graph import connected_components
 from curbline.session import cut
 
 BANDS, ROWS = 50, 7
+WIDE = 16  # members of a star beyond which a shingle counts as part of its hub
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,27 +84,64 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``a, b, common, united``: exact sizes of intersection and union of the full sets of each pair."""
+    """``a, b, common, united, novel``: exact sizes of intersection and union of the full sets, and what only a has."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, np.empty(0, np.uint64)
         for batch in batches:
-            common, united = [], []
+            common, united, novel = [], [], []
             for b, text_a, text_b in zip(batch["b"], batch["text_a"], batch["text_b"]):
                 if b != last:
                     last, held = b, shingle_set(text_b, width)
                 own = shingle_set(text_a, width)
-                n = len(np.intersect1d(own, held, assume_unique=True))
-                common.append(n)
-                united.append(len(own) + len(held) - n)
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "common": common, "united": united})
+                new = np.setdiff1d(own, held, assume_unique=True)
+                common.append(len(own) - len(new))
+                united.append(len(held) + len(new))
+                novel.append(new.view(np.int64))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "common": common, "united": united, "novel": novel})
 
     joined = pairs.join(texts.select(F.col("vid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("vid").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(measure, "a long, b long, common long, united long")
+    return joined.select("a", "b", "text_a", "text_b").mapInPandas(measure, "a long, b long, common long, united long, novel array<long>")
+
+
+def unsettled(tested: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of members of one star in different components that may still be linked.
+
+    The hub's set is widened by the shingles that more than ``WIDE`` members of its star share. Of n shingles a member has
+    c in that set H. Two members share min(c_a, c_b) shingles inside H at most; the others that they share are counted by
+    an equi join on shingles that at most ``WIDE`` members have. Both bounds are exact, so no link is lost.
+    """
+    linked = 100 * F.col("common") >= percent * F.col("united")
+    rays = tested.select(F.col("b").alias("hub"), F.col("a").alias("vid"), F.col("common").alias("c"), linked.alias("held"), "novel")
+    rays = rays.join(found.withColumnRenamed("vertex", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+    rays = cut(rays.join(classes.select("vid", "n"), "vid"))
+    split = rays.groupBy("hub").agg((F.min("component") != F.max("component")).alias("_split")).where("_split").select("hub")
+    rays = cut(rays.join(cut(split), "hub"))
+    new = rays.select("hub", "vid", F.explode("novel").alias("shingle"))
+    spread = cut(new.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1))
+    new = cut(new.join(spread, ["hub", "shingle"]))  # a shingle of one member is shared with nobody
+    wide = new.where(F.col("_n") > WIDE).groupBy("hub", "vid").agg(F.count(F.lit(1)).alias("_q"))
+    rays = cut(rays.drop("novel").join(wide, ["hub", "vid"], "left").withColumn("c", F.col("c") + F.coalesce("_q", F.lit(0))).drop("_q"))
+    loose = rays.where(~F.col("held")).select("hub", F.col("vid").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
+    apart = (F.col("component_a") != F.col("component")) & (F.col("held") | (F.col("a") < F.col("vid")))
+
+    def may(most: Column) -> Column:
+        return 100 * most >= percent * (F.col("n_a") + F.col("n") - most)
+
+    inside = F.least("c_a", "c")
+    plain = loose.where(100 * F.col("c_a") >= percent * F.col("n_a")).join(rays, "hub").where(apart & may(inside))
+    rare = new.where(F.col("_n") <= WIDE).select("hub", "vid", "shingle")
+    met = rare.select("hub", F.col("vid").alias("a"), "shingle").join(loose.select("hub", "a"), ["hub", "a"], "left_semi").join(rare, ["hub", "shingle"])
+    both = met.where(F.col("a") != F.col("vid")).groupBy("hub", "a", "vid").agg(F.count(F.lit(1)).alias("o"))
+    outside = both.join(loose, ["hub", "a"]).join(rays, ["hub", "vid"]).where(apart & may(inside + F.col("o")))
+    return plain.select("a", F.col("vid").alias("b")).union(outside.select("a", "vid")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept per row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, component_id, kept, group_id per row of ``docs`` (doc_id, text).
+
+    group_id is the same number for all rows of a component, and null for empty sets.
+    """
     python_batches(docs.sparkSession)
     signed = cut(signatures(docs, width, bands, rows))
     classes = signed.where(F.col("vid").isNotNull()).groupBy("vid").agg(
@@ -124,16 +163,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     tested = cut(compared(star, texts, width))
     links = tested.where(linked).select("a", "b")
     found = cut(connected_components(links))
-    # Members that their hub does not link: against the members of the same star that may still be linked.
-    distance = (F.col("united") - F.col("common")) / F.col("united")
-    rays = tested.select(F.col("b").alias("hub"), F.col("a").alias("vid"), distance.alias("d"), linked.alias("held"))
-    rays = rays.join(found.withColumnRenamed("vertex", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    rays = cut(rays.join(classes.select("vid", "n"), "vid"))
-    loose = rays.where(~F.col("held")).select("hub", F.col("vid").alias("a"), F.col("d").alias("d_a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"), F.lit(True).alias("_loose"))
-    limit = 1 - percent / 100 + 1e-9
-    again = loose.join(rays, "hub").where(
-        (F.col("c_a") != F.col("component")) & (F.abs(F.col("d") - F.col("d_a")) <= limit) & (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")) & (F.col("held") | (F.col("a") < F.col("vid"))))
-    again = cut(again.select("a", F.col("vid").alias("b")).distinct())
+    again = cut(unsettled(tested, found, classes, percent))
     more = compared(again, texts, width).where(linked).select("a", "b")
     between = more.join(found.select(F.col("vertex").alias("a"), F.col("component").alias("_ca")), "a", "left").join(found.select(F.col("vertex").alias("b"), F.col("component").alias("_cb")), "b", "left")
     between = cut(between.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")))
@@ -142,8 +172,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     top = known.join(merged, known["component"] == merged["_m"], "left").select(F.col("vertex").alias("vid"), F.coalesce("_top", "component").alias("component"))
     named = cut(top.join(classes.select("vid", "least_id"), "vid"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = named.join(least, "component").select("vid", "component_id")
-    labels = cut(classes.join(labels, "vid", "left").select("vid", F.coalesce("component_id", "least_id").alias("component_id")))
+    labels = named.join(least, "component").select("vid", "component_id", "component")
+    labels = cut(classes.join(labels, "vid", "left").select("vid", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "vid").alias("group_id")))
     out = signed.select("doc_id", "text_hash", "n_shingles", "vid").join(labels, "vid", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = out.withColumn("component_id", F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group_id")
+
+
+def one_per_group(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` with the least doc_id of their component, one each; all rows without a word."""
+    found = near_duplicates(docs.select("doc_id", "text"), **options).where(F.col("group_id").isNotNull())
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("_first"))
+    first = first.select(F.col("_first.doc_id").alias("doc_id"), F.col("_first.text_hash").alias("text_hash"))
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(~wordless).select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row")).groupBy("doc_id", "text_hash").agg(F.first("row").alias("row"))
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["doc_id"]) & (rows["text_hash"] == first["text_hash"]), "left_semi")
+    return kept.select("row.*").unionByName(docs.where(wordless))
