@@ -183,7 +183,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     shared = length - SPREAD + 1
     parsed = _parsed(docs, length)
     keys = parsed.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), (F.min("run") != F.max("run")).alias("mixed")).where(F.col("_n") > 1)
-    met = cut(parsed.join(keys.select("key", "mixed"), "key"))
+    keys = cut(keys.select("key", "mixed"))  # as a table of its own, so that Spark may split a hot key of the join
+    met = cut(parsed.join(keys, "key"))
     kinds = met.groupBy("key", "run").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(*[c for c in met.columns if c not in ("key", "run")])).alias("_one"))
     kinds = cut(kinds.select("key", "run", "copies", "_one.*"))
