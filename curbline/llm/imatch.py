@@ -4,11 +4,11 @@ Terms are the distinct runs of letters and digits of the lowered text, known by
 terms that occur in ``low`` to ``high`` of all documents. It has at most (mean distinct terms of a document) / ``low``
 entries whatever the number of documents, and is broadcast for that reason.
 
-Subset (k, l) of the lexicon holds the terms whose hash, shifted by 7 k bits, ends in l zero bits: a share of 2 ** -l of
-the terms, another one for each k. The component of a document for a subset is the hash of its sorted distinct terms there.
-Components of more than ``MOST`` terms say little after an edit and are only marked; so at every text length some subsets
-are thin enough to survive one. A text without any term of the lexicon uses its term of least hash. Likeness is the share
-of equal components among those that either text has.
+Subset (k, l) of the lexicon holds the terms whose k-th hash ends in l zero bits: a share of 2 ** -l, another one for each
+k. A text of n distinct terms is fingerprinted by the subsets of the levels l = floor(log2 n) and l + 1, which hold one or
+two of its terms each; its component for a subset is the hash of its sorted distinct terms there. So at any length some
+components survive an edit. A text without any term in its subsets uses its term of least hash throughout. Likeness is
+the share of equal components among those that either text has, over the levels that both texts use.
 
 Defined results: a null text counts as empty; texts without a term have an empty fingerprint, alike only to each other;
 documents are ordered by falling doc_id (null last, equal ids by text); rows equal in doc_id and text are one document
@@ -24,9 +24,8 @@ from curbline.llm.common import numbered
 from curbline.session import cut
 
 LOW, HIGH = 0.001, 0.1
-SALTS, LEVELS, MOST = 8, 14, 3
-_SLICE = 7  # bits between the slices of a 64-bit hash
-_EMPTY, _MANY = 0, 1  # marks in place of a 32-bit hash
+SALTS = 16
+_EMPTY = 0  # in place of a 32-bit hash
 
 
 def terms(text: Column) -> Column:
@@ -42,36 +41,30 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 
 
 def components(df: DataFrame, kept: str, out: str) -> DataFrame:
-    """``df`` plus array ``out``: one 32-bit hash per lexicon subset from the sorted terms in ``kept``."""
-
-    def component(name: str) -> Column:
-        size = F.size(name)
-        # this bit is set in all hashes, so that they differ from the marks
-        return F.when(size == 0, F.lit(_EMPTY)).when(size > MOST, F.lit(_MANY)).otherwise(F.hash(name).bitwiseOR(F.lit(2)))
-
-    names = [kept]
-    for k in range(SALTS):
-        last = kept
-        for level in range(1, LEVELS):
-            bit, name = _SLICE * k + level - 1, f"_{out}_{k}_{level}"
-            names.append(name)
-            df = df.withColumn(name, F.filter(last, lambda t: t.bitwiseAND(F.lit(1 << bit)) == 0))
-            last = name
-    return df.withColumn(out, F.array(*[component(c) for c in names])).drop(*names)
+    """``df`` plus array ``out``: one 32-bit hash per subset of the two levels, from the sorted terms in ``kept``."""
+    held = [f"transform(sequence(0, {SALTS - 1}), k -> transform(filter({kept}, t -> (t.{field} & shiftleft(1, k)) != 0), t -> t.term))" for field in ("in0", "in1")]
+    df = df.withColumn("_held", F.expr(f"concat({held[0]}, {held[1]})"))
+    return df.withColumn(out, F.transform("_held", lambda h: F.when(F.size(h) > 0, F.hash(h).bitwiseOR(F.lit(2))).otherwise(F.lit(_EMPTY)))).drop("_held")
 
 
 def likeness(a: str, b: str) -> Column:
-    def told(x: Column) -> Column:
-        return ~x.isin(_EMPTY, _MANY)
+    """Of two fingerprints, as structs of level and components."""
+    (level_a, all_a), (level_b, all_b) = ((F.col(x)["level"], F.col(x)["parts"]) for x in (a, b))
+
+    def share(x: Column, y: Column) -> Column:
+        told = F.zip_with(x, y, lambda p, q: F.when((p != _EMPTY) | (q != _EMPTY), p == q))
+        heard = F.size(F.filter(told, lambda e: e.isNotNull()))
+        return F.when(heard > 0, F.size(F.filter(told, lambda e: e)) / heard).otherwise(F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0))
 
-    both = F.zip_with(a, b, lambda x, y: F.when(told(x) | told(y), x == y))
-    heard = F.size(F.filter(both, lambda x: x.isNotNull()))
-    equal = F.size(F.filter(both, lambda x: x))
-    return F.when(heard > 0, equal / heard).when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
+    low, high = (1, SALTS), (SALTS + 1, SALTS)
+    return (
+        F.when(level_a == level_b, share(all_a, all_b)).when(level_a + 1 == level_b, share(F.slice(all_a, *high), F.slice(all_b, *low)))
+        .when(level_b + 1 == level_a, share(F.slice(all_a, *low), F.slice(all_b, *high))).otherwise(0.0))
 
 
 def _printed(name: str) -> Column:
-    return F.array_join(F.transform(name, lambda x: F.when(x == _EMPTY, "").when(x == _MANY, "*").otherwise(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))))), "-")
+    parts = F.transform(F.col(name)["parts"], lambda x: F.when(x == _EMPTY, "").otherwise(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))))
+    return F.concat_ws(":", F.col(name)["level"].cast("string"), F.array_join(parts, "-"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -85,9 +78,40 @@ def neighbours(docs: DataFrame) -> DataFrame:
     return cut(ranked.join(after, "_rank").join(before, "_rank").drop("_rank"))
 
 
-def _marked(terms_of: str, side: int) -> Column:
-    """Terms of one text as (side, term), with the mark that every lexicon has."""
-    return F.transform(F.array_append(terms_of, F.lit(0).cast("bigint")), lambda t: F.struct(F.lit(side).alias("side"), t.alias("term")))
+def _members(t: Column, mask: Column) -> Column:
+    """Bit k: the k-th hash of a term has none of the bits of ``mask``.
+
+    The hashes are two 64-bit ones, each rotated by multiples of 8 bits.
+    """
+    bits = []
+    for k in range(SALTS):
+        source, turn = t[("term", "more")[k % 2]], k // 2 * 8
+        turned = source if not turn else F.shiftrightunsigned(source, turn).bitwiseOR(F.shiftleft(source, 64 - turn))
+        bits.append(F.when(turned.bitwiseAND(mask) == 0, F.lit(1 << k)).otherwise(F.lit(0)))
+    out = bits[0]
+    for bit in bits[1:]:
+        out = out.bitwiseOR(bit)
+    return out
+
+
+def _sides(a: str, b: str, level_a: str, level_b: str) -> Column:
+    """Terms of both texts as (side, term, more, ends) that are in a subset, each side with the mark that every lexicon has.
+
+    more: a second hash of the term; ends: 2 ** level of the text. The others are left out before the array is spread over
+    rows, as a filter behind it keeps Spark from dropping the arrays, which every row would then carry.
+    """
+
+    def marked(name: str, side: int, level: str) -> Column:
+        ends = F.expr(f"shiftleft(1L, {level})")
+        every = F.transform(F.array_append(name, F.lit(0).cast("bigint")), lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), F.xxhash64(t).alias("more"), ends.alias("ends")))
+        return F.filter(every, lambda t: (t["term"] == 0) | (_members(t, t["ends"] - 1) != 0))
+
+    return F.concat(marked(a, 0, level_a), marked(b, 1, level_b))
+
+
+def _key(doc_id: str) -> list[Column]:
+    """A doc_id as two columns without nulls, so that joins and groups on it share one partitioning."""
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("_none")]
 
 
 def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -97,27 +121,33 @@ def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> Da
     words = lexicon(docs, low, high)
     always = words.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("term"))  # a mark per text that meets no term
     words = words.where(F.col("term") != 0).unionByName(always)
-    own = docs.withColumn("text_hash", F.xxhash64("text")).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-    key = places.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
-    placed = own.join(key, own["doc_id"].eqNullSafe(key["_d"]) & (own["text_hash"] == key["_h"])).drop("_d", "_h")
-    heads = placed.select(F.col("prev_id").alias("_pd"), F.col("prev_hash").alias("_ph"), F.expr("substring(text, 1, CAST(need AS INT))").alias("_head"))
-    paired = placed.join(heads, placed["doc_id"].eqNullSafe(heads["_pd"]) & (placed["text_hash"] == heads["_ph"]))
+    key = ["_id", "_none", "text_hash"]
+    own = docs.select(*_key("doc_id"), F.xxhash64("text").alias("text_hash"), "text").groupBy(*key).agg(F.first("text").alias("text"))
+    placed = own.join(places.select(*_key("doc_id"), "*"), key)
+    heads = placed.select(*_key("prev_id"), F.col("prev_hash").alias("text_hash"), F.expr("substring(text, 1, CAST(need AS INT))").alias("_head"))
     left = F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 3) AS INT))")
-    paired = paired.select("doc_id", "text_hash", "n_chars", "next_id", "next_hash", terms(F.col("text")).alias("_a"), F.concat(left, "_head").alias("_edited"))
+    paired = placed.join(heads, key).select(*key, "doc_id", "n_chars", "next_id", "next_hash", terms(F.col("text")).alias("_a"), F.concat(left, "_head").alias("_edited"))
     paired = paired.withColumns({"edited_sha256": F.sha2("_edited", 256), "_b": terms(F.col("_edited"))}).drop("_edited")
-    sides = F.concat(_marked("_a", 0), _marked("_b", 1))
-    single = paired.withColumns({"_least_a": F.array_min("_a"), "_least_b": F.array_min("_b")})
-    # Rows of a document stay where the join above put them: no shuffle before they are gathered again.
-    one = single.select(*[c for c in single.columns if c not in ("_a", "_b")], F.explode(sides).alias("_t")).select("*", "_t.side", "_t.term").drop("_t")
-    met = one.join(F.broadcast(words), "term")
-    first = [F.first(c).alias(c) for c in ("n_chars", "next_id", "next_hash", "edited_sha256", "_least_a", "_least_b")]
-    kept = met.groupBy("doc_id", "text_hash").agg(*first, *[F.collect_list(F.when((F.col("side") == side) & (F.col("term") != 0), F.col("term"))).alias(c) for side, c in enumerate(("_a", "_b"))])
+    whole = ["doc_id", "n_chars", "next_id", "next_hash", "edited_sha256"]
     for c in ("a", "b"):
-        alone = F.when(F.col(f"_least_{c}").isNull(), F.expr("CAST(array() AS array<bigint>)")).otherwise(F.array(f"_least_{c}"))
-        kept = kept.withColumn(f"_{c}", F.when(F.size(f"_{c}") > 0, F.array_sort(f"_{c}")).otherwise(alone))
-    done = components(components(kept, "_a", "own"), "_b", "edited")
-    done = cut(done.select("doc_id", "text_hash", "n_chars", "next_id", "next_hash", "edited_sha256", "own", "edited"))
-    nexts = done.select(F.col("doc_id").alias("_nd"), F.col("text_hash").alias("_nh"), F.col("own").alias("following"))
-    out = done.join(nexts, done["next_id"].eqNullSafe(nexts["_nd"]) & (done["next_hash"] == nexts["_nh"]))
+        paired = paired.withColumns({f"_least_{c}": F.array_min(f"_{c}"), f"_level_{c}": F.greatest(F.length(F.bin(F.size(f"_{c}"))) - 1, F.lit(0))})
+        whole += [f"_least_{c}", f"_level_{c}"]
+    # Rows of a document stay where the join put them: no shuffle before they are gathered again.
+    rows = paired.select(*key, *whole, F.explode(_sides("_a", "_b", "_level_a", "_level_b")).alias("_t"))
+    own_bits = {"in0": _members(F.col("_t"), F.col("_t.ends") - 1), "in1": _members(F.col("_t"), F.col("_t.ends") * 2 - 1)}
+    rows = rows.select(*key, *whole, "_t.side", "_t.term", *[bits.alias(c) for c, bits in own_bits.items()])
+    met = rows.join(F.broadcast(words), "term")
+    lists = [F.collect_list(F.when((F.col("side") == side) & (F.col("term") != 0), F.struct("term", "in0", "in1"))).alias(c) for side, c in enumerate(("_a", "_b"))]
+    kept = met.groupBy(*key).agg(*[F.first(c).alias(c) for c in whole], *lists)
+    for c, out in (("a", "own"), ("b", "edited")):
+        kept = kept.withColumn(f"_{c}", F.array_sort(f"_{c}"))
+        least = F.array_repeat(F.hash(F.array(f"_least_{c}")).bitwiseOR(F.lit(2)), 2 * SALTS)
+        none = F.array_repeat(F.lit(_EMPTY), 2 * SALTS)
+        kept = components(kept, f"_{c}", f"_parts_{c}")
+        parts = F.when(F.size(f"_{c}") > 0, F.col(f"_parts_{c}")).when(F.col(f"_least_{c}").isNull(), none).otherwise(least)
+        kept = kept.withColumn(out, F.struct(F.col(f"_level_{c}").alias("level"), parts.alias("parts")))
+    done = cut(kept.select("text_hash", *whole[:5], "own", "edited"))
+    nexts = done.select(*_key("doc_id"), "text_hash", F.col("own").alias("following"))
+    out = done.select(*_key("next_id"), F.col("next_hash").alias("text_hash"), *whole[:2], "edited_sha256", "own", "edited").join(nexts, key)
     return out.select(
         "doc_id", "n_chars", "edited_sha256", _printed("own").alias("fingerprint"), _printed("edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"), likeness("own", "following").alias("near_next"))
