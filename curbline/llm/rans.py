@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,16 +41,24 @@ BLOCK, LANES, STRIDE = 1 << 15, 32, 1 << 13
 _SCALE = 20
 _LOW = np.uint64(1 << 31)
 _WIDE = 96  # blocks coded side by side
-_KEPT_CHUNKS = 500_000  # chunks whose ids one worker keeps before it starts anew
-_side_by_side = re.compile(r"\s | \s").search
+_KEPT_CHUNKS = 300_000  # chunks whose ids one worker keeps, twice
+_MARKS = ".,;:!?"
+_letter = re.compile("[A-Za-z\u00e0-\u00f6\u00f8-\u00ff]").match
+_odd_space = re.compile(r"[^\S \n]|\0").search
 _single_space = re.compile(r"(?<=\S) (?=\S)").split
 
 
+def _plain(text: str) -> bool:
+    """No white space but single spaces and line feeds, each between other characters."""
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _odd_space(text))
+
+
 class ChunkIds:
     """Ids of texts, by the tokenizers library, chunk by chunk.
 
-    A single space between two characters that are no white space always starts a new piece of the byte-level pattern, so
-    texts may be cut before it; equal chunks are encoded once.
+    A single space or line feed between two characters that are no white space always starts a new piece of the
+    byte-level pattern (and what follows a line feed another one), and so does a mark of punctuation after a letter.
+    Texts are cut there, and equal chunks are encoded once.
     """
 
     def __init__(self, path: str):
@@ -60,18 +69,44 @@ class ChunkIds:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the chunks kept last; those seen again move to the new ones
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, before = self.known, self.before
+        again = before.keys() & chunks
+        known.update((c, before[c]) for c in again)
+        whole, cut = [], []
+        for chunk in chunks - again:
+            if chunk[-1:] in _MARKS:
+                stem = chunk.rstrip(_MARKS)
+                if _letter(stem[-1:]):
+                    cut.append((chunk, stem, chunk[len(stem) :]))
+                    continue
+            whole.append(chunk)
+        known.update(zip(whole, self._encode(whole)))
+        missing = list({x for _, stem, end in cut for x in (stem, end)} - known.keys())
+        known.update(zip(missing, self._encode(missing)))
+        known.update((chunk, known[stem] + known[end]) for chunk, stem, end in cut)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
+        cut: list[list[str]] = []
         for text in texts:
-            parts = (_single_space(text) if _side_by_side(text) else text.split(" ")) if text else []
-            cut.append(parts[:1] + [" " + p for p in parts[1:]])
+            if not text:
+                cut.append([])
+            elif _plain(text):  # a space opens its chunk, a line feed is one of its own
+                cut.append(text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))
+            else:
+                parts = _single_space(text)
+                cut.append(parts[:1] + [" " + p for p in parts[1:]])
+        self._learn(set().union(*cut).difference(self.known))
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
         if len(self.known) > _KEPT_CHUNKS:
-            self.known.clear()
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[chunk] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+            self.known, self.before = {}, self.known
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -295,8 +330,7 @@ def read(spark: SparkSession, folder: str, *, kind: str = "<u4") -> DataFrame:
 
 def digests(pieces: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document from the pieces of ``read``; few documents lie in several blocks."""
-    whole = F.length("ids") == 4 * F.col("n_tokens")
-    single = pieces.where(whole).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    joined = pieces.where(~whole).groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
-    text = F.aggregate("_parts.ids", F.lit(b""), lambda a, b: F.concat(a, b))
-    return single.unionByName(joined.select("doc_id", "start", "n_tokens", F.crc32(text).alias("ids_crc32")))
+    part = F.struct("offset", F.crc32("ids").alias("crc"), F.when(F.length("ids") < 4 * F.col("n_tokens"), F.col("ids")).alias("ids"))
+    parts = pieces.select("doc_id", "start", "n_tokens", part.alias("_p")).groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    joined = F.crc32(F.aggregate("_p.ids", F.lit(b""), lambda a, b: F.concat(a, b)))
+    return parts.select("doc_id", "start", "n_tokens", F.when(F.size("_p") == 1, F.col("_p")[0]["crc"]).otherwise(joined).alias("ids_crc32"))
