@@ -4,12 +4,14 @@
    least hash of each bin is its MinHash, and empty bins are filled by optimal densification (each empty bin takes the
    value of a full bin drawn by a universal hash of bin number and attempt).
 2. Equal sets form one class; only class representatives go on, so copies never make pairs.
-3. Representatives meet in buckets of equal bands. The hub of a bucket is the member that meets most others over all
-   its buckets; every member is paired with the hubs of its buckets only, a star per bucket.
+3. Representatives meet in buckets of equal bands. Where sets of a bucket differ too much in size to be linked, it is
+   parted by size, so that two sets that can be linked are in the same part or in neighbouring ones. The hub of a part is
+   the member that meets most others over all its buckets; every member is paired with the hub of its part and with that
+   of the part of the next smaller sets, a star per part.
 4. Pairs are confirmed on the full sets. Members that a hub does not link are then compared with those members of the
    star that can still be linked: what two members share inside the hub's set is bounded by what each shares with it, and
    what they share outside is found by a join on shingles that the hub lacks. Members that already share a component need
-   no test. So no pair of a bucket is lost, and no bucket is capped.
+   no test. So every pair of a bucket that its sizes allow is settled, and no bucket is capped.
 5. Components of the confirmed links give the classes.
 
 With 50 bands of 7 rows, a pair at similarity 0.8 misses all buckets with probability 0.00001, one at 0.05 meets in one
@@ -22,6 +24,7 @@ id unless all members have none; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -84,7 +87,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``a, b, common, united, novel``: exact sizes of intersection and union of the full sets, and what only a has."""
+    """``pairs`` (a, b, upper) plus common, united, novel: exact sizes of intersection and union, and what only a has."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, np.empty(0, np.uint64)
@@ -98,10 +101,10 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 common.append(len(own) - len(new))
                 united.append(len(held) + len(new))
                 novel.append(new.view(np.int64))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "common": common, "united": united, "novel": novel})
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "upper": batch["upper"], "common": common, "united": united, "novel": novel})
 
     joined = pairs.join(texts.select(F.col("vid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("vid").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInPandas(measure, "a long, b long, common long, united long, novel array<long>")
+    return joined.select("a", "b", "upper", "text_a", "text_b").mapInPandas(measure, "a long, b long, upper boolean, common long, united long, novel array<long>")
 
 
 def unsettled(tested: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -109,10 +112,11 @@ def unsettled(tested: DataFrame, found: DataFrame, classes: DataFrame, percent:
 
     The hub's set is widened by the shingles that more than ``WIDE`` members of its star share. Of n shingles a member has
     c in that set H. Two members share min(c_a, c_b) shingles inside H at most; the others that they share are counted by
-    an equi join on shingles that at most ``WIDE`` members have. Both bounds are exact, so no link is lost.
+    an equi join on shingles that at most ``WIDE`` members have. Both bounds are exact, so no link is lost. Two members
+    that are both ``upper`` (larger than the sets of the hub's part) are in another star together and left to it.
     """
     linked = 100 * F.col("common") >= percent * F.col("united")
-    rays = tested.select(F.col("b").alias("hub"), F.col("a").alias("vid"), F.col("common").alias("c"), linked.alias("held"), "novel")
+    rays = tested.select(F.col("b").alias("hub"), F.col("a").alias("vid"), "upper", F.col("common").alias("c"), linked.alias("held"), "novel")
     rays = rays.join(found.withColumnRenamed("vertex", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     rays = cut(rays.join(classes.select("vid", "n"), "vid"))
     split = rays.groupBy("hub").agg((F.min("component") != F.max("component")).alias("_split")).where("_split").select("hub")
@@ -122,8 +126,8 @@ def unsettled(tested: DataFrame, found: DataFrame, classes: DataFrame, percent:
     new = cut(new.join(spread, ["hub", "shingle"]))  # a shingle of one member is shared with nobody
     wide = new.where(F.col("_n") > WIDE).groupBy("hub", "vid").agg(F.count(F.lit(1)).alias("_q"))
     rays = cut(rays.drop("novel").join(wide, ["hub", "vid"], "left").withColumn("c", F.col("c") + F.coalesce("_q", F.lit(0))).drop("_q"))
-    loose = rays.where(~F.col("held")).select("hub", F.col("vid").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-    apart = (F.col("component_a") != F.col("component")) & (F.col("held") | (F.col("a") < F.col("vid")))
+    loose = rays.where(~F.col("held")).select("hub", F.col("vid").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"), F.col("upper").alias("upper_a"))
+    apart = ~(F.col("upper_a") & F.col("upper")) & (F.col("component_a") != F.col("component")) & (F.col("held") | (F.col("a") < F.col("vid")))
 
     def may(most: Column) -> Column:
         return 100 * most >= percent * (F.col("n_a") + F.col("n") - most)
@@ -149,12 +153,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     classes = cut(classes.select("vid", "n", F.col("_first.doc_id").alias("least_id"), F.col("_first.text_hash").alias("text_hash"), "bands"))
     members = classes.select("vid", "n", F.explode("bands").alias("key"))
     classes = classes.drop("bands")
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    met = cut(members.join(buckets, "key"))
+    mixed = 100 * F.min("n") < percent * F.max("n")  # not all sets can be linked with each other
+    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), mixed.alias("mixed")).where(F.col("size") > 1)
+    step = math.log(100 / max(percent, 1)) + 1e-6  # sets that can be linked are at most one part apart, whatever the rounding
+    part = F.when(F.col("mixed"), F.floor(F.log("n") / step)).otherwise(-1)
+    met = cut(members.join(buckets, "key").select("key", "vid", "n", "size", part.alias("part")))
     fame = met.groupBy("vid").agg(F.sum("size").alias("fame"))
-    hubs = met.join(fame, "vid").groupBy("key").agg(F.max(F.struct("fame", "vid", "n")).alias("_hub")).select("key", F.col("_hub.vid").alias("b"), F.col("_hub.n").alias("n_b"))
-    alike = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))  # sets of other sizes cannot be linked
-    star = cut(met.join(hubs, "key").where((F.col("vid") != F.col("b")) & alike).select(F.col("vid").alias("a"), "b").distinct())
+    hubs = met.join(fame, "vid").groupBy("key", "part").agg(F.max(F.struct("fame", "vid", "n")).alias("_hub"), F.count(F.lit(1)).alias("near"))
+    hubs = hubs.select("key", "part", F.col("_hub.vid").alias("b"), F.col("_hub.n").alias("n_b"), "near")
+    own, below = (F.struct((F.col("part") - k).alias("part"), F.lit(k > 0).alias("upper")) for k in (0, 1))
+    placed = met.select("key", "vid", "n", F.explode(F.when(F.col("part") < 0, F.array(own)).otherwise(F.array(own, below))).alias("_p"))
+    alike = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
+    rays = placed.select("key", "vid", "n", "_p.*").join(hubs, ["key", "part"]).where((F.col("vid") != F.col("b")) & (alike | (F.col("near") > 1)))
+    star = cut(rays.groupBy(F.col("vid").alias("a"), "b").agg(F.min("upper").alias("upper")))
     needed = star.select(F.col("a").alias("vid")).union(star.select("b")).distinct().join(classes, "vid").select("vid", F.col("least_id").alias("_id"), F.col("text_hash").alias("_th"))
     rows_in = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
     texts = rows_in.join(needed, rows_in["doc_id"].eqNullSafe(needed["_id"]) & (rows_in["_h"] == needed["_th"])).groupBy("vid").agg(F.first("text").alias("text"))
@@ -163,7 +174,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     tested = cut(compared(star, texts, width))
     links = tested.where(linked).select("a", "b")
     found = cut(connected_components(links))
-    again = cut(unsettled(tested, found, classes, percent))
+    again = cut(unsettled(tested, found, classes, percent).withColumn("upper", F.lit(False)))
     more = compared(again, texts, width).where(linked).select("a", "b")
     between = more.join(found.select(F.col("vertex").alias("a"), F.col("component").alias("_ca")), "a", "left").join(found.select(F.col("vertex").alias("b"), F.col("component").alias("_cb")), "b", "left")
     between = cut(between.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")))

@@ -36,6 +36,24 @@ def test_components_equal_brute_force(spark, odd, brute_components):
     assert len(got) == len(rows) and all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_short_members_of_a_large_family_find_each_other(spark, brute_components):
+    """Short texts that only the hub's long variants share buckets with are linked among themselves, and across sizes."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+
+    def edited(words, places):
+        return [f"x{rng.random()}" if i in places else w for i, w in enumerate(words)]
+
+    texts = [edited(base, set(rng.sample(range(60, 100), 7))) for _ in range(400)]  # the variants, all linked with the base
+    texts += [edited(base[:75], {k, k + 1}) for k in (3, 11, 19)]  # linked with each other, too short for the variants
+    texts += [base[:58] + ["y1"], base[:58] + ["y2", "y3"]]  # shorter still
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    want = brute_components([r[:2] for r in rows], 1, 80)
+    assert len({want[i][1] for i in range(400)}) == 1 and want[402][1] == 400
+    got = M.near_duplicates(make(spark, rows), width=1, percent=80, bands=8, rows=3).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_one_of_each_group_stays(spark, odd, odd_docs):
     kept = M.one_per_group(odd_docs, width=5, percent=80)
     assert kept.columns == odd_docs.columns
