@@ -7,8 +7,10 @@ entries whatever the number of documents, and is broadcast for that reason.
 Subset (k, l) of the lexicon holds the terms whose k-th hash ends in l zero bits: a share of 2 ** -l, another one for each
 k. A text of n distinct terms is fingerprinted by the subsets of the levels l = floor(log2 n) and l + 1, which hold one or
 two of its terms each; its component for a subset is the hash of its sorted distinct terms there. So at any length some
-components survive an edit. A text without any term in its subsets uses its term of least hash throughout. Likeness is
-the share of equal components among those that either text has, over the levels that both texts use.
+components survive an edit. Where the lexicon holds none of a text's terms in its subsets, as in copies that are so many
+that their terms are beyond the band, its components are those of all its terms there. Likeness is the share
+of equal components among those that either text has, over the levels that both texts use; if one of the two falls back
+to all its terms, all terms of both are compared.
 
 Defined results: a null text counts as empty; texts without a term have an empty fingerprint, alike only to each other;
 documents are ordered by falling doc_id (null last, equal ids by text); rows equal in doc_id and text are one document
@@ -48,13 +50,14 @@ def components(df: DataFrame, kept: str, out: str) -> DataFrame:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Of two fingerprints, as structs of level and components."""
-    (level_a, all_a), (level_b, all_b) = ((F.col(x)["level"], F.col(x)["parts"]) for x in (a, b))
+    """Of two fingerprints, as structs of level, thin, and components by lexicon and by all terms."""
+    thin = F.col(a)["thin"] | F.col(b)["thin"]
+    (level_a, all_a), (level_b, all_b) = ((F.col(x)["level"], F.when(thin, F.col(x)["full"]).otherwise(F.col(x)["parts"])) for x in (a, b))
 
     def share(x: Column, y: Column) -> Column:
         told = F.zip_with(x, y, lambda p, q: F.when((p != _EMPTY) | (q != _EMPTY), p == q))
         heard = F.size(F.filter(told, lambda e: e.isNotNull()))
-        return F.when(heard > 0, F.size(F.filter(told, lambda e: e)) / heard).otherwise(F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0))
+        return F.when(heard > 0, F.size(F.filter(told, lambda e: e)) / heard).otherwise(F.when((level_a == level_b) & (all_a == all_b), 1.0).otherwise(0.0))
 
     low, high = (1, SALTS), (SALTS + 1, SALTS)
     return (
@@ -63,7 +66,8 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _printed(name: str) -> Column:
-    parts = F.transform(F.col(name)["parts"], lambda x: F.when(x == _EMPTY, "").otherwise(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))))
+    used = F.when(F.col(name)["thin"], F.col(name)["full"]).otherwise(F.col(name)["parts"])
+    parts = F.transform(used, lambda x: F.when(x == _EMPTY, "").otherwise(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))))
     return F.concat_ws(":", F.col(name)["level"].cast("string"), F.array_join(parts, "-"))
 
 
@@ -95,7 +99,7 @@ def _members(t: Column, mask: Column) -> Column:
 
 
 def _sides(a: str, b: str, level_a: str, level_b: str) -> Column:
-    """Terms of both texts as (side, term, more, ends) that are in a subset, each side with the mark that every lexicon has.
+    """Terms of both texts as (side, term, more, ends) that are in a subset, each side with a mark, term 0, so that it has a row.
 
     more: a second hash of the term; ends: 2 ** level of the text. The others are left out before the array is spread over
     rows, as a filter behind it keeps Spark from dropping the arrays, which every row would then carry.
@@ -119,8 +123,7 @@ def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> Da
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     places = neighbours(docs)
     words = lexicon(docs, low, high)
-    always = words.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("term"))  # a mark per text that meets no term
-    words = words.where(F.col("term") != 0).unionByName(always)
+    words = words.select("term", F.lit(True).alias("_known"))
     key = ["_id", "_none", "text_hash"]
     own = docs.select(*_key("doc_id"), F.xxhash64("text").alias("text_hash"), "text").groupBy(*key).agg(F.first("text").alias("text"))
     placed = own.join(places.select(*_key("doc_id"), "*"), key)
@@ -136,16 +139,17 @@ def fingerprints(docs: DataFrame, *, low: float = LOW, high: float = HIGH) -> Da
     rows = paired.select(*key, *whole, F.explode(_sides("_a", "_b", "_level_a", "_level_b")).alias("_t"))
     own_bits = {"in0": _members(F.col("_t"), F.col("_t.ends") - 1), "in1": _members(F.col("_t"), F.col("_t.ends") * 2 - 1)}
     rows = rows.select(*key, *whole, "_t.side", "_t.term", *[bits.alias(c) for c, bits in own_bits.items()])
-    met = rows.join(F.broadcast(words), "term")
-    lists = [F.collect_list(F.when((F.col("side") == side) & (F.col("term") != 0), F.struct("term", "in0", "in1"))).alias(c) for side, c in enumerate(("_a", "_b"))]
+    met = rows.join(F.broadcast(words), "term", "left")
+    lists = [F.collect_list(F.when((F.col("side") == side) & (F.col("term") != 0), F.struct("term", "in0", "in1", F.col("_known").isNotNull().alias("known")))).alias(c) for side, c in enumerate(("_a", "_b"))]
     kept = met.groupBy(*key).agg(*[F.first(c).alias(c) for c in whole], *lists)
     for c, out in (("a", "own"), ("b", "edited")):
-        kept = kept.withColumn(f"_{c}", F.array_sort(f"_{c}"))
+        kept = kept.withColumn(f"_{c}", F.array_sort(f"_{c}")).withColumn(f"_known_{c}", F.filter(f"_{c}", lambda t: t["known"]))
         least = F.array_repeat(F.hash(F.array(f"_least_{c}")).bitwiseOR(F.lit(2)), 2 * SALTS)
         none = F.array_repeat(F.lit(_EMPTY), 2 * SALTS)
-        kept = components(kept, f"_{c}", f"_parts_{c}")
-        parts = F.when(F.size(f"_{c}") > 0, F.col(f"_parts_{c}")).when(F.col(f"_least_{c}").isNull(), none).otherwise(least)
-        kept = kept.withColumn(out, F.struct(F.col(f"_level_{c}").alias("level"), parts.alias("parts")))
+        kept = components(components(kept, f"_known_{c}", f"_parts_{c}"), f"_{c}", f"_full_{c}")
+        full = F.when(F.size(f"_{c}") > 0, F.col(f"_full_{c}")).when(F.col(f"_least_{c}").isNull(), none).otherwise(least)  # least: about once in 10 million texts
+        thin = F.col(f"_least_{c}").isNotNull() & (F.size(f"_known_{c}") == 0)
+        kept = kept.withColumn(out, F.struct(F.col(f"_level_{c}").alias("level"), thin.alias("thin"), F.col(f"_parts_{c}").alias("parts"), full.alias("full")))
     done = cut(kept.select("text_hash", *whole[:5], "own", "edited"))
     nexts = done.select(*_key("doc_id"), "text_hash", F.col("own").alias("following"))
     out = done.select(*_key("next_id"), F.col("next_hash").alias("text_hash"), *whole[:2], "edited_sha256", "own", "edited").join(nexts, key)

@@ -1,6 +1,7 @@
 """Language, quality, fingerprints, mixing and search: held-out accuracy, recall, brute force and odd inputs."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -106,6 +107,21 @@ def test_fingerprints_equal_brute_force(spark, odd, odd_docs, no_docs):
     assert alone["near_next"] == 1.0 and alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def test_fingerprints_of_copies_that_hold_a_third_of_the_rows(spark):
+    """All terms of the copies are beyond the band; they stay as like their edited texts as other documents do."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(6000)]
+    copy = rng.sample(words, 50)
+    half = copy[:25] + rng.sample(words, 25)  # another group of copies that shares half of its words
+    texts = [(copy, half, None, copy, None, None)[i % 6] or rng.sample(words, 50) for i in range(120)]
+    found = {r["doc_id"]: r for r in imatch.fingerprints(make(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)])).collect()}
+    mean = {kind: np.mean([r["near_edited"] for i, r in found.items() if i % 6 in kind]) for kind in ((0, 3), (1,), (2, 4, 5))}
+    assert all(0.2 < m < 0.9 for m in mean.values()) and max(mean.values()) - min(mean.values()) < 0.2
+    assert len({found[i]["fingerprint"] for i in found if i % 3 == 0}) == 1
+    assert all(0.1 < r["near_next"] < 0.8 for i, r in found.items() if i % 6 == 1)  # followed by the other copies
+    assert all(r["near_next"] < 0.1 for i, r in found.items() if i % 6 == 3)
+
+
 def test_mix_follows_targets(spark, odd, odd_docs, no_docs):
     got = mixing.mix(odd_docs).collect()
     assert len(got) == len(odd)
