@@ -27,7 +27,6 @@ from curbline.llm.common import python_batches
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 _ROUNDS = 12
-_MOST_LANGUAGES = 3  # in one document's set
 _PENALTY = 4.0  # times log(number of trigrams), for each further language
 _SMOOTHING = 0.5
 _HELD_LANGUAGES = 64  # counted at a time by one task
@@ -108,7 +107,7 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np
     full, _ = _em(p, count, doc, offsets, np.full((len(index), len(table)), 1 / len(table), np.float32), _ROUNDS)
     order = np.argsort(-full, axis=1, kind="stable")
     chosen, value = full, np.full(len(index), -np.inf)
-    for k in range(1, min(_MOST_LANGUAGES, len(table)) + 1):
+    for k in range(1, len(table) + 1):
         inside = np.zeros(full.shape, bool)
         np.put_along_axis(inside, order[:, :k], True, axis=1)
         start = np.where(inside, np.maximum(full, 1e-6), 0)

@@ -37,6 +37,15 @@ def test_a_mixture_has_both_languages():
     assert best.tolist() == [0, 1, 0, -1, -1] and share[0] > 0.99 and 0.6 < share[2] < 0.8
 
 
+def test_a_mixture_may_have_four_languages():
+    """Without the fourth, its text counts for the second, which it resembles, and that would win."""
+    words = ["aba cab bac ", "xyz zyx yxz ", "klo olk kol ", "xyz mnu unm num "]
+    table = np.stack([np.bincount(language.grams(t * 500), minlength=language.BUCKETS) + 0.5 for t in words])
+    table = (table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    best, share = language.mixtures([words[0] * 180 + words[1] * 165 + words[2] * 175 + words[3] * 105], table)
+    assert best.tolist() == [0] and abs(share[0] - 0.273) < 0.01
+
+
 def test_quality_held_out_accuracy(spark, odd_docs, no_docs):
     folder = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
