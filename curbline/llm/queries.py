@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, collisions, imatch, language, minhash, mixing, quality, quotes, rans, repeats
+from curbline.llm import bpe, collisions, imatch, language, lloyd, minhash, mixing, pipelined, quality, quotes, rans, recipes, repeats
 from curbline.llm.common import table
 from curbline.session import scratch_dir
 
@@ -60,8 +60,20 @@ def op9_mixture_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_pipelined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelined.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_bytes")
+
+
+def op13_heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dimensions=64, scale=64)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_collision_counting, op2_imatch_fingerprints, op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op6_quotation_threads, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language,
-    op10_prefix_free_repeats,
+    op10_prefix_free_repeats, op11_pipelined_terms, op12_chunk_recipes, op13_heap_bounds,
 )}
-CHECKS = {"op3_systematic_mix": mixing.check_sql()}
+CHECKS = {"op3_systematic_mix": mixing.check_sql(), "op11_pipelined_terms": pipelined.CHECK_SQL, "op12_chunk_recipes": recipes.CHECK_SQL, "op13_heap_bounds": lloyd.check_sql()}
