@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import python_batches
+from curbline.llm.common import id_number, id_text, python_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 _CELLS = 4_000_000  # cells of one matrix
@@ -211,4 +211,5 @@ def digests(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
             })
 
     python_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = docs.select(id_text(), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.withColumn("doc_id", id_number())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,14 +13,25 @@ from curbline.session import cut
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number within a partition in its low 33 bits
 
 
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: texts may be long, and a batch is held whole by a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Keep the session's Arrow batches small: texts may be long, and a batch is held whole by a Python worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(\d+)[bB]?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, most)
+
+
+def id_text() -> Column:
+    """doc_id as text, for Python stages: beside a null, pandas would turn numbers into floats and lose digits."""
+    return F.col("doc_id").cast("string").alias("doc_id")
+
+
+def id_number() -> Column:
+    """doc_id as the number it was before ``id_text``."""
+    return F.col("doc_id").cast("bigint").alias("doc_id")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import python_batches
+from curbline.llm.common import id_number, id_text, python_batches
 from curbline.llm.shingles import mix64, shingle_set
 from curbline.operators.graph import connected_components
 from curbline.session import cut
@@ -82,8 +82,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 "bands": [band_keys(s, bands, rows) if len(s) else None for s in sets],
             })
 
-    rows_in = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows_in.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, vid long, bands array<long>")
+    rows_in = docs.select(id_text(), "text", F.xxhash64("text").alias("text_hash"))
+    return rows_in.mapInPandas(sign, "doc_id string, text_hash long, n_shingles long, vid long, bands array<long>").withColumn("doc_id", id_number())
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:

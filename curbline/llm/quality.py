@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import python_batches
+from curbline.llm.common import id_number, id_text, python_batches
 from curbline.session import cut
 
 _TOWARDS_POOLED, _TOWARDS_ROUND = 0.1, 0.05
@@ -68,7 +68,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "stats": [statistics(t) for t in batch["text"]]})
 
-    return cut(docs.select("doc_id", "text").mapInPandas(run, "doc_id long, stats array<double>"))
+    return cut(docs.select(id_text(), "text").mapInPandas(run, "doc_id string, stats array<double>").withColumn("doc_id", id_number()))
 
 
 @dataclass(frozen=True)
@@ -129,4 +129,4 @@ def scored(stats: DataFrame, model: Discriminant, threshold: float = 0.3) -> Dat
             score = model.score(np.stack(batch["stats"].to_list())) if len(batch) else np.empty(0)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
-    return stats.mapInPandas(run, "doc_id long, score double, predicted int")
+    return stats.select(id_text(), "stats").mapInPandas(run, "doc_id string, score double, predicted int").withColumn("doc_id", id_number())

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curbline.llm.common import python_batches
+from curbline.llm.common import id_number, id_text, python_batches
 from curbline.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -129,7 +129,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.mapInPandas(run, "doc_id long, shard int, within long, size long, ids binary")
+    return ranged.select(id_text(), "text").mapInPandas(run, "doc_id string, shard int, within long, size long, ids binary")
 
 
 class Coder:
@@ -274,7 +274,7 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str = VOCABULARY, end_id:
 
         closing = False
         for batch in batches:
-            doc_ids = [None if pd.isna(d) else int(d) for d in batch["doc_id"]]
+            doc_ids = batch["doc_id"].tolist()
             for doc_id, start, size, raw in zip(doc_ids, batch["start"].tolist(), batch["size"].tolist(), batch["ids"]):
                 if held_n and start != first + held_n:  # another stretch of the sequence
                     closing = True
@@ -295,8 +295,9 @@ def write(docs: DataFrame, folder: str, *, vocabulary: str = VOCABULARY, end_id:
         if blocks:
             yield ready()
 
-    schema = "first long, n_ids int, words binary, states binary, places array<int>, crc32 long, doc_ids array<long>, starts array<long>, sizes array<long>"
-    placed.mapInPandas(encode, schema).write.option("compression", "zstd").parquet(f"{folder}/blocks")
+    schema = "first long, n_ids int, words binary, states binary, places array<int>, crc32 long, doc_ids array<string>, starts array<long>, sizes array<long>"
+    blocks = placed.mapInPandas(encode, schema)
+    blocks.withColumn("doc_ids", F.col("doc_ids").cast("array<bigint>")).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str, *, kind: str = "<u4") -> DataFrame:
@@ -321,11 +322,11 @@ def read(spark: SparkSession, folder: str, *, kind: str = "<u4") -> DataFrame:
                     for doc_id, start, size in zip(docs, starts, sizes):
                         lo, hi = max(int(start), first), min(int(start + size), first + len(whole))
                         rows.append((doc_id, int(start), int(size), lo - int(start), whole[lo - first : hi - first].astype(kind).tobytes()))
-                frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "offset", "ids"])
-                yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "offset", "ids"])
 
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    return blocks.mapInPandas(decode, "doc_id long, start long, n_tokens long, offset long, ids binary")
+    blocks = spark.read.parquet(f"{folder}/blocks").withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    found = blocks.mapInPandas(decode, "doc_id string, start long, n_tokens long, offset long, ids binary")
+    return found.withColumn("doc_id", id_number())
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import python_batches
+from curbline.llm.common import id_number, id_text, python_batches
 from curbline.llm.shingles import mix64
 from curbline.session import cut
 
@@ -92,7 +92,7 @@ def _parsed(docs: DataFrame, length: int) -> DataFrame:
                 "run": np.array([xxhash.xxh3_64_intdigest(texts[o][a - m : a - n + length], m << 16 | n) for o, a, m, n in spots], np.uint64).view(np.int64),
             })
 
-    schema = "doc_id long, text_hash long, at long, most int, least int, key long, run long"
+    schema = "doc_id string, text_hash long, at long, most int, least int, key long, run long"
     return docs.where(F.length("body") >= length).mapInPandas(parse, schema)
 
 
@@ -171,14 +171,14 @@ def _compare(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[row], "text_hash": frame["text_hash"].to_numpy()[row], "begin": begin, "end": end})
 
 
-_SPAN = "doc_id long, text_hash long, begin long, end long"
+_SPAN = "doc_id string, text_hash long, begin long, end long"
 _OWNER = ["doc_id", "text_hash"]
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """``doc_id, text_hash, spans`` of documents that lose bytes; spans as begin << 32 | end, overlapping and unsorted.
 
-    docs: doc_id, text_hash, body (binary).
+    docs: doc_id (as text), text_hash, body (binary).
     """
     shared = length - SPREAD + 1
     parsed = _parsed(docs, length)
@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "key", "at", "most", "least", "many", "large", "left", "right"])
 
     pieces = docs.join(spots, _same_row(docs, spots)).select(*_OWNER, "body", "spots").mapInPandas(
-        gather, "doc_id long, text_hash long, key long, at long, most int, least int, many boolean, large boolean, left binary, right binary")
+        gather, "doc_id string, text_hash long, key long, at long, most int, least int, many boolean, large boolean, left binary, right binary")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "key", "many", "begin", "h1", "h2"])
             yield out.assign(h1=out["h1"].astype("uint64").astype("int64"), h2=out["h2"].astype("uint64").astype("int64"))
 
-    single = pieces.where("large").drop("large").mapInPandas(strings, "doc_id long, text_hash long, key long, many boolean, begin long, h1 long, h2 long")
+    single = pieces.where("large").drop("large").mapInPandas(strings, "doc_id string, text_hash long, key long, many boolean, begin long, h1 long, h2 long")
     seen = single.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
     counted = single.where(~F.col("many")).join(seen, ["key", "h1", "h2"]).select(*_OWNER, "begin", (F.col("begin") + length).alias("end"))
     spans = whole.unionByName(compared).unionByName(counted)
@@ -259,7 +259,7 @@ def kept(body: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
 
 def _bodies(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("body"), *more)
+    return docs.select(id_text(), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("body"), *more)
 
 
 def _with_spans(docs: DataFrame, length: int, bodies: DataFrame) -> DataFrame:
@@ -280,7 +280,8 @@ def digests(docs: DataFrame, *, length: int = 400) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     held = _with_spans(docs, length, _bodies(docs))
-    return held.select("doc_id", "body", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = held.select("doc_id", "body", "spans").mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.withColumn("doc_id", id_number())
 
 
 def strip(docs: DataFrame, *, length: int = 400) -> DataFrame:
@@ -303,4 +304,4 @@ def strip(docs: DataFrame, *, length: int = 400) -> DataFrame:
     bodies = _bodies(docs, *[F.col(c).alias(f"_c_{c}") for c in others])
     held = _with_spans(docs, length, bodies)
     text = F.when(F.col("spans").isNull(), F.col("_c_text")).otherwise(F.pandas_udf(run, "string")("body", "spans"))
-    return held.withColumn("_c_text", text).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_c_{c}").alias(c) for c in docs.columns])
+    return held.withColumn("_c_text", text).select(*[id_number() if c == "doc_id" else F.col(f"_c_{c}").alias(c) for c in docs.columns])
