@@ -66,9 +66,13 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _printed(name: str) -> Column:
-    used = F.when(F.col(name)["thin"], F.col(name)["full"]).otherwise(F.col(name)["parts"])
-    parts = F.transform(used, lambda x: F.when(x == _EMPTY, "").otherwise(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))))
-    return F.concat_ws(":", F.col(name)["level"].cast("string"), F.array_join(parts, "-"))
+    """level:components by lexicon:components by all terms; of a thin text level:components by all terms."""
+
+    def hexed(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda x: F.when(x == _EMPTY, "").otherwise(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))))), "-")
+
+    by_lexicon = F.when(~F.col(name)["thin"], hexed(F.col(name)["parts"]))  # null, and so left out, of a thin text
+    return F.concat_ws(":", F.col(name)["level"].cast("string"), by_lexicon, hexed(F.col(name)["full"]))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
