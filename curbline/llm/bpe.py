@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from curbline.llm.common import id_number, id_text, python_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-_CELLS = 4_000_000  # cells of one matrix
-_KEPT_PIECES = 400_000  # distinct pieces that one worker keeps before it starts anew
-_PART_CHARS = 1_000_000  # characters split into pieces at a time
+_CELLS = 400_000  # cells of one matrix
+_KEPT_PIECES = 100_000  # distinct pieces that one worker keeps before it starts anew
+_PART_CHARS = 250_000  # characters split into pieces at a time
 _NO_RANK = np.int64(1 << 40)
 
 

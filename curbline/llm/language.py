@@ -121,7 +121,7 @@ def mixtures(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np
     return best, score
 
 
-_PART_CHARS = 1_000_000  # characters explained at a time
+_PART_CHARS = 250_000  # characters explained at a time
 
 
 def identify(docs: DataFrame, languages: list[str], table: np.ndarray, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_KEPT_WORDS = 500_000  # hashes of words kept by one Python worker before it starts anew
+_KEPT_WORDS = 120_000  # hashes of words kept by one Python worker before it starts anew
 
 
 class WordHashes(dict):
