@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.functions.geometry import piece_length
+from curbline.operators.scan import neighbouring
 from curbline.operators.spatial import nearest
 from curbline.session import cut
 
@@ -96,17 +97,54 @@ def measure(points: DataFrame, chains: DataFrame, *, point_id: str, by: Sequence
     return hit.withColumn("m", measured()).select(point_id, seg_id, *dict.fromkeys([*carry, "chain_id", "chain_len"]), "m", "t", "dist")
 
 
+def place(points: DataFrame, chains: DataFrame, *, point_id: str) -> DataFrame:
+    """Where measures lie in the plane: ``point_id, chain_id, m, x, y`` for points with ``chain_id, m``.
+
+    The inverse of ``measure``: every point looks up the piece that starts last before it, in one order of all chains.
+    """
+    ahead = F.col("m_dir") > 0
+    low = F.when(ahead, F.col("m_start")).otherwise(F.col("m_start") - F.col("len"))
+    ends = [F.when(ahead, F.col(f"{c}{a}")).otherwise(F.col(f"{c}{b}")).alias(f"{c}{a}") for c in "xy" for a, b in ((1, 2), (2, 1))]
+    none = F.lit(None).cast(points.schema[point_id].dataType)
+    pieces = chains.select("chain_id", low.alias("m"), F.lit(0).alias("_kind"), "seg_id", none.alias(point_id), F.struct("chain_id", low.alias("low"), "len", *ends).alias("_piece"))
+    asked = points.select("chain_id", "m", F.lit(1).alias("_kind"), F.lit(None).cast(chains.schema["seg_id"].dataType).alias("seg_id"), point_id, F.lit(None).cast(pieces.schema["_piece"].dataType).alias("_piece"))
+    seen = neighbouring(pieces.unionByName(asked), ["chain_id", "m", "_kind", "seg_id", point_id], F.col("_piece"), "_b", "_a").where(F.col("_kind") == 1)
+    on = F.when(F.col("_b.chain_id") == F.col("chain_id"), F.col("_b")).when(F.col("_a.chain_id") == F.col("chain_id"), F.col("_a"))  # the second: rounding at the start
+    seen = seen.withColumn("_on", on).where(F.col("_on").isNotNull())
+    share = F.least(F.greatest((F.col("m") - F.col("_on.low")) / F.col("_on.len"), F.lit(0.0)), F.lit(1.0))
+    return seen.select(point_id, "chain_id", "m", *[(F.col(f"_on.{c}1") + share * (F.col(f"_on.{c}2") - F.col(f"_on.{c}1"))).alias(c) for c in "xy"])
+
+
 def reference_lines(chains: DataFrame, *, by: Sequence[str]) -> DataFrame:
     """The longest chain of every line: ``*by, chain_id, chain_len`` (LR2)."""
     best = chains.groupBy(*by).agg(F.min(F.struct((-F.col("chain_len")).alias("l"), F.col("chain_id").alias("c"))).alias("_b"))
     return best.select(*by, F.col("_b.c").alias("chain_id"), (-F.col("_b.l")).alias("chain_len"))
 
 
-def along_nearest(points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, by: Sequence[str], m: str = "m", cell: float = 250.0) -> DataFrame:
-    """Nearest target by difference of measures on the same line (LR3): the grid join in 1-D."""
-    a = points.select(point_id, *by, F.col(m).alias("x"), F.lit(0.0).alias("y"))
-    b = targets.select(target_id, *by, F.col(m).alias("x1"), F.lit(0.0).alias("y1"), F.col(m).alias("x2"), F.lit(0.0).alias("y2"))
-    return nearest(a, b, point_id=point_id, key=[target_id], by=by, cell=cell).select(point_id, target_id, F.col("dist").alias("along_m"))
+def along_nearest(points: DataFrame, targets: DataFrame, *, point_id: str, target_id: str, by: Sequence[str], m: str = "m") -> DataFrame:
+    """Nearest target by difference of measures on the same line (LR3), the smallest ``target_id`` on ties.
+
+    Points and targets are put in one order of line and measure; each point looks at the last target before it and the
+    first behind it. Lines are never keys of a join, so one line may hold most rows. A null line or measure has no target.
+    """
+    by = list(by)
+    known = F.lit(True)
+    for c in (*by, m):
+        known = known & F.col(c).isNotNull()
+    held = targets.where(known).groupBy(*by, F.col(m).alias("_m")).agg(F.min(target_id).alias(target_id))  # the only one at its place
+    marks = held.select(*by, "_m", F.lit(0).alias("_kind"), F.lit(None).cast(points.schema[point_id].dataType).alias(point_id), target_id)
+    asked = points.where(known).select(*by, F.col(m).alias("_m"), F.lit(1).alias("_kind"), point_id, F.lit(None).cast(targets.schema[target_id].dataType).alias(target_id))
+    place = F.when(F.col("_kind") == 0, F.struct(*[F.col(c).alias(f"by{i}") for i, c in enumerate(by)], F.col("_m").alias("m"), F.col(target_id).alias("target")))
+    seen = neighbouring(asked.unionByName(marks), [*by, "_m", "_kind", point_id], place).where(F.col("_kind") == 1)
+
+    def near(side: str) -> Column:
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same = same & (F.col(side)[f"by{i}"] == F.col(c))
+        return F.when(same, F.struct(F.abs(F.col("_m") - F.col(side)["m"]).alias("d"), F.col(side)["target"].alias("target")))
+
+    best = seen.select(point_id, F.least(near("before"), near("after")).alias("_b")).where(F.col("_b").isNotNull())
+    return best.select(point_id, F.col("_b.target").alias(target_id), F.col("_b.d").alias("along_m"))
 
 
 def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, *, width: float, out: str = "previous") -> DataFrame:
@@ -141,8 +179,8 @@ def spacing_and_gaps(positions: DataFrame, lines: DataFrame, *, by: Sequence[str
 
 
 def longest_gap(gaps: DataFrame, *, by: Sequence[str]) -> DataFrame:
-    """The longest stretch of each line and its ends; the first along the line on ties (WN4)."""
-    best = gaps.groupBy(*by).agg(F.max(F.struct("gap", (-F.col("from_m")).alias("neg"), F.col("to_m").alias("to"))).alias("_g"))
+    """The longest stretch of each line and its ends; of stretches equal to the millimetre the first along the line (WN4)."""
+    best = gaps.groupBy(*by).agg(F.max(F.struct(F.round("gap", 3), (-F.col("from_m")).alias("neg"), F.col("to_m").alias("to"), "gap")).alias("_g"))
     return best.select(*by, F.col("_g.gap").alias("longest_gap"), (-F.col("_g.neg")).alias("gap_from"), F.col("_g.to").alias("gap_to"))
 
 

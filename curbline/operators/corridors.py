@@ -15,7 +15,7 @@ from curbline.operators.chains import along_nearest, longest_gap, measured, spac
 from curbline.operators.crossings import crossings_between, meeting_points
 from curbline.operators.graph import cluster_points
 from curbline.operators.overlap import _pairs
-from curbline.operators.scan import percentiles
+from curbline.operators.scan import group_median, percentiles
 from curbline.operators.spatial import as_pieces, nearest, nearest_point, nearest_two_roads, within_distance
 
 LINE = ["street"]
@@ -133,17 +133,20 @@ def crossing_distances(incidents: DataFrame, safe: DataFrame, ref: DataFrame, *,
 def distance_stats(distances: DataFrame, *, near_ft: float = 100.0, gap_ft: float = 250.0) -> DataFrame:
     """Per road: crossing-related incidents by distance to the nearest safe crossing (LR7)."""
     d = F.col("along_m") / METRES_PER_FOOT
-    return distances.groupBy("street").agg(
+    stats = distances.groupBy("street").agg(
         F.count(F.lit(1)).alias("incidents"), F.count_if("is_fatal").alias("fatal"), F.avg("along_m").alias("mean_m"), F.max("along_m").alias("max_m"),
         F.count_if(C.flag(d <= near_ft)).alias("near"), F.count_if(C.flag(d > gap_ft)).alias("in_gap"), F.count_if(C.flag((d > near_ft) & (d <= gap_ft))).alias("between"),
     )
+    return stats.join(group_median(distances, LINE, "along_m", "median_m"), LINE, "left")
 
 
-def corridor_gaps(positions: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per road: longest stretch without a position, its ends, and mean spacing (WN3, WN4)."""
+def corridor_gaps(positions: DataFrame, lines: DataFrame, *, good_ft: float = 300.0) -> DataFrame:
+    """Per road: longest stretch without a position, its ends and its multiple of ``good_ft``, and mean, median and
+    largest spacing (WN3, WN4, LR7)."""
     gaps = spacing_and_gaps(positions, lines, by=LINE)
     inner = gaps.groupBy("street").agg(F.avg(F.when(F.col("inner"), F.col("gap"))).alias("mean_spacing"), F.max(F.when(F.col("inner"), F.col("gap"))).alias("max_spacing"))
-    return longest_gap(gaps, by=LINE).join(inner, "street")
+    out = longest_gap(gaps, by=LINE).join(inner, "street").join(group_median(gaps.where("inner"), LINE, "gap", "median_spacing"), LINE, "left")
+    return out.withColumn("gap_ratio", F.col("longest_gap") / (good_ft * METRES_PER_FOOT))
 
 
 def crossing_density(points: DataFrame, ref: DataFrame, lines: DataFrame, *, point_id: str, r: float = 30.0, per_mile: float = 4.0, max_gap: float = 1.0, cliff: float = 3.0) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.operators.graph import cluster_points, connected_components
+from curbline.operators.scan import interval_sums
 from curbline.operators.spatial import as_pieces, nearest
 from curbline.session import cut
 
@@ -60,30 +62,61 @@ def real_gaps(chains: DataFrame, graph: DataFrame, *, by: Sequence[str], gap: fl
     return many.join(least, list(by), "left").withColumn("real_gap", F.coalesce(F.col("nearest_gap") > gap, F.lit(False)))
 
 
-def network_distance(starts: DataFrame, graph: DataFrame, *, start_id: str, window: float = WINDOW) -> DataFrame:
+def graph_nodes(chains: DataFrame, graph: DataFrame, *, by: Sequence[str]) -> DataFrame:
+    """One row per node: ``node, x, y`` (least corner of its ends), ``ends``, ``opening``.
+
+    ``opening`` marks the place where a closed line was cut open: both ends of one chain at one point, and no other end.
+    Such a place is no junction of the road.
+    """
+    named = graph.select("chain_id", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("node_a").alias("node")), F.struct(F.lit(1).alias("end"), F.col("node_b").alias("node")))).alias("_n"))
+    ends = chain_ends(chains, by=by).join(named.select("chain_id", "_n.end", "_n.node"), ["chain_id", "end"])
+    spot = F.struct(F.round(F.col("x") * 1000).alias("x"), F.round(F.col("y") * 1000).alias("y"))
+    closed = (F.count(F.lit(1)) == 2) & (F.min("chain_id") == F.max("chain_id")) & (F.min(spot) == F.max(spot))
+    return ends.groupBy("node").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.count(F.lit(1)).alias("ends"), closed.alias("opening"))
+
+
+def network_distance(starts: DataFrame, graph: DataFrame, *, start_id: str, window: float = WINDOW, bands: int = 4) -> DataFrame:
     """Shortest distance along the road from each start to every node within ``window`` (GR5).
 
-    ``starts``: ``start_id, chain_id, m``. Frontier relaxation: each round extends only the
-    (start, node) pairs that just improved, and none beyond ``window``.
+    ``starts``: ``start_id, chain_id, m``. Relaxation by distance bands: the labels of a band are settled among
+    themselves, then put aside; nothing that comes later can improve them, so they are neither joined nor grouped again
+    until the end. A round extends only labels that just improved, never back to where they came from. A node that is
+    met again in a later band is one more label there, which the last grouping drops.
     """
     own = starts.join(graph.select("chain_id", "chain_len", "node_a", "node_b"), "chain_id")
     first = F.array(
         F.struct(F.col("node_a").alias("node"), F.col("m").alias("d")),
         F.struct(F.col("node_b").alias("node"), (F.col("chain_len") - F.col("m")).alias("d")),
     )
-    seeds = own.select(start_id, F.explode(first).alias("_s")).select(start_id, "_s.node", "_s.d").where(F.col("d") <= window)
-    best = cut(seeds.groupBy(start_id, "node").agg(F.min("d").alias("d")))
+    seeds = own.select(start_id, F.explode(first).alias("_s")).select(start_id, "_s.node", "_s.d", F.lit(None).cast("bigint").alias("via")).where(F.col("d") <= window)
     edges = graph.select(F.col("node_a").alias("node"), F.col("node_b").alias("_to"), "chain_len")
     edges = edges.unionByName(graph.select(F.col("node_b").alias("node"), F.col("node_a").alias("_to"), "chain_len"))
     edges = cut(edges.where("node <> _to").groupBy("node", "_to").agg(F.min("chain_len").alias("chain_len")))
-    frontier = best
-    while not frontier.isEmpty():
-        reach = frontier.join(edges, "node").select(start_id, F.col("_to").alias("node"), (F.col("d") + F.col("chain_len")).alias("d"))
-        reach = reach.where(F.col("d") <= window).groupBy(start_id, "node").agg(F.min("d").alias("d"))
-        known = best.select(start_id, "node", F.col("d").alias("_old"))
-        frontier = cut(reach.join(known, [start_id, "node"], "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).drop("_old"))
-        best = cut(best.unionByName(frontier).groupBy(start_id, "node").agg(F.min("d").alias("d")))
-    return best
+
+    def least(labels: DataFrame) -> DataFrame:
+        best = labels.groupBy(start_id, "node").agg(F.min(F.struct("d", "via")).alias("_l"))
+        return best.select(start_id, "node", "_l.d", "_l.via")
+
+    waiting, settled = [seeds], []
+    for k in range(1, bands + 1):
+        high = window * k / bands
+        below = (F.col("d") <= high) if k == bands else (F.col("d") < high)
+        waiting = [cut(least(reduce(DataFrame.unionByName, waiting)))]
+        band = front = waiting[0].where(below)
+        waiting = [waiting[0].where(~below)]
+        while True:
+            reach = front.join(edges, "node").where(~F.col("_to").eqNullSafe(F.col("via")))
+            reach = reach.select(start_id, F.col("_to").alias("node"), (F.col("d") + F.col("chain_len")).alias("d"), F.col("node").alias("via"))
+            reach = cut(least(reach.where(F.col("d") <= window)))
+            waiting.append(reach.where(~below))
+            known = band.select(start_id, "node", F.col("d").alias("_old"))
+            better = reach.where(below).join(known, [start_id, "node"], "left").where(F.col("_old").isNull() | (F.col("d") < F.col("_old"))).drop("_old")
+            front = cut(better)
+            if front.isEmpty():
+                break
+            band = cut(least(band.unionByName(front)))
+        settled.append(band.select(start_id, "node", "d"))
+    return cut(reduce(DataFrame.unionByName, settled).groupBy(start_id, "node").agg(F.min("d").alias("d")))
 
 
 def reach_intervals(starts: DataFrame, graph: DataFrame, *, start_id: str, window: float = WINDOW) -> DataFrame:
@@ -108,28 +141,36 @@ def reach_intervals(starts: DataFrame, graph: DataFrame, *, start_id: str, windo
 def network_count(starts: DataFrame, incidents: DataFrame, graph: DataFrame, *, start_id: str, measures: dict[str, Column], window: float = WINDOW) -> DataFrame:
     """Sums of incident ``measures`` within ``window`` along the road of each start (GR6).
 
-    ``incidents``: ``chain_id, m`` plus the columns the measures need. Incidents at one
-    position are folded first; intervals and positions meet in stretches of the window length.
+    ``incidents``: ``chain_id, m`` plus the columns the (integer) measures need. Incidents at one
+    position are folded first; every interval then takes two lookups in a running total, so
+    that no pair of a start and a position is ever built.
     """
-    spots = incidents.groupBy("chain_id", "m").agg(*[v.alias(k) for k, v in measures.items()]).withColumn("_b", F.floor(F.col("m") / window))
+    spots = incidents.groupBy("chain_id", "m").agg(*[v.alias(k) for k, v in measures.items()])
     pieces = reach_intervals(starts, graph, start_id=start_id, window=window)
-    pieces = pieces.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / window), F.floor(F.col("hi") / window))))
-    hit = pieces.join(spots, ["chain_id", "_b"]).where((F.col("m") >= F.col("lo")) & (F.col("m") <= F.col("hi")))
-    sums = hit.groupBy(start_id).agg(*[F.sum(k).alias(k) for k in measures])
+    sums = interval_sums(pieces, spots, interval_id=start_id, by=["chain_id"], measures=list(measures))
     return starts.select(start_id).join(sums, start_id, "left").fillna(0, list(measures))
 
 
 def window_frontier(starts: DataFrame, graph: DataFrame, *, start_id: str, window: float = WINDOW) -> DataFrame:
-    """Where +-``window`` ends along the road (GR7): ``start_id, chain_id, m``."""
+    """Places exactly ``window`` along the road from each start (GR7): ``start_id, chain_id, m``.
+
+    A place counts only if no shorter way leads to it, so chains that are reached from both ends have one or none.
+    """
     dist = network_distance(starts, graph, start_id=start_id, window=window)
     slim = graph.select("chain_id", "chain_len", "node_a", "node_b")
-    own = starts.join(slim, "chain_id").select(start_id, "chain_id", F.explode(F.array(F.col("m") - window, F.col("m") + window)).alias("m"), "chain_len")
-    own = own.where((F.col("m") >= 0) & (F.col("m") <= F.col("chain_len"))).drop("chain_len")
-    at_a = dist.join(slim, dist["node"] == slim["node_a"]).select(start_id, "chain_id", (F.lit(window) - F.col("d")).alias("m"), "chain_len")
-    at_b = dist.join(slim, dist["node"] == slim["node_b"]).select(start_id, "chain_id", (F.col("chain_len") - (F.lit(window) - F.col("d"))).alias("m"), "chain_len")
-    mine = starts.select(start_id, "chain_id")
-    other = at_a.unionByName(at_b).where((F.col("m") > 0) & (F.col("m") < F.col("chain_len"))).drop("chain_len").join(mine, [start_id, "chain_id"], "left_anti")
-    return own.unionByName(other)
+    none = F.lit(None).cast("double")
+    ways = starts.select(start_id, "chain_id", "m", none.alias("da"), none.alias("db"))
+    ways = ways.unionByName(dist.join(slim, dist["node"] == slim["node_a"]).select(start_id, "chain_id", none.alias("m"), F.col("d").alias("da"), none.alias("db")))
+    ways = ways.unionByName(dist.join(slim, dist["node"] == slim["node_b"]).select(start_id, "chain_id", none.alias("m"), none.alias("da"), F.col("d").alias("db")))
+    ways = ways.groupBy(start_id, "chain_id").agg(*[F.min(c).alias(c) for c in ("m", "da", "db")]).join(slim.select("chain_id", "chain_len"), "chain_id")
+    size = F.col("chain_len")
+    spots = [(F.col("m") - window, True), (F.col("m") + window, True), (F.lit(window) - F.col("da"), False), (size - (F.lit(window) - F.col("db")), False)]
+    spots = F.explode(F.array(*[F.struct(at.alias("at"), F.lit(own).alias("own")) for at, own in spots]))
+    placed = ways.withColumn("_p", spots).withColumn("_at", F.col("_p.at"))
+    inside = F.when(F.col("_p.own"), (F.col("_at") >= 0) & (F.col("_at") <= size)).otherwise((F.col("_at") > 0) & (F.col("_at") < size))
+    shortest = F.least(F.col("da") + F.col("_at"), F.col("db") + size - F.col("_at"), F.abs(F.col("_at") - F.col("m")))  # nulls are left out
+    kept = placed.where(inside & (shortest >= window - 1e-6))
+    return kept.groupBy(start_id, "chain_id", F.round(F.col("_at") * 1000).alias("_mm")).agg(F.min("_at").alias("m")).drop("_mm")
 
 
 def frontier_summary(starts: DataFrame, frontier: DataFrame, *, start_id: str) -> DataFrame:

@@ -18,13 +18,12 @@ from curbline.functions.geometry import cell_of, cells_near, foot, squared_gap
 from curbline.session import cut
 
 GEOMETRY = ("x1", "y1", "x2", "y2")
-# A cell with more registered pieces than this is "dense": its points take the tree search.
-DENSE_CELL = 20_000
-# Tables of at most this many rows are broadcast (two small columns each).
-SMALL_TABLE = 200_000
-# Up to this many undecided points are tried once more, this many times farther out.
-FEW_POINTS = 20_000
-WIDER = 8
+# A cell with more registered pieces than this is divided until its parts are expected to hold fewer, at most 2 ** SPLITS
+# times a side. Neither number decides how a point is answered, only how many candidates it looks at.
+CROWD = 256
+SPLITS = 6
+# Copies of the few coarse cells at the top of the tree search, so that no key of a join holds all points.
+SALTS = 64
 
 
 def as_pieces(points: DataFrame) -> DataFrame:
@@ -32,24 +31,58 @@ def as_pieces(points: DataFrame) -> DataFrame:
     return points.withColumns({"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x"), "y2": F.col("y")})
 
 
-def _register(pieces: DataFrame, cell: float, reach: float, once: bool = False) -> DataFrame:
-    """One row per piece and cell within ``reach``; ``once`` forbids repeats of long pieces."""
-    if once:
-        spread = pieces.withColumn("_at", F.explode(cells_near(cell, reach)))
-        return spread.withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+def _register(pieces: DataFrame, cell: float, reach: float) -> DataFrame:
+    """One row per piece and cell within ``reach``."""
+    spread = pieces.withColumn("_at", F.explode(cells_near(cell, reach)))
+    return spread.withColumns({"_cx": F.col("_at.cx"), "_cy": F.col("_at.cy")}).drop("_at")
+
+
+def _located(points: DataFrame, cell: float) -> DataFrame:
+    return points.withColumns({"_cx": cell_of("x", cell), "_cy": cell_of("y", cell)})
+
+
+def _sections(pieces: DataFrame, cell: float, reach: float) -> DataFrame:
+    """``_register`` with the section of the piece that each row stands for, as ``_x1, _y1, _x2, _y2``."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / cell)).cast("int")
     walked = pieces.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    ends = {f"_{c}{k}": F.col(f"{c}1") + d * (F.col("_i") + (k - 1)) / F.col("_n") for c, d in (("x", dx), ("y", dy)) for k in (1, 2)}
+    walked = walked.withColumns(ends).drop("_n", "_i")
 
-    def span(start, step):
-        a, b = F.col(start) + step * F.col("_i") / F.col("_n"), F.col(start) + step * (F.col("_i") + 1) / F.col("_n")
+    def span(c: str) -> Column:
+        a, b = F.col(f"_{c}1"), F.col(f"_{c}2")
         return F.explode(F.sequence(F.floor((F.least(a, b) - reach) / cell), F.floor((F.greatest(a, b) + reach) / cell)))
 
-    return walked.withColumn("_cx", span("x1", dx)).withColumn("_cy", span("y1", dy)).drop("_n", "_i")
+    return walked.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
 
 
-def _located(points: DataFrame, cell: float) -> DataFrame:
-    return points.withColumns({"_cx": cell_of("x", cell), "_cy": cell_of("y", cell)})
+def _divided(sections: DataFrame, crowded: DataFrame, on: Sequence[str], cell: float) -> DataFrame:
+    """Rows of crowded cells once per part of the cell that lies within one part's side of their section; others once."""
+    rows = sections.join(crowded, list(on), "left").withColumn("_side", F.lit(cell) / F.expr("shiftleft(1, coalesce(_k, 0))"))
+    steps = "greatest(1, ceil(greatest(abs(_x2 - _x1), abs(_y2 - _y1)) / _side))"
+
+    def span(c: str, j: str) -> str:
+        a, b = (f"(_{c}1 + (_{c}2 - _{c}1) * {at} / {steps})" for at in (j, f"({j} + 1)"))
+        low, high = f"greatest(0, floor((least({a}, {b}) - _side - _c{c} * {cell}D) / _side))", f"least(shiftleft(1, _k) - 1, floor((greatest({a}, {b}) + _side - _c{c} * {cell}D) / _side))"
+        return f"if({low} <= {high}, sequence({low}, {high}), array())"
+
+    parts = f"flatten(flatten(transform(sequence(0, {steps} - 1), j -> transform({span('x', 'j')}, sx -> transform({span('y', 'j')}, sy -> struct(sx AS sx, sy AS sy))))))"
+    parts = F.expr(f"if(_k IS NULL, array(struct(0L AS sx, 0L AS sy)), {parts})")
+    out = rows.withColumn("_part", F.explode(F.array_distinct(parts))).withColumns({"_sx": F.col("_part.sx"), "_sy": F.col("_part.sy")})
+    return out.drop("_part", "_k", "_side", "_x1", "_y1", "_x2", "_y2")
+
+
+def _placed(points: DataFrame, crowded: DataFrame, on: Sequence[str], cell: float, reach: float) -> DataFrame:
+    """Points with their cell, the part of it, and how far they see there (``_r2``, squared)."""
+    side = F.lit(cell) / F.expr("shiftleft(1, _k)")
+
+    def part(c: str) -> Column:
+        inside = F.least(F.greatest(F.floor((F.col(c) - F.col(f"_c{c}") * cell) / side), F.lit(0)), F.expr("shiftleft(1, _k)") - 1)
+        return F.coalesce(inside.cast("bigint"), F.lit(0))
+
+    here = _located(points, cell).join(crowded, list(on), "left")
+    seen = F.coalesce(F.least(side, F.lit(reach)), F.lit(reach))
+    return here.withColumns({"_sx": part("x"), "_sy": part("y"), "_r2": seen * seen}).drop("_k")
 
 
 def nearest(
@@ -63,7 +96,7 @@ def nearest(
     cell: float = 125.0,
     within: float | None = None,
     differ: tuple[str, str] | None = None,
-    dense: int = DENSE_CELL,
+    dense: int = CROWD,
 ) -> DataFrame:
     """Nearest piece per point: ``point_id, *key, *carry, t, dist``; exact for any distance.
 
@@ -71,9 +104,9 @@ def nearest(
     ``within``: keep matches up to this distance only. ``differ``: a (point column, piece
     column) pair that must not be equal. Points without any match are not in the result.
 
-    First pass: one cell join that sees everything within ``cell`` metres. Whatever it cannot
-    decide (nothing in reach, or a dense cell) goes through a tree search, so no result
-    is lost however far or crowded a point is.
+    The grid follows the density: cells with more than ``dense`` pieces are divided, as rows of the same join, and a
+    point in a part of a cell sees as far as that part is wide. Points that see nothing that far go through a search from
+    coarse to fine cells. Both ways are taken at every size, so the result is the same however far or crowded a point is.
     """
     by, key, carry = list(by), list(key), list(carry)
     extra = [differ[0]] if differ and differ[0] not in [point_id, *by] else []
@@ -81,41 +114,23 @@ def nearest(
     need = list(dict.fromkeys([*key, *carry, *([differ[1]] if differ else [])]))
     net = pieces.select(*by, *GEOMETRY, *[c for c in need if c not in by])
     reach = cell if within is None else within
-    cell = max(cell, reach / 4)
-    registered = _register(net, cell, reach)
-    crowded = registered.groupBy(*by, "_cx", "_cy").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense)
-    any_dense = not crowded.isEmpty()
-    if any_dense:
-        crowded = cut(crowded)
-    here = _located(pts, cell)
-    easy = here
-    if any_dense:
-        # at most (registered pieces / dense) rows
-        easy = here.join(crowded.select(*by, "_cx", "_cy"), [*by, "_cx", "_cy"], "left_anti")
-    hits = _score(easy, registered, [*by, "_cx", "_cy"], differ).where(F.col("_d2") <= reach * reach)
-    best = _best(hits, point_id, [*by, "_cx", "_cy"], key, carry)
-    if within is not None and not any_dense:
-        return best
-    best = cut(best)
+    cell = float(max(cell, reach / 4))
+    on = [*by, "_cx", "_cy"]
+    sections = _sections(net, cell, reach)
+    filled = sections.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense)
+    halvings = F.least(F.ceil(F.log2(F.col("_n") / max(dense, 1)) / 2), F.lit(SPLITS)).cast("int")
+    crowded = cut(filled.select(*on, halvings.alias("_k")))
+    within_reach = [*on, "_sx", "_sy"]
+    hits = _score(_placed(pts, crowded, on, cell, reach), _divided(sections, crowded, on, cell), within_reach, differ).where(F.col("_d2") <= F.col("_r2"))
+    best = cut(_best(hits, point_id, within_reach, key, carry))
     missing = pts.join(best.select(point_id), point_id, "left_anti")
-    if within is not None:
-        missing = _located(missing, cell).join(crowded.select(*by, "_cx", "_cy"), [*by, "_cx", "_cy"], "left_semi")
+    if within is not None:  # elsewhere a point without a match has none
+        missing = _located(missing, cell).join(crowded.select(*on), on, "left_semi")
     missing = cut(missing.select(*pts.columns))
-    left = missing.count()
-    if left == 0:
+    if missing.isEmpty():
         return best
-    if within is None and not any_dense and left <= FEW_POINTS:
-        wide = _located(missing, cell * WIDER)
-        wide_net = _register(net, cell * WIDER, reach * WIDER)
-        hits = _score(F.broadcast(wide), wide_net, [*by, "_cx", "_cy"], differ).where(F.col("_d2") <= (reach * WIDER) ** 2)
-        second = cut(_best(hits, point_id, [*by, "_cx", "_cy"], key, carry))
-        best = best.unionByName(second)
-        found = second.count()
-        if found == left:
-            return best
-        missing = missing.join(second.select(point_id), point_id, "left_anti")
-    rest = _tree_search(missing, net, point_id, key, by, carry, cell / 16 if any_dense else cell, differ, within)
-    return best.unionByName(rest)
+    deepest = crowded.agg(F.coalesce(F.max("_k"), F.lit(0))).first()[0]
+    return best.unionByName(_tree_search(missing, net, point_id, key, by, carry, cell / 2 ** min(deepest, 4), differ, within))
 
 
 def _score(points: DataFrame, pieces: DataFrame, on: Sequence[str], differ) -> DataFrame:
@@ -147,7 +162,7 @@ def _tree_search(points, pieces, point_id, key, by, carry, cell, differ, within=
     the rest is refined. Few cells per point survive, however far the network is.
     """
     tag = [differ[1]] if differ else []
-    leaves = _register(pieces, cell, 0.0)
+    leaves = _sections(pieces, cell, 0.0).drop("_x1", "_y1", "_x2", "_y2")
     # representatives of two different tags per cell, so that one always differs
     anchor = F.struct(*[F.col(c).alias("_tag") for c in tag], F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     ends = [F.min(anchor).alias("_r0")] + ([F.max(anchor).alias("_r1")] if differ else [])
@@ -165,15 +180,18 @@ def _tree_search(points, pieces, point_id, key, by, carry, cell, differ, within=
         d2 = squared_gap(foot("x", "y", *geometry), "x", "y", *geometry)
         return F.when(F.col(differ[0]) != F.col(f"{row_rep}._tag"), d2) if differ else d2
 
+    salt = F.pmod(F.xxhash64(point_id), F.lit(SALTS))
     found = points.withColumns({"_cx": F.lit(0).cast("bigint"), "_cy": F.lit(0).cast("bigint"), "_u": F.lit(float("inf"))})
     for level in range(depth - 1, -1, -1):
         side = cell * 4**level
         up = cells.withColumns({"_cx": F.floor(F.col("_cx") / 4**level), "_cy": F.floor(F.col("_cy") / 4**level)})
         up = up.groupBy(*by, "_cx", "_cy").agg(F.min("_r0").alias("_r0"), *([F.max("_r1").alias("_r1")] if differ else []))
         up = up.withColumns({"_kx": F.col("_cx"), "_ky": F.col("_cy"), "_cx": F.floor(F.col("_cx") / 4), "_cy": F.floor(F.col("_cy") / 4)})
-        if 16 * 4 ** (2 * (depth - level - 1)) <= SMALL_TABLE and not by:
-            up = F.broadcast(up)  # the level has at most that many cells
-        step = found.join(up, [*by, "_cx", "_cy"])
+        on = [*by, "_cx", "_cy"]
+        if depth - level <= 2:  # at most 16, then 256 cells for each value of ``by``: copied, so that points spread over the copies
+            up = up.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+            found, on = found.withColumn("_salt", salt), [*on, "_salt"]
+        step = found.join(up, on)
         low_x, low_y = F.col("_kx") * side + x0 * cell, F.col("_ky") * side + y0 * cell
         gap_x = F.greatest(low_x - F.col("x"), F.col("x") - (low_x + side), F.lit(0.0))
         gap_y = F.greatest(low_y - F.col("y"), F.col("y") - (low_y + side), F.lit(0.0))
@@ -215,7 +233,7 @@ def within_distance(
     if clash:
         raise ValueError(f"rename columns present on both sides: {clash}")
     on = [*by, "_cx", "_cy"]
-    pairs = _score(_located(points, side), _register(pieces, side, r, once=True), on, None).where(F.col("_d2") <= r * r)
+    pairs = _score(_located(points, side), _register(pieces, side, r), on, None).where(F.col("_d2") <= r * r)
     back = {f"_p_{c}": c for c in pieces.columns if c not in on}
     return (
         pairs.withColumnsRenamed(back).withColumnsRenamed({"_t": "t"}).withColumn("dist", F.sqrt("_d2")).drop("_cx", "_cy", "_d2")

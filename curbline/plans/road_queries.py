@@ -117,13 +117,14 @@ def _(s: Scene):
     return out.select("predir", "chains", "clusters", dm("nearest_gap").alias("gap_dm"), "real_gap")
 
 
-@query("gr05_network_distance", "SELECT signal_id, count(*) AS nodes, CAST(sum(CAST(floor(d * 10 + 0.500001) AS BIGINT)) AS BIGINT) AS total_dm FROM (SELECT signal_id, node, d FROM net_dist WHERE node IN (SELECT c FROM (SELECT n.c, count(*) AS k FROM net_node n GROUP BY n.c) q WHERE k <> 2)) z GROUP BY signal_id")
+_REAL_NODES = "(SELECT c, min(x) AS x, min(y) AS y FROM net_node n JOIN net_ends e ON e.e = n.v GROUP BY c HAVING count(*) <> 2 OR count(DISTINCT (round(x * 1000), round(y * 1000))) > 1)"
+
+
+@query("gr05_network_distance", f"SELECT signal_id, {Q.dm('n.x')} AS node_x_dm, {Q.dm('n.y')} AS node_y_dm, {Q.dm('d')} AS d_dm FROM net_dist w JOIN {_REAL_NODES} n ON n.c = w.node")
 def _(s: Scene):
     far = N.network_distance(s.places(s.net_chains).select("signal_id", "chain_id", "m"), s.net, start_id="signal_id")
-    # a closed loop opens at a place that is no real node: leave those out of the comparison
-    ends = s.net.select(F.explode(F.array("node_a", "node_b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("ends"))
-    far = far.join(ends.where("ends <> 2"), "node", "left_semi")
-    return far.groupBy("signal_id").agg(F.count(F.lit(1)).alias("nodes"), F.sum(dm("d")).alias("total_dm"))
+    far = far.join(N.graph_nodes(s.net_chains, s.net, by=["predir"]).where("NOT opening"), "node")
+    return far.select("signal_id", dm("x").alias("node_x_dm"), dm("y").alias("node_y_dm"), dm("d").alias("d_dm"))
 
 
 @query("gr06_network_count", f"SELECT p.signal_id, count(h.incident_id) AS crashes, count(h.incident_id) FILTER (WHERE h.severity = 'Fatal') AS fatal FROM signals p LEFT JOIN net_hit h USING (signal_id) GROUP BY p.signal_id")
@@ -138,6 +139,18 @@ def _(s: Scene):
     return N.frontier_summary(starts, N.window_frontier(starts, s.graph, start_id="signal_id"), start_id="signal_id")
 
 
+_EDGE_SPOTS = """(SELECT d.signal_id, e.seg_id, 300 - d.d AS pos FROM net_dist d JOIN net_edges e ON e.na = d.node
+ UNION SELECT d.signal_id, e.seg_id, e.len - (300 - d.d) FROM net_dist d JOIN net_edges e ON e.nb = d.node UNION SELECT signal_id, seg_id, d0 - 300 FROM net_start UNION SELECT signal_id, seg_id, d0 + 300 FROM net_start)"""
+
+
+@query("gr07_frontier_places", f"SELECT z.signal_id, {Q.dm('p.x1 + (p.x2 - p.x1) * pos / p.len')} AS x_dm, {Q.dm('p.y1 + (p.y2 - p.y1) * pos / p.len')} AS y_dm FROM {_EDGE_SPOTS} z JOIN net_edges e USING (seg_id) JOIN pieces p USING (seg_id) "
+       "LEFT JOIN net_dist a ON a.signal_id = z.signal_id AND a.node = e.na LEFT JOIN net_dist b ON b.signal_id = z.signal_id AND b.node = e.nb LEFT JOIN net_start o ON o.signal_id = z.signal_id AND o.seg_id = z.seg_id "
+       "WHERE pos > 0 AND pos < e.len AND least(coalesce(a.d + pos, 1e18), coalesce(b.d + e.len - pos, 1e18), coalesce(abs(pos - o.d0), 1e18)) >= 300 - 1e-6")
+def _(s: Scene):
+    ends = N.window_frontier(s.places(s.net_chains).select("signal_id", "chain_id", "m"), s.net, start_id="signal_id")
+    return CH.place(ends, s.net_chains, point_id="signal_id").select("signal_id", dm("x").alias("x_dm"), dm("y").alias("y_dm"))
+
+
 @query("gr08_network_vs_radius", "SELECT sample_id, by_network, by_radius FROM (SELECT s.sample_id, count(*) FILTER (WHERE abs(i.m - s.m) <= 300) AS by_network, count(*) FILTER (WHERE (i.x - s.x) * (i.x - s.x) + (i.y - s.y) * (i.y - s.y) <= 90000) AS by_radius FROM "
        "(SELECT concat(chain_id, '-', k) AS sample_id, chain_id, 60e0 + k * 120e0 AS m, x1 + (60e0 + k * 120e0 - m_start) / len * (x2 - x1) AS x, y1 + (60e0 + k * 120e0 - m_start) / len * (y2 - y1) AS y FROM chains CROSS JOIN (SELECT unnest(generate_series(0, (SELECT CAST(ceil(max(m_start + len) / 120e0) AS BIGINT) FROM chains))) AS k) z WHERE 60e0 + k * 120e0 >= m_start AND 60e0 + k * 120e0 < m_start + len) s "
        "LEFT JOIN on_chain i USING (chain_id) GROUP BY s.sample_id) q")
@@ -189,10 +202,18 @@ def _(s: Scene):
     return s.safe.select("safe_id", "street", "signalized", dm("m").alias("m_dm"))
 
 
-@query("lr07_distance_stats", f"SELECT street, count(*) AS incidents, {Q.n('is_fatal')} AS fatal, {Q.dm('avg(along_m)')} AS mean_dm, {Q.dm('max(along_m)')} AS max_dm, {Q.n('along_m / 0.3048e0 <= 100')} AS near, {Q.n('along_m / 0.3048e0 > 250')} AS in_gap, {Q.n('along_m / 0.3048e0 > 100 AND along_m / 0.3048e0 <= 250')} AS between_n FROM related_dist GROUP BY street")
+@query("lr07_distance_stats", f"SELECT street, count(*) AS incidents, {Q.n('is_fatal')} AS fatal, {Q.dm('avg(along_m)')} AS mean_dm, {Q.dm('max(along_m)')} AS max_dm, {Q.n('along_m / 0.3048e0 <= 100')} AS near, {Q.n('along_m / 0.3048e0 > 250')} AS in_gap, {Q.n('along_m / 0.3048e0 > 100 AND along_m / 0.3048e0 <= 250')} AS between_n, {Q.dm('median(along_m)')} AS median_dm FROM related_dist GROUP BY street")
 def _(s: Scene):
     out = K.distance_stats(K.crossing_distances(s.incidents, s.safe, s.ref))
-    return out.select("street", "incidents", "fatal", dm("mean_m").alias("mean_dm"), dm("max_m").alias("max_dm"), "near", "in_gap", F.col("between").alias("between_n"))
+    return out.select("street", "incidents", "fatal", dm("mean_m").alias("mean_dm"), dm("max_m").alias("max_dm"), "near", "in_gap", F.col("between").alias("between_n"), dm("median_m").alias("median_dm"))
+
+
+@query("lr07_spacing_stats", f"SELECT street, {Q.dm('avg(gap) FILTER (WHERE is_inner)')} AS mean_dm, {Q.dm('median(gap) FILTER (WHERE is_inner)')} AS median_dm, {Q.dm('max(gap) FILTER (WHERE is_inner)')} AS max_dm, {Q.dm('max(gap)')} AS longest_dm, "
+       f"{Q.dm('max(gap) / (300 * 0.3048e0)')} AS times_300_ft_tenths FROM gaps GROUP BY street")
+def _(s: Scene):
+    out = K.corridor_gaps(s.safe, s.lines)
+    spacing = [dm(f"{c}_spacing").alias(f"{c}_dm") for c in ("mean", "median", "max")]
+    return out.select("street", *spacing, dm("longest_gap").alias("longest_dm"), dm("gap_ratio").alias("times_300_ft_tenths"))
 
 
 @query("lr08_nodes_to_safe", f"SELECT node_id, street, {Q.dm('min(abs(m - sm))')} AS along_dm FROM (SELECT p.node_id, p.street, c.m_start + {Q.foot('p', 'c')} * c.len AS m FROM node_street p JOIN chains c ON c.street = p.street QUALIFY row_number() OVER (PARTITION BY p.node_id, p.street ORDER BY {Q.d2('p', 'c')}, c.seg_id) = 1) q JOIN (SELECT street, m AS sm FROM safe) s USING (street) GROUP BY node_id, street")
@@ -213,9 +234,10 @@ def _(s: Scene):
     return gaps.groupBy("street").agg(F.count(F.lit(1)).alias("gaps"), dm(F.sum("gap")).alias("total_dm"), dm(F.max("gap")).alias("max_dm"))
 
 
-@query("wn04_longest_gap", f"SELECT street, {Q.dm('max(gap)')} AS gap_dm FROM gaps GROUP BY street")
+@query("wn04_longest_gap", f"SELECT street, {Q.dm('gap')} AS gap_dm, {Q.dm('from_m')} AS from_dm, {Q.dm('to_m')} AS to_dm FROM gaps QUALIFY row_number() OVER (PARTITION BY street ORDER BY round(gap, 3) DESC, from_m) = 1")
 def _(s: Scene):
-    return K.corridor_gaps(s.safe, s.lines).select("street", dm("longest_gap").alias("gap_dm"))
+    out = K.corridor_gaps(s.safe, s.lines)
+    return out.select("street", dm("longest_gap").alias("gap_dm"), dm("gap_from").alias("from_dm"), dm("gap_to").alias("to_dm"))
 
 
 _RUNS = "(SELECT street, st, m_start, len, sum(CASE WHEN st = prev THEN 0 ELSE 1 END) OVER (PARTITION BY street ORDER BY m_start) AS run FROM (SELECT c.street, c.m_start, c.len, b.owner AS st, lag(b.owner) OVER (PARTITION BY c.street ORDER BY c.m_start) AS prev FROM chains c JOIN rulebook b USING (seg_id)) a)"
