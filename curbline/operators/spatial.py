@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.functions.geometry import cell_of, cells_near, foot, squared_gap
+from curbline.operators.scan import running_totals
 from curbline.session import cut
 
 GEOMETRY = ("x1", "y1", "x2", "y2")
@@ -246,21 +247,58 @@ def near_any(points: DataFrame, pieces: DataFrame, r: float, *, point_id: str, b
     return within_distance(points.select(point_id, "x", "y", *by), slim, r, by=by).select(point_id).distinct()
 
 
-def points_in_polygon(points: DataFrame, edges: DataFrame, *, point_id: str, polygon: str = "polygon_id", band: float = 500.0) -> DataFrame:
-    """Ids of points inside the union of polygons (JN1), by ray-crossing parity.
+# Cells of polygon covers are moved by this much, so that no border of a cell runs along round coordinates.
+_SHIFT = 0.3819660113
+
 
-    Points meet only edges of their own horizontal band, and only those whose crossing
-    lies to the right; parity is a partial aggregate, so no pair is ever shuffled.
+def polygon_cover(edges: DataFrame, *, polygon: str = "polygon_id", cell: float = 500.0) -> tuple[DataFrame, DataFrame]:
+    """The cells that edges touch, and those wholly inside.
+
+    First table: ``polygon, _cx, _cy, x1, y1, x2, y2, _odd``, an edge per row in each cell it touches, ``_odd`` where the
+    cell's lower left corner is inside. Second: ``_cx, _cy``. Rings must be closed; holes and parts go by even and odd.
+    A corner is inside if the ring crosses the line through it an odd number of times before it: corners and crossings
+    are counted in one running total, as every line is crossed an even number of times as a whole.
     """
+    moved = edges.select(polygon, *[(F.col(c) - _SHIFT).alias(c) for c in GEOMETRY])
+    touched = cut(_register(moved, cell, 0.0))
+    row = Window.partitionBy(polygon, "_cy").orderBy("_cx")  # the border cells of one polygon in one row
+    border = cut(touched.select(polygon, "_cy", "_cx").distinct().withColumn("_next", F.lead("_cx").over(row)))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    flat = edges.where(F.col("y1") != F.col("y2")).select(polygon, *GEOMETRY)
-    banded = flat.withColumn("_band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
-    pts = points.select(point_id, "x", "y").withColumn("_band", cell_of("y", band))
-    above = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossed = pts.join(banded, "_band").where(above & (F.col("x") < at))
-    parity = crossed.groupBy("_band", point_id, polygon).agg((F.count(F.lit(1)) % 2).alias("_odd"))
-    return parity.where(F.col("_odd") == 1).select(point_id).distinct()
+    crossed = moved.withColumns({"_from": F.ceil(low / cell), "_upto": F.ceil(high / cell) - 1}).where("_from <= _upto")
+    crossed = crossed.withColumn("_cy", F.explode(F.sequence("_from", "_upto")))
+    at = F.col("x1") + (F.col("_cy") * cell - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    events = crossed.select(polygon, "_cy", at.alias("_x"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_cx"), F.lit(1).cast("bigint").alias("_n"), F.monotonically_increasing_id().alias("_tie"))
+    asked = border.select(polygon, "_cy", "_cx").unionByName(border.where(F.col("_next") > F.col("_cx") + 1).select(polygon, "_cy", (F.col("_cx") + 1).alias("_cx")))
+    looks = asked.distinct().select(polygon, "_cy", (F.col("_cx") * cell).alias("_x"), F.lit(1).alias("_kind"), "_cx", F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_tie"))
+    order = [F.col(c) for c in (polygon, "_cy", "_x", "_kind", "_tie", "_cx")]
+    corners = running_totals(events.unionByName(looks), order, {"_seen": F.col("_n")}).where(F.col("_kind") == 1)
+    corners = cut(corners.select(polygon, "_cy", "_cx", (F.col("_seen") % 2 == 1).alias("_odd")))
+    gaps = border.where(F.col("_next") > F.col("_cx") + 1).select(polygon, "_cy", (F.col("_cx") + 1).alias("_cx"), "_next").join(corners.where("_odd"), [polygon, "_cy", "_cx"])
+    inside = gaps.select(F.explode(F.sequence("_cx", F.col("_next") - 1)).alias("_cx"), "_cy").distinct()
+    return touched.join(corners, [polygon, "_cy", "_cx"]), inside
+
+
+def points_in_polygon(points: DataFrame, edges: DataFrame, *, point_id: str, polygon: str = "polygon_id", band: float = 500.0) -> DataFrame:
+    """Ids of points inside the union of polygons (JN1), over cells of side ``band``.
+
+    Points in cells wholly inside are settled by an equi join on the cell, those in cells without an edge outside are
+    never looked at again. Only points in cells that an edge touches meet edges, and only those of their own cell: the way
+    from the cell's corner along its left side, then across to the point, changes sides at every edge it crosses.
+    """
+    touched, inside = polygon_cover(edges, polygon=polygon, cell=band)
+    moved = points.select(point_id, (F.col("x") - _SHIFT).alias("x"), (F.col("y") - _SHIFT).alias("y"))
+    located = _located(moved, band)
+    whole = located.join(inside, ["_cx", "_cy"], "left_semi").select(point_id)
+    met = located.join(touched, ["_cx", "_cy"])
+    left = F.col("_cx") * band
+    up = (F.col("x1") > left) != (F.col("x2") > left)
+    up_at = F.col("y1") + (left - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.when(up, F.col("x2") - F.col("x1"))
+    across = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
+    across_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(across, F.col("y2") - F.col("y1"))
+    climbs = F.coalesce((up & (up_at > F.col("_cy") * band) & (up_at <= F.col("y"))).cast("int"), F.lit(0))
+    passes = F.coalesce((across & (across_at > left) & (across_at <= F.col("x"))).cast("int"), F.lit(0))
+    sides = met.groupBy("_cx", "_cy", point_id, polygon).agg(((F.sum(climbs + passes) + F.max(F.col("_odd").cast("int"))) % 2).alias("_in"))
+    return whole.union(sides.where(F.col("_in") == 1).select(point_id)).distinct()
 
 
 def nearest_two_roads(
