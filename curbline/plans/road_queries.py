@@ -18,12 +18,13 @@ from curbline.operators import refresh as I
 from curbline.operators import rules as R
 from curbline.operators import search as S
 from curbline.operators.graph import cluster_points, connected_components
+from curbline.operators.spatial import nearest
 from curbline.plans import checks as Q
 from curbline.plans.queries import _FIRST, FATAL, GOOD, query
 from curbline.plans.scene import CITY_BOX, Scene
 from curbline.session import cut, scratch_dir
 from curbline.sources import readers, writers
-from curbline.streaming import ingest
+from curbline.streaming import generations, ingest
 
 # --- 2.8 rules ---------------------------------------------------------------------------------
 
@@ -391,6 +392,32 @@ def _(s: Scene):
     return now.select("incident_id", "severity", "victims", F.col("row_id").alias("first_event"))
 
 
+_HELD = "person_seq % 11 = 0"
+_STREAM_END = f"(SELECT max(incident_date) FROM person_rows WHERE NOT ({_HELD}))"
+_TAKEN = (
+    f"(SELECT incident_id, min(r) AS r, count(*) AS victims, arg_min(x, (person_seq, incident_date, light)) AS x, arg_min(y, (person_seq, incident_date, light)) AS y FROM (SELECT *, {Q.RANK} AS r FROM person_rows "
+    f"WHERE NOT ({_HELD}) OR incident_date >= {_STREAM_END} - 30) p GROUP BY incident_id)"
+)
+
+
+@query("ing06_stream_upsert", f"SELECT incident_id, {Q.LABEL} AS severity, victims, m.seg_id, (SELECT 2 * count(*) FROM person_rows WHERE {_HELD} AND incident_date < {_STREAM_END} - 30) AS late_rows FROM {_TAKEN} t JOIN ({Q.nearest_piece(_TAKEN, 'incident_id', 'streets', 'seg_id')}) m USING (incident_id)")
+def _(s: Scene):
+    rows = s.person_rows.select("incident_id", "person_seq", "incident_date", "light", "injury", "x", "y")
+    base = f"{scratch_dir(s.spark)}/stream-{uuid.uuid4().hex}"
+    store = generations.Store(f"{base}/store", "incident_id", "person_seq", "incident_date", "injury", ("person_seq", "incident_date", "light"), ("x", "y"))
+
+    def attribute(df):
+        return df.join(nearest(df, s.streets, point_id="incident_id", key=["seg_id"]).select("incident_id", "seg_id"), "incident_id", "left")
+
+    # every eleventh row comes twice, after all others: what is then behind the watermark is put aside
+    for part in (rows.where(f"NOT ({_HELD})"), rows.where(_HELD).unionByName(rows.where(_HELD))):
+        part.write.mode("append").parquet(f"{base}/in")
+        generations.start(store, s.spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/state", attribute).awaitTermination()
+        generations.compact(s.spark, store)
+    behind = generations.late(s.spark, store).agg(F.count(F.lit(1)).alias("late_rows"))
+    return generations.current(s.spark, store, ["seg_id"]).crossJoin(F.broadcast(behind))  # one row
+
+
 # --- 2.1 sources and sinks: derived tables are written in each layout, then scanned back -------------------
 
 
