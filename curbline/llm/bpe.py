@@ -9,8 +9,8 @@ The pair table is built from the rank file: a token is reached by every split in
 their joined bytes. It has one entry per split, so its size is fixed by the vocabulary.
 
 Defined results: a null text counts as empty; an empty text has no ids; lone surrogates cannot occur in Spark strings;
-repeated rows are encoded like any others; an empty table gives an empty result. A piece of n bytes without any break
-costs O(n * n) time and O(n) memory.
+repeated rows are encoded like any others; an empty table gives an empty result. A piece of more than ``_LONG`` bytes
+without any break gets its merges from a heap over linked cells, with the same ids, in n log n time and O(n) memory.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import id_number, id_text, python_batches
+from curbline.llm.common import id_number, id_text, python_batches, tidy
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 _CELLS = 400_000  # cells of one matrix
 _KEPT_PIECES = 100_000  # distinct pieces that one worker keeps before it starts anew
 _PART_CHARS = 250_000  # characters split into pieces at a time
+_LONG = 4096  # bytes of a piece that is merged by itself
 _NO_RANK = np.int64(1 << 40)
 
 
@@ -102,8 +104,10 @@ class Encoder:
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         bucket = np.ceil(np.log2(np.maximum(sizes, 2))).astype(int)
-        for b in np.unique(bucket):
-            rows = np.flatnonzero(bucket == b)
+        for i in np.flatnonzero(sizes > _LONG):
+            out[i] = self._merge_long(pieces[i])
+        for b in np.unique(bucket[sizes <= _LONG]):
+            rows = np.flatnonzero((bucket == b) & (sizes <= _LONG))
             step = max(1, _CELLS >> int(b))
             for at in range(0, len(rows), step):
                 self._merge([pieces[i] for i in rows[at : at + step]], rows[at : at + step], sizes[rows[at : at + step]], out)
@@ -142,6 +146,31 @@ class Encoder:
             has_left = best > 0
             ranks[rows[has_left], before[has_left]] = new_left[has_left]
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """The same merges by a heap of pairs over linked cells: n log n for a piece without a break."""
+        ids = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        after[-1] = -1
+
+        def rank(i: int) -> int | None:
+            j = after[i]
+            return None if j < 0 else self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[j]])
+
+        heap = [(r, i) for i in range(len(ids)) if (r := rank(i)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)  # the leftmost of least rank
+            if ids[i] < 0 or rank(i) != r:
+                continue
+            j = after[i]
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (new := rank(k)) is not None:
+                    heappush(heap, (new, k))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         out: list[np.ndarray] = []
@@ -183,10 +212,25 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "text")
             yield pd.Series([ids.tobytes() for ids in encoder(vocabulary).encode(batch.tolist())])
 
     python_batches(docs.sparkSession)
-    ids = F.pandas_udf(run, "binary")
+    ids = F.pandas_udf(tidy(run), "binary")
     return docs.withColumn("token_ids", ids(text)).withColumn("n_tokens", F.floor(F.length("token_ids") / 4))
 
 
+def encode_and_back(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "text", same: str = "round_trip") -> DataFrame:
+    """``encode``, and whether decoding the ids gives the text back, by one pass through Python."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            coder, texts = encoder(vocabulary), batch.tolist()
+            found = coder.encode(texts)
+            yield pd.DataFrame({"ids": [i.tobytes() for i in found], "same": [coder.decode(i) == (t or "").encode() for i, t in zip(found, texts)]})
+
+    python_batches(docs.sparkSession)
+    done = docs.withColumn("_done", F.pandas_udf(tidy(run), "ids binary, same boolean")(text))
+    done = done.withColumns({"token_ids": F.col("_done.ids"), same: F.col("_done.same")}).drop("_done")
+    return done.withColumn("n_tokens", F.floor(F.length("token_ids") / 4))
+
+
 def decode(docs: DataFrame, *, vocabulary: str = VOCABULARY, out: str = "decoded") -> DataFrame:
     """``docs`` plus the bytes that its ``token_ids`` stand for."""
 
@@ -195,7 +239,7 @@ def decode(docs: DataFrame, *, vocabulary: str = VOCABULARY, out: str = "decoded
             yield pd.Series([encoder(vocabulary).decode(np.frombuffer(b, "<u4")) for b in batch])
 
     python_batches(docs.sparkSession)
-    return docs.withColumn(out, F.pandas_udf(run, "binary")("token_ids"))
+    return docs.withColumn(out, F.pandas_udf(tidy(run), "binary")("token_ids"))
 
 
 def digests(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -211,5 +255,5 @@ def digests(docs: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFrame:
             })
 
     python_batches(docs.sparkSession)
-    found = docs.select(id_text(), "text").mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = docs.select(id_text(), "text").mapInPandas(tidy(run), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return found.withColumn("doc_id", id_number())

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import python_batches
+from curbline.llm.common import python_batches, tidy
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -68,7 +68,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield rows()
 
     learned = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    counts = learned.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = learned.mapInPandas(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # at most BUCKETS rows per language
     languages = sorted(found["lang"].unique())
     table = np.zeros((len(languages), BUCKETS))
@@ -141,7 +141,7 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, out: tupl
                     at, held = i + 1, 0
             yield pd.DataFrame({"lang_pred": names[np.concatenate(best)] if best else [], "score": np.concatenate(score) if score else np.empty(0)})
 
-    found = F.pandas_udf(run, "lang_pred string, score double")(F.col("text"))
+    found = F.pandas_udf(tidy(run), "lang_pred string, score double")(F.col("text"))
     return docs.withColumn("_found", found).withColumns({out[0]: F.col("_found.lang_pred"), out[1]: F.col("_found.score")}).drop("_found")
 
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import id_number, id_text, python_batches
+from curbline.llm.common import id_number, id_text, python_batches, tidy
 from curbline.llm.shingles import mix64, shingle_set
 from curbline.operators.graph import connected_components
 from curbline.session import cut
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             })
 
     rows_in = docs.select(id_text(), "text", F.xxhash64("text").alias("text_hash"))
-    return rows_in.mapInPandas(sign, "doc_id string, text_hash long, n_shingles long, vid long, bands array<long>").withColumn("doc_id", id_number())
+    return rows_in.mapInPandas(tidy(sign), "doc_id string, text_hash long, n_shingles long, vid long, bands array<long>").withColumn("doc_id", id_number())
 
 
 def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -104,7 +104,7 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "upper": batch["upper"], "common": common, "united": united, "novel": novel})
 
     joined = pairs.join(texts.select(F.col("vid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("vid").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "upper", "text_a", "text_b").mapInPandas(measure, "a long, b long, upper boolean, common long, united long, novel array<long>")
+    return joined.select("a", "b", "upper", "text_a", "text_b").mapInPandas(tidy(measure), "a long, b long, upper boolean, common long, united long, novel array<long>")
 
 
 def unsettled(tested: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

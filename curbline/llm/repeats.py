@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbline.llm.common import id_number, id_text, python_batches
+from curbline.llm.common import id_number, id_text, python_batches, tidy
 from curbline.llm.shingles import mix64
 from curbline.session import cut
 
@@ -93,7 +93,7 @@ def _parsed(docs: DataFrame, length: int) -> DataFrame:
             })
 
     schema = "doc_id string, text_hash long, at long, most int, least int, key long, run long"
-    return docs.where(F.length("body") >= length).mapInPandas(parse, schema)
+    return docs.where(F.length("body") >= length).mapInPandas(tidy(parse), schema)
 
 
 def _common(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "key", "at", "most", "least", "many", "large", "left", "right"])
 
     pieces = docs.join(spots, _same_row(docs, spots)).select(*_OWNER, "body", "spots").mapInPandas(
-        gather, "doc_id string, text_hash long, key long, at long, most int, least int, many boolean, large boolean, left binary, right binary")
+        tidy(gather), "doc_id string, text_hash long, key long, at long, most int, least int, many boolean, large boolean, left binary, right binary")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield _compare(pd.concat(held), length)
 
     gathered = pieces.where(~F.col("large")).repartition("key").sortWithinPartitions("key")
-    compared = gathered.drop("large").mapInPandas(compare, _SPAN)
+    compared = gathered.drop("large").mapInPandas(tidy(compare), _SPAN)
 
     def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "key", "many", "begin", "h1", "h2"])
             yield out.assign(h1=out["h1"].astype("uint64").astype("int64"), h2=out["h2"].astype("uint64").astype("int64"))
 
-    single = pieces.where("large").drop("large").mapInPandas(strings, "doc_id string, text_hash long, key long, many boolean, begin long, h1 long, h2 long")
+    single = pieces.where("large").drop("large").mapInPandas(tidy(strings), "doc_id string, text_hash long, key long, many boolean, begin long, h1 long, h2 long")
     seen = single.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
     counted = single.where(~F.col("many")).join(seen, ["key", "h1", "h2"]).select(*_OWNER, "begin", (F.col("begin") + length).alias("end"))
     spans = whole.unionByName(compared).unionByName(counted)
@@ -280,7 +280,7 @@ def digests(docs: DataFrame, *, length: int = 400) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     held = _with_spans(docs, length, _bodies(docs))
-    found = held.select("doc_id", "body", "spans").mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = held.select("doc_id", "body", "spans").mapInPandas(tidy(run), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return found.withColumn("doc_id", id_number())
 
 
@@ -303,5 +303,5 @@ def strip(docs: DataFrame, *, length: int = 400) -> DataFrame:
     others = [c for c in docs.columns if c != "doc_id"]
     bodies = _bodies(docs, *[F.col(c).alias(f"_c_{c}") for c in others])
     held = _with_spans(docs, length, bodies)
-    text = F.when(F.col("spans").isNull(), F.col("_c_text")).otherwise(F.pandas_udf(run, "string")("body", "spans"))
+    text = F.when(F.col("spans").isNull(), F.col("_c_text")).otherwise(F.pandas_udf(tidy(run), "string")("body", "spans"))
     return held.withColumn("_c_text", text).select(*[id_number() if c == "doc_id" else F.col(f"_c_{c}").alias(c) for c in docs.columns])

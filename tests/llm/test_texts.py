@@ -92,3 +92,15 @@ def test_coder_round_trip_and_checkpoints():
     tail = coder.decode([(8_192, words[4 * places[3] :], states[3 * 8 * rans.LANES :], np.array([0]))])[0]
     assert (tail == blocks[6][3 * 8_192 :]).all()
     assert rans.scaled(np.array([3.0])).tolist() == [1 << 20]
+
+
+def test_long_pieces_without_a_break(spark):
+    """The heap gives the ids of the matrices, and a megabyte takes seconds, not hours."""
+    coder = bpe.Encoder(bpe.VOCABULARY, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(1)
+    for piece in (b"a" * 3000, bytes(rng.integers(97, 102, 3000).astype(np.uint8)), ("漢字é" * 300).encode()):
+        assert coder._merge_long(piece).tolist() == coder.encode_pieces([piece])[0].tolist()
+    text = "x" * 500_000 + "".join(map(chr, rng.integers(97, 123, 600_000)))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode_and_back(docs).collect()}
+    assert all(r["round_trip"] for r in got.values()) and 0 < got[1]["n_tokens"] < len(text) and got[2]["n_tokens"] == 0
