@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids (little-endian unsigned 32-bit), and whether they decode to the text."""
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")), out="_back")
-    return done.select("doc_id", "lang", "source", "n_tokens", "token_ids", (F.col("_back") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    done = bpe.encode_and_back(docs.select("doc_id", "lang", "source", "text"), same="round_trip")
+    return done.select("doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip")
 
 
 STAGES = [
