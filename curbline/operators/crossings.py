@@ -11,6 +11,7 @@ from curbline.functions.geometry import cells_near
 from curbline.operators.graph import cluster_points, connected_components
 from curbline.operators.scan import global_rank, percentiles
 from curbline.operators.spatial import as_pieces, within_distance
+from curbline.session import cut
 
 CELL = 100.0
 _EPS = 1e-9
@@ -136,13 +137,15 @@ def merge_radius(gaps: DataFrame) -> float:
 def junction_nodes(crossings: DataFrame, *, radius: float, same_pair: float = 120.0) -> DataFrame:
     """Junctions: crossings merged within ``radius``, and within ``same_pair`` when the two
     names agree. ``node_id, x, y, streets, n_streets`` (GR3)."""
-    close = cluster_points(crossings, radius, point_id="crossing_key", out="_near")
-    pair = cluster_points(crossings, same_pair, point_id="crossing_key", by=["name_a", "name_b"], out="_pair")
-    both = close.join(pair, "crossing_key")
-    # both labels are crossing keys: linking them links the two clusterings
+    # numbers in the order of the keys: the rounds below carry them in place of long strings
+    crossings = cut(global_rank(crossings, [F.col("crossing_key")], "_id"))
+    close = cluster_points(crossings, radius, point_id="_id", out="_near")
+    pair = cluster_points(crossings, same_pair, point_id="_id", by=["name_a", "name_b"], out="_pair")
+    both = cut(close.join(pair, "_id"))
+    # both labels are crossings: linking them links the two clusterings
     comps = connected_components(both.select(F.col("_near").alias("a"), F.col("_pair").alias("b")).distinct())
-    labelled = both.join(comps, both["_near"] == comps["vertex"], "left").select("crossing_key", F.coalesce("component", "_near").alias("_node"))
-    members = crossings.join(labelled, "crossing_key")
+    labelled = both.join(comps, both["_near"] == comps["vertex"], "left").select("_id", F.coalesce("component", "_near").alias("_node"))
+    members = cut(crossings.join(labelled, "_id"))
     centre = members.groupBy("_node").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     names = members.select("_node", F.explode(F.array("name_a", "name_b")).alias("name")).distinct()
     names = names.groupBy("_node").agg(F.array_sort(F.collect_set("name")).alias("streets"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbline.functions import columns as C
+from curbline.session import cut
 
 # Catch-all street names that are no place to look for.
 GENERIC_NAMES = ("ALLEY", "PRIVATE DR")
@@ -85,12 +86,22 @@ def _shortened(word: Column, deletions: int) -> Column:
     return F.array_distinct(forms)
 
 
+def _spelled(parts: DataFrame, words: DataFrame, distance: int) -> DataFrame:
+    """``part, base`` of parts and words at exactly this edit distance (1 or 2), given that none is nearer."""
+    asked = parts.withColumn("_f", F.explode(_shortened(F.col("part"), distance)))
+    held = words.withColumn("_f", F.explode(_shortened(F.col("base"), distance)))
+    pairs = asked.join(held, "_f").select("part", "base").distinct()
+    return pairs.where(F.levenshtein("part", "base") == distance)
+
+
 def match_parts(parts: DataFrame, vocabulary: DataFrame, aliases: DataFrame) -> DataFrame:
     """Candidate base forms per distinct part text (SE2): ``raw, base, quality``.
 
     exact or alias 4, prefix 3, fuzzy 2 (best distance only), contains 1. Prefixes, substrings
     and near spellings are all equi joins: on prefixes, on substrings, and on forms with letters
-    left out, which two words within edit distance d must share. No candidate is capped.
+    left out, which two words within edit distance d must share. As only the best distance counts,
+    a part that is itself a word asks for no other spelling, and forms with two letters left out
+    are built for those parts alone that nothing at distance 1 answers. No candidate is capped.
     """
     raw = parts.select("raw").distinct().withColumns({"key": F.lower(C.squeeze("raw")), "part": C.base_form("raw")}).where("part <> ''")
     words = vocabulary.select("base").distinct().where("base <> ''")
@@ -106,14 +117,11 @@ def match_parts(parts: DataFrame, vocabulary: DataFrame, aliases: DataFrame) ->
     inner = inner.withColumn("_n", F.explode(F.sequence(F.lit(5), F.length("base") - F.col("_i") + 1)))
     inner = inner.select("base", F.col("base").substr(F.col("_i"), F.col("_n")).alias("part")).distinct()
     found = found.unionByName(raw.join(inner, "part").select("raw", "base", F.lit(1).alias("quality")))
-    long = raw.where(F.length("part") >= 4).withColumn("tol", F.when(F.length("part") < 6, F.lit(1)).otherwise(F.lit(2)))
-    forms = F.when(F.col("tol") == 1, _shortened(F.col("part"), 1)).otherwise(_shortened(F.col("part"), 2))
-    asked = long.withColumn("_f", F.explode(forms))
-    held = words.withColumn("_f", F.explode(_shortened(F.col("base"), 2)))
-    near = asked.join(held, "_f").select("raw", "part", "tol", "base").distinct()
-    near = near.withColumn("d", F.levenshtein("part", "base")).where(F.col("d") <= F.col("tol"))
-    best = near.groupBy("raw").agg(F.min("d").alias("d"))
-    found = found.unionByName(near.join(best, ["raw", "d"]).select("raw", "base", F.lit(2).alias("quality")))
+    odd = raw.where(F.length("part") >= 4).select("part").distinct().join(words.select(F.col("base").alias("part")), "part", "left_anti")
+    one = cut(_spelled(odd, words, 1))
+    two = _spelled(odd.where(F.length("part") >= 6).join(one.select("part").distinct(), "part", "left_anti"), words, 2)
+    near = raw.join(one.unionByName(two), "part").select("raw", "base", F.lit(2).alias("quality"))
+    found = found.unionByName(near)
     return found.groupBy("raw", "base").agg(F.max("quality").alias("quality"))
 
 
@@ -126,7 +134,12 @@ def street_candidates(parts: DataFrame, matches: DataFrame, streets: DataFrame,
     """Streets for one-part queries, best first (SE3); ``directions`` adds 0.5 where the query's
     direction agrees and marks a tie of the top two when it gave none (SE5)."""
     single = parts.where("parts = 1").select(query_id, "raw")
-    cands = single.join(matches, "raw").join(streets.select("street", "base", "crashes", "length_m"), "base")
+    # streets of one base differ in nothing but these (and their direction), so only the first few can be answers
+    group = ["base", *(["_side"] if directions else [])]
+    first = Window.partitionBy(*group).orderBy(F.col("crashes").desc(), F.round("length_m", 3).desc(), F.col("street"))
+    few = streets.select("street", "base", "crashes", "length_m", *([C.direction_of("street").alias("_side")] if directions else []))
+    few = few.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= max(limit, 2)).select("street", "base", "crashes", "length_m")
+    cands = single.join(matches, "raw").join(few, "base")
     cands = cands.withColumn("q", F.col("quality").cast("double"))
     if directions:
         cands = cands.withColumn("_d", C.direction_of("raw"))

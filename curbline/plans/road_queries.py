@@ -290,8 +290,7 @@ def _(s: Scene):
 
 def _matches(s: Scene):
     parts = S.split_queries(s.searches)
-    words = s.street_index.select("base").unionByName(s.node_streets.select("base"))
-    return parts, S.match_parts(parts, words, s.aliases)
+    return parts, S.match_parts(parts, s.searched_words, s.aliases)
 
 
 @query("se02_match_parts", "SELECT raw, base, CAST(quality AS BIGINT) AS quality FROM matches")

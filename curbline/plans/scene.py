@@ -184,6 +184,12 @@ class Scene(Tables):
     def node_streets(self) -> DataFrame:
         return cut(S.junction_streets(self.nodes))
 
+    @cached_property
+    def searched_words(self) -> DataFrame:
+        """Base forms of all streets and of all names at junctions (each crossing is part of one junction)."""
+        names = self.met.select(F.explode(F.array("name_a", "name_b")).alias("street"))
+        return self.street_index.select("base").unionByName(names.select(C.base_form("street").alias("base"))).distinct()
+
     @cached_property
     def node_crashes(self) -> DataFrame:
         return self.full_nodes.select("node_id", "crashes")
