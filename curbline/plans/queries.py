@@ -17,6 +17,7 @@ from curbline.operators import overlap as O
 from curbline.operators import rules as R
 from curbline.operators import scan
 from curbline.operators import spatial as P
+from curbline.operators.clip import density_inside
 from curbline.operators.graph import cluster_points
 from curbline.plans import checks as Q
 from curbline.plans.scene import CITY_BOX, MERGE_RADIUS, Scene
@@ -533,6 +534,30 @@ def _(s: Scene):
     return out.withColumns({c: F.round(c, 3) for c in ("miles", "per_mile", "gap_miles")})
 
 
+_IN_CITY = "(SELECT {p}.* FROM {t} {p} WHERE (SELECT count(*) FROM boundary s WHERE (s.y1 > {p}.y) <> (s.y2 > {p}.y) AND {p}.x < s.x1 + ({p}.y - s.y1) * (s.x2 - s.x1) / nullif(s.y2 - s.y1, 0e0)) % 2 = 1)"
+_CUTS = (
+    "(SELECT seg_id, t FROM (SELECT s.seg_id, ((r.x1 - s.x1) * (r.y2 - r.y1) - (r.y1 - s.y1) * (r.x2 - r.x1)) / nullif((s.x2 - s.x1) * (r.y2 - r.y1) - (s.y2 - s.y1) * (r.x2 - r.x1), 0e0) AS t, "
+    "((r.x1 - s.x1) * (s.y2 - s.y1) - (r.y1 - s.y1) * (s.x2 - s.x1)) / nullif((s.x2 - s.x1) * (r.y2 - r.y1) - (s.y2 - s.y1) * (r.x2 - r.x1), 0e0) AS u FROM pieces s CROSS JOIN boundary r) q "
+    "WHERE t > 0 AND t < 1 AND u BETWEEN -1e-9 AND 1.000000001e0 UNION ALL SELECT seg_id, unnest([0e0, 1e0]) FROM pieces)"
+)
+_SPANS = f"(SELECT seg_id, t AS t0, lead(t) OVER (PARTITION BY seg_id ORDER BY t) AS t1 FROM {_CUTS} c)"
+_PARTS = (
+    "(SELECT *, sum(len) OVER (PARTITION BY street) AS chain_len, coalesce(sum(len) OVER (PARTITION BY street ORDER BY seg_id, t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS m_start FROM ("
+    "SELECT s.street, w.seg_id, t0, s.len * (t1 - t0) AS len, s.x1 + t0 * (s.x2 - s.x1) AS x1, s.y1 + t0 * (s.y2 - s.y1) AS y1, s.x1 + t1 * (s.x2 - s.x1) AS x2, s.y1 + t1 * (s.y2 - s.y1) AS y2, s.x1 + (t0 + t1) / 2 * (s.x2 - s.x1) AS x, "
+    f"s.y1 + (t0 + t1) / 2 * (s.y2 - s.y1) AS y FROM {_SPANS} w JOIN pieces s USING (seg_id) WHERE t1 - t0 > 1e-9) z WHERE " + _IN_CITY.split(" WHERE ", 1)[1][:-1].format(p="z") + ")"
+)
+
+
+@query("ag33_density_inside", f"SELECT * FROM (WITH parts AS {_PARTS}, own AS (SELECT street, any_value(chain_len) AS chain_len FROM parts GROUP BY street), near AS (SELECT street, m FROM (SELECT p.signal_id, s.street, s.m_start + {Q.foot()} * s.len AS m, row_number() OVER (PARTITION BY p.signal_id, s.street ORDER BY sqrt({Q.d2()}), s.seg_id, s.t0) AS rn "
+       f"FROM {_IN_CITY.format(p='p', t='marked')} p JOIN parts s ON {Q.d2()} <= 900e0) w WHERE rn = 1), gap AS (SELECT street, max(gap) AS g FROM (SELECT street, pos - lag(pos) OVER (PARTITION BY street ORDER BY pos) AS gap FROM (SELECT street, m AS pos FROM near UNION ALL SELECT street, 0e0 FROM own UNION ALL SELECT street, chain_len FROM own) u) z GROUP BY street) "
+       "SELECT street, round(chain_len / 1609.344e0, 3) AS miles, coalesce(c, 0) AS crossings, round(coalesce(c, 0) / (chain_len / 1609.344e0), 3) AS per_mile, round(CASE WHEN c >= 2 THEN g ELSE chain_len END / 1609.344e0, 3) AS gap_miles, coalesce(c, 0) / (chain_len / 1609.344e0) >= 4 AND CASE WHEN c >= 2 THEN g ELSE chain_len END / 1609.344e0 <= 1 AS usable, "
+       "CASE WHEN c >= 2 THEN g ELSE chain_len END / 1609.344e0 >= 3 AS cliff FROM own LEFT JOIN (SELECT street, count(*) AS c FROM near GROUP BY street) k USING (street) LEFT JOIN gap USING (street)) whole")
+def _(s: Scene):
+    marked = s.tagged.where(C.is_marked("markings")).select("signal_id", "x", "y")
+    out = density_inside(marked, s.streets, s.boundary, point_id="signal_id")
+    return out.withColumns({c: F.round(c, 3) for c in ("miles", "per_mile", "gap_miles")})
+
+
 @query("ag34_inside_outside", f"SELECT k.signal_id IS NOT NULL AS inside, lower(coalesce(markings, '')) AS markings, {MARKED} AS is_marked, count(*) AS n FROM tagged t LEFT JOIN (SELECT signal_id FROM tagged p JOIN boundary s ON (s.y1 > p.y) <> (s.y2 > p.y) AND p.x < s.x1 + (p.y - s.y1) * (s.x2 - s.x1) / nullif(s.y2 - s.y1, 0e0) GROUP BY signal_id HAVING count(*) % 2 = 1) k USING (signal_id) GROUP BY 1, 2, 3")
 def _(s: Scene):
     inside = P.points_in_polygon(s.tagged, s.boundary, point_id="signal_id").withColumn("_in", F.lit(True))

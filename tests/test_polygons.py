@@ -55,3 +55,23 @@ def test_empty_tables(spark):
     assert [r[0] for r in points_in_polygon(points, square, point_id="pid").collect()] == [1]
     assert points_in_polygon(points.limit(0), square, point_id="pid").collect() == []
     assert points_in_polygon(points, square.limit(0), point_id="pid").collect() == []
+
+
+def test_clipped_lines(spark):
+    """Stretches inside a ring with a hole, by hand and by sampling."""
+    from curbline.operators.clip import clip_lines
+
+    outer, hole = np.array([[0, 0], [1000, 0], [1000, 1000], [0, 1000]]), np.array([[400, 400], [600, 400], [600, 600], [400, 600]])
+    edges = _edges([(1, outer), (1, hole)])
+    rng = np.random.default_rng(6)
+    lines = np.concatenate([[[-500, 500, 1500, 500], [100, 100, 200, 300], [-10, -10, -20, 900], [-50, 250, 300, 250]], rng.uniform(-300, 1300, (40, 4))])
+    segs = pd.DataFrame(lines, columns=["x1", "y1", "x2", "y2"]).assign(seg_id=np.arange(len(lines)), street="A")
+    got = clip_lines(spark.createDataFrame(segs), spark.createDataFrame(edges), by=["street"], cell=300.0).toPandas()
+    assert got[got.seg_id == 0].sort_values("t0")[["x1", "x2"]].to_numpy().round(6).tolist() == [[0, 400], [600, 1000]]
+    assert got[got.seg_id == 1][["t0", "t1"]].to_numpy().tolist() == [[0, 1]] and not (got.seg_id == 2).any()
+    share = np.linspace(0, 1, 401)[1:-1] + 1e-5
+    for i, (a, b, c, d) in enumerate(lines):
+        own = got[got.seg_id == i]
+        inside = np.array([_inside(a + t * (c - a), b + t * (d - b), edges) for t in share])
+        held = np.array([((own.t0 <= t) & (t <= own.t1)).any() for t in share])
+        assert (inside == held).mean() > 0.99
