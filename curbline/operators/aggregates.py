@@ -281,3 +281,19 @@ def snap_quality(df: DataFrame, distance: str = "dist", far: float = 40.0) -> Da
     """Mean, largest and far-off snap distances (AG16); the median comes from ``percentiles``."""
     d = F.col(distance)
     return df.agg(F.count(d).alias("n"), F.avg(d).alias("mean_m"), F.max(d).alias("max_m"), F.count_if(C.flag(d > far)).alias("far"), C.percent(F.count_if(C.flag(d > far)), F.count(d)).alias("far_pct"))
+
+
+def ambiguity_kinds(status: DataFrame, nodes: DataFrame, road_m: DataFrame, *, off_road: float = 20.0) -> DataFrame:
+    """Why field and place disagree about a junction (AG25): one row.
+
+    ``not_reported``: not reported at a junction, yet within reach of a covered one. ``not_found``: reported at one, but
+    none is in reach. ``off_road``: reported at a junction and farther than that from any through-road (``road_m``:
+    incident_id, dist).
+    """
+    covered = nodes.where("on_covered").select(F.col("node_id").alias("intersection_node_id"), F.lit(True).alias("_covered"))
+    both = status.join(covered, "intersection_node_id", "left").join(road_m.select("incident_id", F.col("dist").alias("_road")), "incident_id", "left")
+    at, lost = F.col("at_intersection"), F.col("intersection_node_id").isNull()
+    return both.agg(
+        F.count_if(~at & C.flag(F.col("_covered"))).alias("not_reported"), F.count_if(at & lost).alias("not_found"), F.count_if(at & C.flag(F.col("_road") > off_road)).alias("off_road"),
+        F.count_if(at & lost & C.flag(F.col("_road") > off_road)).alias("not_found_off_road"),
+    )

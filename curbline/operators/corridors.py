@@ -149,6 +149,12 @@ def corridor_gaps(positions: DataFrame, lines: DataFrame, *, good_ft: float = 30
     return out.withColumn("gap_ratio", F.col("longest_gap") / (good_ft * METRES_PER_FOOT))
 
 
+def safe_summary(safe: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per road with safe crossings (LC2): how many, how many signalized, their spacing and the longest gap."""
+    count = safe.groupBy("street").agg(F.count(F.lit(1)).alias("safe_n"), F.count_if("signalized").alias("signal_n"))
+    return count.join(corridor_gaps(safe, lines), LINE, "left").select("street", "safe_n", "signal_n", "longest_gap", "median_spacing", "gap_ratio")
+
+
 def crossing_density(points: DataFrame, ref: DataFrame, lines: DataFrame, *, point_id: str, r: float = 30.0, per_mile: float = 4.0, max_gap: float = 1.0, cliff: float = 3.0) -> DataFrame:
     """Per road: length, crossings, crossings per mile, longest gap, usable and cliff flags (AG33)."""
     on = near_lines(points, ref, r, point_id=point_id)

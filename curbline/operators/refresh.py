@@ -66,6 +66,33 @@ def quality_gates(old: DataFrame, new: DataFrame, *, least_share: float, may_los
     return both.select(F.explode(F.array(*gates)).alias("_g")).select("_g.*")
 
 
+def _gate_rows(counts: DataFrame, gates: list[Column]) -> DataFrame:
+    return counts.select(F.explode(F.array(*gates)).alias("_g")).select("_g.*")
+
+
+def source_gates(declared: DataFrame, local: DataFrame, downloaded: DataFrame, *, least_share: float = 0.9) -> DataFrame:
+    """Gates on the pull itself (ING4): the source does not declare far fewer rows (``declared``: one row, ``n``) than are
+    held, and exactly as many rows came as it declared."""
+    count = lambda df, out: df.agg(F.count(F.lit(1)).alias(out), F.lit(1).alias("_one"))
+    both = declared.select(F.col("n").alias("declared"), F.lit(1).alias("_one")).join(count(local, "held"), "_one").join(count(downloaded, "came"), "_one")  # one row each
+    c = F.col
+    return _gate_rows(both, [
+        gate("enough_declared", ok=c("declared") >= least_share * c("held"), value=c("declared")), gate("all_declared_came", ok=c("came") == c("declared"), value=c("came") - c("declared")),
+    ])
+
+
+def index_gates(incidents: DataFrame, ranking: DataFrame, streets: DataFrame, *, most_unlisted: int = 25) -> DataFrame:
+    """Gates on what was built (ING4): corridor totals sum to the incidents, and the street index, which leaves generic
+    names out, to nearly as many."""
+    one = F.lit(1).alias("_one")
+    both = incidents.agg(F.count(F.lit(1)).alias("n"), one).join(ranking.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("ranked"), one), "_one")
+    both = both.join(streets.agg(F.coalesce(F.sum("crashes"), F.lit(0)).alias("listed"), one), "_one")  # one row each
+    left = F.col("n") - F.col("listed")
+    return _gate_rows(both, [
+        gate("corridors_sum", ok=F.col("ranked") == F.col("n"), value=F.col("ranked")), gate("street_index_sum", ok=left.between(0, most_unlisted), value=left),
+    ])
+
+
 def require(gates: DataFrame) -> None:
     """Stop the refresh when a gate failed (a handful of rows on the driver)."""
     failed = [r["gate"] for r in gates.where(~F.col("passed")).collect()]

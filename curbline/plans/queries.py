@@ -367,6 +367,12 @@ def _(s: Scene):
     return A.top(A.totals_by(s.incidents.join(hit, "incident_id"), ["route"]), 10, "crashes", "fatal", tie="route")
 
 
+@query("ag10_routes_by_deaths", f"SELECT r.name AS route, {Q.n(FATAL)} AS fatal, count(*) AS crashes FROM incidents i JOIN incident_route m USING (incident_id) JOIN routes r ON r.route_id = m.route_id WHERE m.dist <= 30 GROUP BY r.name ORDER BY fatal DESC, crashes DESC, route LIMIT 10")
+def _(s: Scene):
+    hit = P.nearest(s.incidents, s.routes, point_id="incident_id", key=["route_id"], carry=["name"], within=30.0).select("incident_id", F.col("name").alias("route"))
+    return A.top(A.totals_by(s.incidents.join(hit, "incident_id"), ["route"]), 10, "fatal", "crashes", tie="route").select("route", "fatal", "crashes")
+
+
 _TESTS = {"dark": "light LIKE 'Dark%'", "unlit": "light = 'Dark-Not Lighted'", "wide": "lanes >= 4", "fast": "speed >= 40", "wide_fast": "lanes >= 4 AND speed >= 40"}
 
 
@@ -482,6 +488,13 @@ def _(s: Scene):
     return s.signal_status.groupBy(F.col("intersection_signalized").alias("status"), "at_intersection", "is_ambiguous").agg(F.count(F.lit(1)).alias("crashes"), A.n_fatal().alias("fatal"))
 
 
+@query("ag25_ambiguity_kinds", f"SELECT {Q.n('NOT at_intersection AND coalesce(k.on_covered, false)')} AS not_reported, {Q.n('at_intersection AND intersection_node_id IS NULL')} AS not_found, {Q.n('at_intersection AND t.dist > 20')} AS off_road, "
+       f"{Q.n('at_intersection AND intersection_node_id IS NULL AND t.dist > 20')} AS not_found_off_road FROM signal_status x LEFT JOIN marked_nodes k ON k.node_id = x.intersection_node_id LEFT JOIN ({Q.nearest_piece('incidents', 'incident_id', 'through', 'seg_id')}) t USING (incident_id)")
+def _(s: Scene):
+    road = P.nearest(s.incidents, s.through, point_id="incident_id", key=["seg_id"]).select("incident_id", "dist")
+    return A.ambiguity_kinds(s.signal_status, s.marked_nodes, road)
+
+
 @query("ag26_signals_per_street", "SELECT street, count(*) AS signalized FROM node_street JOIN marked_nodes USING (node_id) WHERE signalized AND street IN (SELECT street FROM covered_streets) GROUP BY street")
 def _(s: Scene):
     share = A.exploded_signal_share(s.marked_nodes).where("signalized > 0").select("street", "signalized")

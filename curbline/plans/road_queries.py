@@ -265,19 +265,21 @@ def _(s: Scene):
     return facts.select("signal_id", "street", "road_owner", dm("snap_m").alias("snap_dm"), "has_sidewalk", "window_crashes", "window_fatal", dm("connected_m").alias("connected_dm"), "all_n", "m12_n", "node_id")
 
 
-@query("lc02_corridor_facts", f"SELECT x.street, r.rank, coalesce(r.total, 0) AS total, coalesce(r.fatal, 0) AS fatal, coalesce(o.city, 0) AS city_crashes, coalesce(o.state, 0) AS state_crashes, coalesce(o.lim, 0) AS limited_crashes, CASE WHEN x.street IN (SELECT street FROM covered_streets) THEN coalesce(k.n, 0) END AS signalized, z.safe_n FROM street_index x "
+@query("lc02_corridor_facts", f"SELECT x.street, r.rank, coalesce(r.total, 0) AS total, coalesce(r.fatal, 0) AS fatal, coalesce(o.city, 0) AS city_crashes, coalesce(o.state, 0) AS state_crashes, coalesce(o.lim, 0) AS limited_crashes, CASE WHEN x.street IN (SELECT street FROM covered_streets) THEN coalesce(k.n, 0) END AS signalized, z.safe_n, z.signal_n, {Q.dm('x.length_m')} AS length_dm, CAST(x.owner_code AS BIGINT) AS owner_code, {Q.dm('h.longest')} AS longest_dm, {Q.dm('h.med')} AS spacing_dm FROM street_index x "
        "LEFT JOIN (SELECT street, total, fatal, row_number() OVER (ORDER BY total DESC, fatal DESC, street) AS rank FROM ranking) r USING (street) LEFT JOIN (SELECT street, count(*) FILTER (WHERE owner = 'City') AS city, count(*) FILTER (WHERE owner = 'State route') AS state, count(*) FILTER (WHERE owner NOT IN ('City', 'State route')) AS lim FROM classified GROUP BY street) o USING (street) "
-       "LEFT JOIN (SELECT street, count(*) FILTER (WHERE signalized) AS n FROM node_street JOIN marked_nodes USING (node_id) GROUP BY street) k USING (street) LEFT JOIN (SELECT street, count(*) AS safe_n FROM safe GROUP BY street) z USING (street)")
+       "LEFT JOIN (SELECT street, count(*) FILTER (WHERE signalized) AS n FROM node_street JOIN marked_nodes USING (node_id) GROUP BY street) k USING (street) LEFT JOIN (SELECT street, count(*) AS safe_n, count(*) FILTER (WHERE signalized) AS signal_n FROM safe GROUP BY street) z USING (street) LEFT JOIN (SELECT street, max(gap) AS longest, median(gap) FILTER (WHERE is_inner) AS med FROM gaps WHERE street IN (SELECT street FROM safe) GROUP BY street) h USING (street)")
 def _(s: Scene):
-    summary = s.safe.groupBy("street").agg(F.count(F.lit(1)).alias("safe_n"))
+    summary = K.safe_summary(s.safe, s.lines)
     out = K.corridor_facts(s.ranked, s.classified, s.street_index, A.exploded_signal_share(s.marked_nodes), s.covered, summary)
-    return out.select("street", "rank", "total", "fatal", "city_crashes", "state_crashes", "limited_crashes", "signalized", "safe_n")
+    return out.select("street", "rank", "total", "fatal", "city_crashes", "state_crashes", "limited_crashes", "signalized", "safe_n", "signal_n", dm("length_m").alias("length_dm"), F.col("owner_code").cast("bigint").alias("owner_code"), dm("longest_gap").alias("longest_dm"), dm("median_spacing").alias("spacing_dm"))
 
 
-@query("lc03_junction_facts", "SELECT node_id, crashes, deaths, CASE WHEN signalized THEN 'y' WHEN on_covered THEN 'n' ELSE 'u' END AS status FROM full_nodes")
+@query("lc03_junction_facts", f"SELECT node_id, d.display, {Q.dm('x')} AS x_dm, {Q.dm('y')} AS y_dm, crashes, deaths, CASE WHEN signalized THEN 'y' WHEN on_covered THEN 'n' ELSE 'u' END AS status, CAST(round_even(f.m / 0.3048e0, 0) AS BIGINT) AS safe_ft FROM full_nodes "
+       "JOIN (SELECT node_id, string_agg(i.display, ' & ' ORDER BY i.street) AS display FROM node_street JOIN street_index i USING (street) GROUP BY node_id) d USING (node_id) "
+       f"LEFT JOIN (SELECT node_id, min(abs(m - sm)) AS m FROM (SELECT p.node_id, p.street, c.m_start + {Q.foot('p', 'c')} * c.len AS m FROM node_street p JOIN chains c ON c.street = p.street QUALIFY row_number() OVER (PARTITION BY p.node_id, p.street ORDER BY {Q.d2('p', 'c')}, c.seg_id) = 1) q JOIN (SELECT street, m AS sm FROM safe) s USING (street) GROUP BY node_id) f USING (node_id)")
 def _(s: Scene):
     out = K.junction_facts(s.full_nodes, K.nodes_to_safe(s.nodes, s.safe, s.ref))
-    return out.select("node_id", "crashes", "deaths", "status")
+    return out.select("node_id", "display", dm("x").alias("x_dm"), dm("y").alias("y_dm"), "crashes", "deaths", "status", "safe_ft")
 
 
 # --- 2.9 search --------------------------------------------------------------------------------------
@@ -362,6 +364,17 @@ def _(s: Scene):
     return I.quality_gates(s.classified.where("incident_id % 97 <> 0"), s.classified.where("incident_id % 89 <> 0"), least_share=0.9, may_lose=5, may_gain=75)
 
 
+_CAME = "(SELECT count(*) FROM person_rows WHERE incident_id % 89 <> 0)"
+
+
+@query("ing04_source_and_index_gates", f"SELECT 'enough_declared' AS gate, {_CAME} >= 0.9e0 * (SELECT count(*) FROM person_rows WHERE incident_id % 97 <> 0) AS passed, {_CAME} AS value UNION ALL SELECT 'all_declared_came', true, 0 "
+       "UNION ALL SELECT 'corridors_sum', (SELECT sum(total) FROM ranking) = (SELECT count(*) FROM named), (SELECT CAST(sum(total) AS BIGINT) FROM ranking) UNION ALL SELECT 'street_index_sum', d BETWEEN 0 AND 25, d FROM (SELECT CAST((SELECT count(*) FROM named) - (SELECT sum(crashes) FROM street_index) AS BIGINT) AS d) q")
+def _(s: Scene):
+    new = s.person_rows.where("incident_id % 89 <> 0")
+    pull = I.source_gates(new.agg(F.count(F.lit(1)).alias("n")), s.person_rows.where("incident_id % 97 <> 0"), new)
+    return pull.unionByName(I.index_gates(s.named, s.ranking, s.street_index))
+
+
 @query("ing05_status_delta", "SELECT count(*) AS common, count(*) FILTER (WHERE n0 IS NULL AND n1 IS NOT NULL) AS gained_node, count(*) FILTER (WHERE n0 IS NOT NULL AND n1 IS NULL) AS lost_node, count(*) FILTER (WHERE s0 <> s1) AS status_changed FROM (SELECT CASE WHEN incident_id % 7 = 0 THEN NULL ELSE intersection_node_id END AS n0, intersection_node_id AS n1, CASE WHEN incident_id % 5 = 0 THEN 'no' ELSE intersection_signalized END AS s0, intersection_signalized AS s1 FROM signal_status) q")
 def _(s: Scene):
     before = s.signal_status.withColumn("intersection_node_id", F.when(F.col("incident_id") % 7 != 0, F.col("intersection_node_id")))
