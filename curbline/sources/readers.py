@@ -10,16 +10,39 @@ POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.D
 LINES = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 
 
-def _pages(spark: SparkSession, path: str, attributes: T.StructType, geometry: T.DataType | None, box: str) -> DataFrame:
+# Texts that open every feature in a document without spaces: pages of a feature service, GeoJSON, map elements.
+PAGED, GEOJSON = '{"attributes"', '{"type":"Feature"'
+
+
+def _pages(spark: SparkSession, path: str, attributes: T.StructType, geometry: T.DataType | None, box: str, opens: str | None = None) -> DataFrame:
     fields = [T.StructField(box, attributes)] + ([T.StructField("geometry", geometry)] if geometry else [])
+    if opens:
+        return cut_documents(spark, path, T.StructType(fields), opens).withColumnRenamed("item", "f")
     page = T.StructType([T.StructField("features", T.ArrayType(T.StructType(fields)))])
     # one small document per file: files, not lines, are the unit of work
     return spark.read.schema(page).json(path, multiLine=True).select(F.explode("features").alias("f"))
 
 
-def scan_feature_pages(spark: SparkSession, path: str, attributes: T.StructType) -> DataFrame:
-    """Folder of paged JSON to one row per feature (SRC1)."""
-    return _pages(spark, path, attributes, None, "attributes").select("f.attributes.*")
+def cut_documents(spark: SparkSession, path: str, item: T.StructType, opens: str) -> DataFrame:
+    """Items of large JSON documents as rows ``item``, one document read by many tasks.
+
+    ``opens``: the text every item starts with, which occurs nowhere else. Spark cuts the file there wherever its byte
+    ranges fall, so a single document of any length is split like a file of lines; only one item at a time is parsed. What
+    follows an item's closing brace is left out, what stands before the first item dropped. An item that cannot be parsed
+    raises an error, so a text that also occurs inside an item cannot pass unseen.
+    """
+    rows = spark.read.text(path, lineSep=opens).select(F.trim("value").alias("_v"))
+    goes_on = F.substring("_v", 1, 1).isin(":", ",")  # the head of a document does not
+    parsed = F.from_json(F.concat(F.lit(opens), "_v"), T.StructType([*item.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    held = rows.where(goes_on).select(goes_on.alias("_goes_on"), parsed.alias("_i"))
+    # filters may move before one another: the head must not be reported, whichever is first
+    sound = F.when(F.col("_goes_on") & (F.col("_i").isNull() | F.col("_i._bad").isNotNull()), F.raise_error(F.concat(F.lit("not a whole item: "), F.coalesce(F.substring("_i._bad", 1, 200), F.lit("null")))).cast(item))
+    return held.select(sound.otherwise(F.struct(*[F.col("_i")[f.name].alias(f.name) for f in item.fields])).alias("item"))
+
+
+def scan_feature_pages(spark: SparkSession, path: str, attributes: T.StructType, *, opens: str | None = None) -> DataFrame:
+    """Folder of paged JSON to one row per feature (SRC1). ``opens``, here and below: see ``cut_documents``."""
+    return _pages(spark, path, attributes, None, "attributes", opens).select("f.attributes.*")
 
 
 def lines_to_pieces(lines: DataFrame, paths: Column) -> DataFrame:
@@ -34,7 +57,7 @@ def lines_to_pieces(lines: DataFrame, paths: Column) -> DataFrame:
     return out.drop("_v", "_p")
 
 
-def scan_line_features(spark: SparkSession, path: str, attributes: T.StructType, *, geojson: bool = False) -> DataFrame:
+def scan_line_features(spark: SparkSession, path: str, attributes: T.StructType, *, geojson: bool = False, opens: str | None = None) -> DataFrame:
     """Line layers to pieces, features without geometry skipped (SRC2).
 
     Paged form: ``geometry.paths``. GeoJSON: LineString or MultiLineString, whose coordinates are
@@ -42,31 +65,31 @@ def scan_line_features(spark: SparkSession, path: str, attributes: T.StructType,
     """
     if geojson:
         shape = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
-        rows = _pages(spark, path, attributes, shape, "properties").select("f.properties.*", F.col("f.geometry").alias("_g"))
+        rows = _pages(spark, path, attributes, shape, "properties", opens).select("f.properties.*", F.col("f.geometry").alias("_g"))
         text = F.when(F.col("_g.type") == "LineString", F.concat(F.lit("["), F.col("_g.coordinates"), F.lit("]"))).otherwise(F.col("_g.coordinates"))
         rows = rows.where(F.col("_g.type").isin("LineString", "MultiLineString")).withColumn("_paths", F.from_json(text, LINES)).drop("_g")
     else:
         shape = T.StructType([T.StructField("paths", LINES)])
-        rows = _pages(spark, path, attributes, shape, "attributes").select("f.attributes.*", F.col("f.geometry.paths").alias("_paths"))
+        rows = _pages(spark, path, attributes, shape, "attributes", opens).select("f.attributes.*", F.col("f.geometry.paths").alias("_paths"))
     return lines_to_pieces(rows.where(F.size("_paths") > 0), F.col("_paths")).drop("_paths")
 
 
-def scan_polygon(spark: SparkSession, path: str, *, polygon: str = "polygon_id") -> DataFrame:
+def scan_polygon(spark: SparkSession, path: str, *, polygon: str = "polygon_id", opens: str | None = None) -> DataFrame:
     """Boundary features to edges (SRC3): one polygon id per feature, all its rings together.
 
     Ring parity makes holes; ``points_in_polygon`` unions the features.
     """
     shape = T.StructType([T.StructField("rings", LINES)])
     empty = T.StructType([])
-    rows = _pages(spark, path, empty, shape, "attributes").select(F.xxhash64(F.to_json("f.geometry")).alias(polygon), F.col("f.geometry.rings").alias("_r"))
+    rows = _pages(spark, path, empty, shape, "attributes", opens).select(F.xxhash64(F.to_json("f.geometry")).alias(polygon), F.col("f.geometry.rings").alias("_r"))
     # the same feature on two pages must not cancel itself in the parity
     rows = rows.where(F.size("_r") > 0).dropDuplicates([polygon])
     return lines_to_pieces(rows, F.col("_r")).select(polygon, "x1", "y1", "x2", "y2")
 
 
-def scan_points(spark: SparkSession, path: str, attributes: T.StructType, *, lon: str, lat: str) -> DataFrame:
+def scan_points(spark: SparkSession, path: str, attributes: T.StructType, *, lon: str, lat: str, opens: str | None = None) -> DataFrame:
     """Point features: geometry first, attribute coordinates second, neither drops the row (SRC4)."""
-    rows = _pages(spark, path, attributes, POINT, "attributes").select("f.attributes.*", F.col("f.geometry").alias("_g"))
+    rows = _pages(spark, path, attributes, POINT, "attributes", opens).select("f.attributes.*", F.col("f.geometry").alias("_g"))
     out = rows.withColumns({"x": F.coalesce(F.col("_g.x"), F.col(lon)), "y": F.coalesce(F.col("_g.y"), F.col(lat))}).drop("_g")
     return out.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
@@ -74,7 +97,7 @@ def scan_points(spark: SparkSession, path: str, attributes: T.StructType, *, lon
 TAGS = ("highway", "crossing", "crossing:markings", "crossing:signals", "footway")
 
 
-def _elements(spark: SparkSession, path: str) -> DataFrame:
+def _elements(spark: SparkSession, path: str, opens: str | None = None) -> DataFrame:
     place = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
     element = T.StructType(
         [
@@ -83,22 +106,23 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
         ]
     )
     page = T.StructType([T.StructField("elements", T.ArrayType(element))])
-    rows = spark.read.schema(page).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+    whole = cut_documents(spark, path, element, opens).select(F.col("item").alias("e")) if opens else spark.read.schema(page).json(path, multiLine=True).select(F.explode("elements").alias("e"))
+    rows = whole.select("e.*")
     tags = {t.split(":")[-1]: F.coalesce(F.try_element_at("tags", F.lit(t)), F.lit("")) for t in TAGS}
     return rows.withColumns(tags).drop("tags")
 
 
-def scan_tagged(spark: SparkSession, path: str) -> DataFrame:
+def scan_tagged(spark: SparkSession, path: str, *, opens: str | None = None) -> DataFrame:
     """Map elements as points (SRC5): nodes where they are, ways at their centre."""
-    rows = _elements(spark, path)
+    rows = _elements(spark, path, opens)
     node = F.col("type") == "node"
     out = rows.withColumns({"y": F.when(node, F.col("lat")).otherwise(F.col("center.lat")), "x": F.when(node, F.col("lon")).otherwise(F.col("center.lon"))})
     return out.where("x is not null and y is not null").drop("lat", "lon", "center", "geometry")
 
 
-def scan_tagged_lines(spark: SparkSession, path: str) -> DataFrame:
+def scan_tagged_lines(spark: SparkSession, path: str, *, opens: str | None = None) -> DataFrame:
     """Ways with at least two vertices as pieces (SRC5)."""
-    rows = _elements(spark, path).where((F.col("type") == "way") & (F.size("geometry") >= 2))
+    rows = _elements(spark, path, opens).where((F.col("type") == "way") & (F.size("geometry") >= 2))
     path_of = F.array(F.transform("geometry", lambda p: F.array(p["lon"], p["lat"])))
     return lines_to_pieces(rows.withColumn("_paths", path_of).drop("lat", "lon", "center", "geometry"), F.col("_paths")).drop("_paths")
 
