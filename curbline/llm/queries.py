@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbline.llm import bpe, collisions, imatch, language, lloyd, minhash, mixing, pipelined, quality, quotes, rans, recipes, repeats
+from curbline.llm import bpe, check_sql, collisions, imatch, language, lloyd, minhash, mixing, pipelined, quality, quotes, rans, recipes, repeats
 from curbline.llm.common import table
 from curbline.session import scratch_dir
 
@@ -76,4 +76,7 @@ QUERIES = {f.__name__: f for f in (
     op1_collision_counting, op2_imatch_fingerprints, op3_systematic_mix, op4_rans_token_files, op5_minhash_near_duplicates, op6_quotation_threads, op7_quadratic_quality, op8_matrix_bpe, op9_mixture_language,
     op10_prefix_free_repeats, op11_pipelined_terms, op12_chunk_recipes, op13_heap_bounds,
 )}
-CHECKS = {"op3_systematic_mix": mixing.check_sql(), "op11_pipelined_terms": pipelined.CHECK_SQL, "op12_chunk_recipes": recipes.CHECK_SQL, "op13_heap_bounds": lloyd.check_sql()}
+CHECKS = {
+    "op3_systematic_mix": mixing.check_sql(), "op5_minhash_near_duplicates": check_sql.near_duplicates(), "op10_prefix_free_repeats": check_sql.repeats(),
+    "op11_pipelined_terms": pipelined.CHECK_SQL, "op12_chunk_recipes": recipes.CHECK_SQL, "op13_heap_bounds": lloyd.check_sql(),
+}
