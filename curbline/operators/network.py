@@ -196,10 +196,11 @@ def sample_points(chains: DataFrame, *, first: float = 60.0, step: float = 120.0
 
 
 def branch_stubs(graph: DataFrame, incidents: DataFrame, *, by: Sequence[str]) -> DataFrame:
-    """Lines whose clusters join several chains, with incidents off the primary chain (GR9)."""
+    """Lines whose clusters join several chains, with incidents off the primary chain (GR9): the longest, to the
+    millimetre, and of equals that of the smallest id."""
     counts = incidents.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"))
     full = graph.join(counts, "chain_id", "left").fillna(0, ["_n"])
-    primary = F.min(F.struct((-F.col("chain_len")).alias("l"), F.col("chain_id").alias("c"), F.col("_n").alias("n")))
+    primary = F.min(F.struct((-F.round("chain_len", 3)).alias("l"), F.col("chain_id").alias("c"), F.col("_n").alias("n")))
     per = full.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("_chains"), F.sum("_n").alias("_all"), primary.getField("n").alias("_main"))
     folded = F.sum(F.when(F.col("_chains") >= 2, F.col("_all") - F.col("_main")).otherwise(F.lit(0)))
     out = per.groupBy(*by).agg(F.sum("_chains").alias("chains"), F.count(F.lit(1)).alias("clusters"), F.max("_chains").alias("_most"), folded.alias("folded_incidents"))

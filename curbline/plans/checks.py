@@ -281,6 +281,15 @@ def _views() -> dict[str, str]:
     v["net_touch_reach"] = "SELECT seg_id AS a, seg_id AS b FROM pieces UNION SELECT r.a, l.b FROM net_touch_reach r JOIN net_touch_link l ON l.a = r.b"
     v["net_piece_cluster"] = "SELECT p.seg_id, p.predir, min(r.b) AS c FROM pieces p JOIN net_touch_reach r ON r.a = p.seg_id GROUP BY ALL"
     v["net_chain_end"] = "SELECT e.predir, e.x, e.y, c.c FROM net_ends e JOIN net_piece_cluster c ON c.seg_id = e.e // 2 QUALIFY count(*) OVER (PARTITION BY e.predir, e.x, e.y) <> 2"
+    # chains of that network: pieces joined where exactly two ends meet; a chain is called after the smaller of its end pieces
+    v["net_joint"] = "SELECT predir, x, y FROM net_ends GROUP BY predir, x, y HAVING count(*) = 2"
+    at = "{0}.predir = j.predir AND {0}.x = j.x AND {0}.y = j.y"
+    v.update(components("net_chain_of", f"SELECT a.e // 2 AS a, b.e // 2 AS b FROM net_joint j JOIN net_ends a ON {at.format('a')} JOIN net_ends b ON {at.format('b')}", "SELECT seg_id AS v FROM pieces"))
+    v["net_open"] = f"SELECT DISTINCT e // 2 AS seg_id FROM net_ends e WHERE NOT EXISTS (SELECT 1 FROM net_joint j WHERE {at.format('e')})"
+    v["net_chain"] = (
+        "SELECT k.c, p.predir, any_value(q.c) AS cluster, sum(p.len) AS len, coalesce(min(o.seg_id), min(p.seg_id)) AS chain_id, CAST(coalesce(sum(i.n), 0) AS BIGINT) AS n FROM pieces p JOIN net_chain_of k ON k.v = p.seg_id "
+        "JOIN net_piece_cluster q ON q.seg_id = p.seg_id LEFT JOIN net_open o ON o.seg_id = p.seg_id LEFT JOIN (SELECT seg_id, count(*) AS n FROM net_inc GROUP BY seg_id) i ON i.seg_id = p.seg_id GROUP BY k.c, p.predir"
+    )
     # search
     v["base_words"] = "SELECT street, regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g') AS base FROM streets"
     v["street_index"] = (

@@ -159,7 +159,8 @@ def _(s: Scene):
     return K.network_vs_radius(cut(N.sample_points(s.chains)), s.on_chain, s.graph)
 
 
-@query("gr09_branch_stubs")
+@query("gr09_branch_stubs", "SELECT predir, CAST(sum(chains) AS BIGINT) AS chains, count(*) AS clusters, CAST(sum(CASE WHEN chains >= 2 THEN al - main ELSE 0 END) AS BIGINT) AS folded_incidents FROM (SELECT predir, cluster, count(*) AS chains, CAST(sum(n) AS BIGINT) AS al, "
+       "arg_min(n, (-round(len, 3), chain_id)) AS main FROM net_chain GROUP BY predir, cluster) q GROUP BY predir HAVING max(chains) >= 2")
 def _(s: Scene):
     return N.branch_stubs(s.net, s.net_incidents, by=["predir"])
 
