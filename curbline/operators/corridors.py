@@ -17,6 +17,7 @@ from curbline.operators.graph import cluster_points
 from curbline.operators.overlap import _pairs
 from curbline.operators.scan import group_median, percentiles
 from curbline.operators.spatial import as_pieces, nearest, nearest_point, nearest_two_roads, within_distance
+from curbline.session import cut
 
 LINE = ["street"]
 
@@ -60,6 +61,22 @@ def bearing(dx: Column, dy: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(180.0))
 
 
+def merged_places(lines: DataFrame, points: DataFrame, *, place_id: str, r: float = 8.0) -> DataFrame:
+    """Marked lines and points merged to places by single linkage of their middles within ``r`` (LR4, AG33).
+
+    A place is stood for by its longest line, else by its first point (the smallest id, also of equally long lines):
+    ``place, place_id, is_line, n_lines, n_points, x1, y1, x2, y2``. ``place_id`` is unique over both inputs.
+    """
+    shape = ["x1", "y1", "x2", "y2"]
+    both = lines.select(place_id, *shape, F.lit(True).alias("is_line")).unionByName(as_pieces(points).select(place_id, *shape, F.lit(False).alias("is_line")))
+    both = cut(both.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2}))
+    labels = cluster_points(both, r, point_id=place_id, out="place")
+    length = F.round(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 3)
+    best = F.min(F.struct((~F.col("is_line")).alias("late"), (-length).alias("short"), place_id, *shape)).alias("_b")
+    out = both.join(labels, place_id).groupBy("place").agg(best, F.count_if("is_line").alias("n_lines"), F.count_if(~F.col("is_line")).alias("n_points"))
+    return out.select("place", f"_b.{place_id}", (~F.col("_b.late")).alias("is_line"), "n_lines", "n_points", *[f"_b.{c}" for c in shape])
+
+
 def crossing_lines(lines: DataFrame, ref: DataFrame, *, line_id: str, r: float = 30.0, touch: float = 12.0, angle: float = 45.0, reach: float = 8.0) -> DataFrame:
     """Lines that really cross a road: steeper than ``angle`` to it and within ``touch`` (LR4).
 

@@ -208,6 +208,13 @@ def _views() -> dict[str, str]:
     )
     v["walk_points"] = "SELECT signal_id, x, y FROM marked WHERE signal_id % 3 <> 0"
 
+    # each line of the first table also twice more, beside it and longer, and each point once more, far or near
+    v["drawn"] = (
+        "SELECT signal_id * 4 + k AS place_id, true AS is_line, (x1 + x2) / 2 + k * 3e0 AS x, (y1 + y2) / 2 AS y, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) * (1e0 + (k * 7 + signal_id) % 5) AS len FROM walk_lines CROSS JOIN (VALUES (0), (1), (2)) t(k) "
+        "UNION ALL SELECT signal_id * 4 + k, false, x + k * (signal_id % 13), y, 0e0 FROM walk_points CROSS JOIN (VALUES (0), (1)) t(k)"
+    )
+    v.update(components("drawn_place", f"SELECT a.place_id AS a, b.place_id AS b FROM drawn a JOIN drawn b ON {gap2()} <= 64e0", "SELECT place_id AS v FROM drawn"))
+
     def near_lines(points: str, pid: str, r: float) -> str:
         return (
             f"SELECT p.{pid}, s.street, s.seg_id, s.m_start + {foot()} * s.len AS m, sqrt({d2()}) AS dist FROM {points} p JOIN chains s ON {d2()} <= {r * r}e0 "

@@ -194,6 +194,16 @@ def _(s: Scene):
     return s.kept_marked.select("place_id", "street")
 
 
+@query("lr04_merged_places", "SELECT c AS place, arg_min(place_id, (NOT is_line, -round(len, 3), place_id)) AS place_id, bool_or(is_line) AS is_line, count(*) FILTER (WHERE is_line) AS n_lines, count(*) FILTER (WHERE NOT is_line) AS n_points FROM drawn JOIN drawn_place ON v = place_id GROUP BY c")
+def _(s: Scene):
+    grown = lambda c, d: (F.col(f"{c}1") + F.col(f"{c}2")) / 2 + d * (F.col(f"{c}2") - F.col(f"{c}1")) / 2 * (1 + (F.col("k") * 7 + F.col("signal_id")) % 5)
+    lines = s.walk_lines.withColumn("k", F.explode(F.array(*map(F.lit, range(3)))))
+    lines = lines.select((F.col("signal_id") * 4 + F.col("k")).alias("place_id"), *[(grown("x", d) + F.col("k") * 3).alias(f"x{i}") for i, d in ((1, -1), (2, 1))], *[grown("y", d).alias(f"y{i}") for i, d in ((1, -1), (2, 1))])
+    points = s.walk_points.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    points = points.select((F.col("signal_id") * 4 + F.col("k")).alias("place_id"), (F.col("x") + F.col("k") * (F.col("signal_id") % 13)).alias("x"), "y")
+    return K.merged_places(lines, points, place_id="place_id").select("place", "place_id", "is_line", "n_lines", "n_points")
+
+
 @query("lr05_junction_signals", "SELECT place_id, street FROM kept_signals")
 def _(s: Scene):
     return s.kept_signals.select("place_id", "street")
