@@ -269,8 +269,13 @@ def _(s: Scene):
     return K.match_rate(s.nodes, s.signal_crossings, a_id="node_id", b_id="crossing_id")
 
 
-@query("jn16_nearest_two_roads", f"SELECT signal_id, street, {Q.dm('dist')} AS dist_dm, nxt AS next_road, {Q.dm('nd')} AS next_dm, nd - dist <= 15 AS is_ambiguous, nd - dist > 15 AND dist > 35 AS is_far FROM (SELECT signal_id, street, dist, lead(street) OVER w AS nxt, lead(dist) OVER w AS nd, row_number() OVER w AS place FROM ("
-       f"SELECT p.signal_id, s.street, min(sqrt({Q.d2()})) AS dist, arg_min(s.seg_id, ({Q.d2()}, s.seg_id)) AS seg FROM signals p CROSS JOIN streets s GROUP BY p.signal_id, s.street) q WINDOW w AS (PARTITION BY signal_id ORDER BY dist, seg)) z WHERE place = 1")
+_TWO_ROADS = (
+    f"SELECT signal_id, street, {Q.dm('dist')} AS dist_dm, nxt AS next_road, {Q.dm('nd')} AS next_dm, nd - dist <= 15 AS is_ambiguous, nd - dist > 15 AND dist > 35 AS is_far FROM (SELECT signal_id, street, dist, lead(street) OVER w AS nxt, lead(dist) OVER w AS nd, row_number() OVER w AS place FROM ("
+       f"SELECT p.signal_id, s.street, min(sqrt({Q.d2()})) AS dist, arg_min(s.seg_id, ({Q.d2()}, s.seg_id)) AS seg FROM signals p CROSS JOIN streets s GROUP BY p.signal_id, s.street) q WINDOW w AS (PARTITION BY signal_id ORDER BY dist, seg)) z WHERE place = 1"
+)
+
+
+@query("jn16_nearest_two_roads", _TWO_ROADS)
 def _(s: Scene):
     two = P.nearest_two_roads(s.signals, s.streets, point_id="signal_id", road="street", key=["seg_id"])
     return two.select("signal_id", "street", dm("dist").alias("dist_dm"), "next_road", dm("next_dist").alias("next_dm"), "is_ambiguous", "is_far")

@@ -20,7 +20,7 @@ from curbline.operators import search as S
 from curbline.operators.graph import cluster_points, connected_components
 from curbline.operators.spatial import nearest
 from curbline.plans import checks as Q
-from curbline.plans.queries import _FIRST, FATAL, GOOD, query
+from curbline.plans.queries import _FIRST, _MONTHS, _TWO_ROADS, FATAL, GOOD, query
 from curbline.plans.scene import CITY_BOX, Scene
 from curbline.session import cut, scratch_dir
 from curbline.sources import readers, writers
@@ -266,14 +266,20 @@ def _(s: Scene):
 # --- fact tables -----------------------------------------------------------------------------------
 
 
-@query("lc01_location_facts", f"SELECT g.signal_id, s.street, b.owner AS road_owner, {Q.dm('g.dist')} AS snap_dm, w.has_sidewalk, coalesce(k.n, 0) AS window_crashes, coalesce(k.f, 0) AS window_fatal, {Q.dm('l.chain_len')} AS connected_dm, coalesce(t.all_n, 0) AS all_n, coalesce(t.m12_n, 0) AS m12_n, CASE WHEN d.dist <= 35 THEN d.node_id END AS node_id FROM signal_segment g JOIN streets s USING (seg_id) JOIN rulebook b ON b.seg_id = g.seg_id JOIN lines l ON l.street = s.street "
+_RECENT_COLUMNS = [f"{w}_{kind}" for w in ("all", "m12", "m6", "m3", "m1") for kind in ("n", "fatal")]
+_RECENT = ", ".join(f"coalesce(t.{c}, 0) AS {c}" for c in _RECENT_COLUMNS)
+_LIMITS = ", ".join(f"max(incident_date) - INTERVAL {m} MONTH AS lim{m}" for m in (12, 6, 3, 1))
+
+
+@query("lc01_location_facts", f"SELECT g.signal_id, s.street, b.owner AS road_owner, {Q.dm('g.dist')} AS snap_dm, w.has_sidewalk, coalesce(k.n, 0) AS window_crashes, coalesce(k.f, 0) AS window_fatal, {Q.dm('l.chain_len')} AS connected_dm, CASE WHEN d.dist <= 35 THEN d.node_id END AS node_id, CASE WHEN d.dist <= 35 THEN {Q.dm('d.dist')} END AS node_dm, y.next_road, y.next_dm, y.is_ambiguous, y.is_far, v.owner_varies, {_RECENT} FROM signal_segment g JOIN streets s USING (seg_id) JOIN rulebook b ON b.seg_id = g.seg_id JOIN lines l ON l.street = s.street "
        "JOIN (SELECT p.seg_id, coalesce(h.dist <= 20, false) AS has_sidewalk FROM streets p LEFT JOIN (" + Q.nearest_piece("(SELECT seg_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM streets)", "seg_id", "sidewalks", "walk_id") + ") h USING (seg_id)) w ON w.seg_id = g.seg_id "
        f"LEFT JOIN (SELECT z.signal_id, count(*) AS n, count(*) FILTER (WHERE severity = 'Fatal') AS f FROM (SELECT g.signal_id, c.street, c.m_start + g.t * c.len AS m FROM signal_segment g JOIN chains c USING (seg_id)) z JOIN on_chain i ON i.street = z.street AND abs(i.m - z.m) <= 300 GROUP BY z.signal_id) k ON k.signal_id = g.signal_id "
-       "LEFT JOIN (SELECT street, count(*) AS all_n, count(*) FILTER (WHERE incident_date >= lim) AS m12_n FROM named CROSS JOIN (SELECT max(incident_date) - INTERVAL 12 MONTH AS lim FROM incidents) e GROUP BY street) t ON t.street = s.street "
+       f"LEFT JOIN (SELECT street, count(*) AS all_n, {Q.n(FATAL)} AS all_fatal, {_MONTHS} FROM named CROSS JOIN (SELECT {_LIMITS} FROM incidents) e GROUP BY street) t ON t.street = s.street JOIN ({_TWO_ROADS}) y ON y.signal_id = g.signal_id "
+       "JOIN (SELECT street, count(DISTINCT owner) > 1 AS owner_varies FROM rulebook GROUP BY street) v ON v.street = s.street "
        f"LEFT JOIN ({Q.nearest_place('signals', 'signal_id', 'nodes', 'node_id')}) d ON d.signal_id = g.signal_id")
 def _(s: Scene):
     facts = K.location_facts(s.signals, s.chains, s.graph, s.on_chain, s.rulebook.select("seg_id", "owner"), s.sidewalks, s.nodes, place_id="signal_id")
-    return facts.select("signal_id", "street", "road_owner", dm("snap_m").alias("snap_dm"), "has_sidewalk", "window_crashes", "window_fatal", dm("connected_m").alias("connected_dm"), "all_n", "m12_n", "node_id")
+    return facts.select("signal_id", "street", "road_owner", dm("snap_m").alias("snap_dm"), "has_sidewalk", "window_crashes", "window_fatal", dm("connected_m").alias("connected_dm"), "node_id", dm("node_m").alias("node_dm"), "next_road", dm("next_dist").alias("next_dm"), "is_ambiguous", "is_far", "owner_varies", *_RECENT_COLUMNS)
 
 
 @query("lc02_corridor_facts", f"SELECT x.street, r.rank, coalesce(r.total, 0) AS total, coalesce(r.fatal, 0) AS fatal, coalesce(o.city, 0) AS city_crashes, coalesce(o.state, 0) AS state_crashes, coalesce(o.lim, 0) AS limited_crashes, CASE WHEN x.street IN (SELECT street FROM covered_streets) THEN coalesce(k.n, 0) END AS signalized, z.safe_n, z.signal_n, {Q.dm('x.length_m')} AS length_dm, CAST(x.owner_code AS BIGINT) AS owner_code, {Q.dm('h.longest')} AS longest_dm, {Q.dm('h.med')} AS spacing_dm FROM street_index x "
