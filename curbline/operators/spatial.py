@@ -249,25 +249,35 @@ def near_any(points: DataFrame, pieces: DataFrame, r: float, *, point_id: str, b
 
 # Cells of polygon covers are moved by this much, so that no border of a cell runs along round coordinates.
 _SHIFT = 0.3819660113
+_RIM = 0.01
+
+
+def _crossed_at(y: Column) -> Column:
+    """Where an edge crosses the height ``y``: one formula for all looks, so that a point or corner on an edge has one side."""
+    return F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
 
 
 def polygon_cover(edges: DataFrame, *, polygon: str = "polygon_id", cell: float = 500.0) -> tuple[DataFrame, DataFrame]:
     """The cells that edges touch, and those wholly inside.
 
-    First table: ``polygon, _cx, _cy, x1, y1, x2, y2, _odd``, an edge per row in each cell it touches, ``_odd`` where the
-    cell's lower left corner is inside. Second: ``_cx, _cy``. Rings must be closed; holes and parts go by even and odd.
+    First table: ``polygon, _cx, _cy, x1, y1, x2, y2, _odd``, an edge as given per row in each cell it touches, ``_odd`` where
+    the cell's lower left corner is inside, ``_over`` where the edge meets the line of the cell's left side above that corner.
+    Second: ``_cx, _cy``. Rings must be closed; holes and parts go by even and odd.
     A corner is inside if the ring crosses the line through it an odd number of times before it: corners and crossings
     are counted in one running total, as every line is crossed an even number of times as a whole.
     """
-    moved = edges.select(polygon, *[(F.col(c) - _SHIFT).alias(c) for c in GEOMETRY])
-    touched = cut(_register(moved, cell, 0.0))
+    moved = edges.select(polygon, *[(F.col(c) - _SHIFT).alias(c) for c in GEOMETRY], *[F.col(c).alias(f"_as_{c}") for c in GEOMETRY])
+    # with a margin, so that rounding cannot put a point on an edge into a cell that no edge touches
+    bottom, rises = F.col("_cy") * cell, (F.col("x2") > F.col("x1")) == (F.col("y2") > F.col("y1"))
+    over = F.when((F.col("y1") > bottom) != (F.col("y2") > bottom), rises == (_crossed_at(bottom) <= F.col("_cx") * cell)).otherwise(F.col("y1") > bottom)
+    touched = _register(moved, cell, _RIM).withColumn("_over", over)
+    touched = cut(touched.drop(*GEOMETRY).withColumnsRenamed({f"_as_{c}": c for c in GEOMETRY}))
     row = Window.partitionBy(polygon, "_cy").orderBy("_cx")  # the border cells of one polygon in one row
     border = cut(touched.select(polygon, "_cy", "_cx").distinct().withColumn("_next", F.lead("_cx").over(row)))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     crossed = moved.withColumns({"_from": F.ceil(low / cell), "_upto": F.ceil(high / cell) - 1}).where("_from <= _upto")
     crossed = crossed.withColumn("_cy", F.explode(F.sequence("_from", "_upto")))
-    at = F.col("x1") + (F.col("_cy") * cell - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    events = crossed.select(polygon, "_cy", at.alias("_x"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_cx"), F.lit(1).cast("bigint").alias("_n"), F.monotonically_increasing_id().alias("_tie"))
+    events = crossed.select(polygon, "_cy", _crossed_at(F.col("_cy") * cell).alias("_x"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_cx"), F.lit(1).cast("bigint").alias("_n"), F.monotonically_increasing_id().alias("_tie"))
     asked = border.select(polygon, "_cy", "_cx").unionByName(border.where(F.col("_next") > F.col("_cx") + 1).select(polygon, "_cy", (F.col("_cx") + 1).alias("_cx")))
     looks = asked.distinct().select(polygon, "_cy", (F.col("_cx") * cell).alias("_x"), F.lit(1).alias("_kind"), "_cx", F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_tie"))
     order = [F.col(c) for c in (polygon, "_cy", "_x", "_kind", "_tie", "_cx")]
@@ -286,17 +296,17 @@ def points_in_polygon(points: DataFrame, edges: DataFrame, *, point_id: str, pol
     from the cell's corner along its left side, then across to the point, changes sides at every edge it crosses.
     """
     touched, inside = polygon_cover(edges, polygon=polygon, cell=band)
-    moved = points.select(point_id, (F.col("x") - _SHIFT).alias("x"), (F.col("y") - _SHIFT).alias("y"))
-    located = _located(moved, band)
+    located = points.select(point_id, "x", "y", cell_of(F.col("x") - _SHIFT, band).alias("_cx"), cell_of(F.col("y") - _SHIFT, band).alias("_cy"))
     whole = located.join(inside, ["_cx", "_cy"], "left_semi").select(point_id)
     met = located.join(touched, ["_cx", "_cy"])
-    left = F.col("_cx") * band
-    up = (F.col("x1") > left) != (F.col("x2") > left)
-    up_at = F.col("y1") + (left - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.when(up, F.col("x2") - F.col("x1"))
-    across = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
-    across_at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(across, F.col("y2") - F.col("y1"))
-    climbs = F.coalesce((up & (up_at > F.col("_cy") * band) & (up_at <= F.col("y"))).cast("int"), F.lit(0))
-    passes = F.coalesce((across & (across_at > left) & (across_at <= F.col("x"))).cast("int"), F.lit(0))
+    left, y = F.col("_cx") * band + _SHIFT, F.col("y")
+    up, across = (F.col("x1") > left) != (F.col("x2") > left), (F.col("y1") > y) != (F.col("y2") > y)
+    rises = (F.col("x2") > F.col("x1")) == (F.col("y2") > F.col("y1"))
+    # the plain ray test on the coordinates as given: a point on an edge falls to the same side as there
+    beyond = _crossed_at(y) > left
+    under = F.when(across, rises == beyond).otherwise(F.col("y1") <= y)
+    climbs = F.coalesce((up & F.col("_over") & under).cast("int"), F.lit(0))
+    passes = F.coalesce((across & beyond & (_crossed_at(y) <= F.col("x"))).cast("int"), F.lit(0))
     sides = met.groupBy("_cx", "_cy", point_id, polygon).agg(((F.sum(climbs + passes) + F.max(F.col("_odd").cast("int"))) % 2).alias("_in"))
     return whole.union(sides.where(F.col("_in") == 1).select(point_id)).distinct()
 

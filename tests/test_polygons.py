@@ -75,3 +75,25 @@ def test_clipped_lines(spark):
         inside = np.array([_inside(a + t * (c - a), b + t * (d - b), edges) for t in share])
         held = np.array([((own.t0 <= t) & (t <= own.t1)).any() for t in share])
         assert (inside == held).mean() > 0.99
+
+
+def test_points_on_slanted_edges_fall_as_in_the_ray_test(spark):
+    import duckdb
+
+    from curbline.plans.fixtures import Tables, view_sql
+
+    tables = Tables(spark, "/nowhere")
+    tables.__dict__["n"] = 775
+    edges = tables.boundary.toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE grid AS SELECT 775::BIGINT AS n")
+    assert sorted(edges.itertuples(index=False, name=None)) == sorted(con.execute(view_sql()["boundary"]).fetchall())
+    rng = np.random.default_rng(3)
+    ends = edges[["x1", "y1", "x2", "y2"]].to_numpy()
+    xy = []
+    for x1, y1, x2, y2 in ends:
+        t = rng.integers(1, 31000, 150) / 31000
+        xy.extend(np.stack([np.round((x1 + t * (x2 - x1)) * 4) / 4, np.round((y1 + t * (y2 - y1)) * 4) / 4], 1))
+    points = pd.DataFrame({"pid": np.arange(len(xy)), "x": [p[0] for p in xy], "y": [p[1] for p in xy]})
+    got = {r[0] for r in points_in_polygon(spark.createDataFrame(points), tables.boundary, point_id="pid").collect()}
+    assert got == {i for i, (x, y) in enumerate(xy) if _inside(x, y, edges)}
