@@ -457,8 +457,10 @@ def _folder(s: Scene, name: str) -> str:
 def _write_pages(df, path: str, item: str = "features") -> None:
     """Pages of about 500 features, one JSON document per file, however many features there are."""
     page = F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(max(1, df.count() // 500)))
-    pages = df.groupBy(page.alias("page")).agg(F.collect_list(F.struct(*df.columns)).alias(item))
-    pages.select(item, "page").repartition("page").write.partitionBy("page").option("ignoreNullFields", "true").json(path)
+    pages = df.groupBy(page.alias("page")).agg(F.collect_list(F.struct(*df.columns)).alias(item)).select(item)
+    # one folder for all files, moved there by the tasks: folders of one file and moves by the driver cost more than the pages
+    moved = {"maxRecordsPerFile": "1", "mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    pages.write.options(ignoreNullFields="true", **moved).json(path)
 
 
 _PERSON = T.StructType([T.StructField("incident_id", T.LongType()), T.StructField("person_seq", T.LongType()), T.StructField("injury", T.StringType()), T.StructField("lat", T.DoubleType())])

@@ -64,3 +64,19 @@ def test_a_text_that_also_occurs_inside_an_item_is_reported(spark, tmp_path):
     _write(tmp_path / "bad.json", {"features": [{"attributes": {"seg_id": 1, "name": "a"}, "geometry": {"attributes": 5}}]})
     with pytest.raises(Exception, match="not a whole item"):
         readers.scan_feature_pages(spark, str(tmp_path), SEG, opens=readers.PAGED).collect()
+
+
+def test_pages_lie_in_one_folder(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from curbline.plans.road_queries import _PERSON, _write_pages
+    from curbline.sources import readers
+
+    rows = spark.range(5000).select(F.struct(F.col("id").alias("incident_id"), (F.col("id") * 3).alias("person_seq"), F.lit("Fatal").alias("injury"), (F.col("id") / 7).alias("lat")).alias("attributes"))
+    path = tmp_path / "pages"
+    _write_pages(rows, str(path))
+    files = list(path.glob("*.json"))
+    assert len(files) == 10 and not [p for p in path.iterdir() if p.is_dir()]
+    assert all(f.read_text().count('"attributes"') < 1000 for f in files)
+    back = readers.scan_feature_pages(spark, str(path), _PERSON).collect()
+    assert sorted((r["incident_id"], r["person_seq"]) for r in back) == [(i, 3 * i) for i in range(5000)]
