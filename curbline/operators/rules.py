@@ -14,6 +14,7 @@ from curbline.operators.aggregates import dominant, n_fatal
 from curbline.operators.graph import cluster_points
 from curbline.operators.overlap import overlap_measures
 from curbline.operators.spatial import nearest, nearest_point, points_in_polygon
+from curbline.session import cut
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,7 @@ def first_pass_classify(incidents: DataFrame, boundary: DataFrame, routes: DataF
     """Bad location, outside the city, state route within ``limit``, or city; one bucket each (RL5)."""
     marked = incidents.withColumn("good", C.good_location(box=box))
     usable = marked.where("good")
-    inside = points_in_polygon(usable, boundary, point_id="incident_id").withColumn("_in", F.lit(True))
+    inside = cut(points_in_polygon(usable, boundary, point_id="incident_id")).withColumn("_in", F.lit(True))
     near = nearest(usable.join(inside, "incident_id", "left_semi"), routes, point_id="incident_id", key=["route_id"], cell=cell)
     out = marked.join(inside, "incident_id", "left").join(near.select("incident_id", "route_id", F.col("dist").alias("route_m")), "incident_id", "left")
     label = F.when(~F.col("good"), F.lit("Excluded")).when(F.col("_in").isNull(), F.lit("Outside")).when(F.col("route_m") <= limit, F.lit(C.STATE_ROUTE)).otherwise(F.lit(C.CITY))

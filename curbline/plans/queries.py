@@ -454,7 +454,7 @@ _FIRST = f"(SELECT i.incident_id, CASE WHEN NOT coalesce({GOOD}, false) THEN 'Ex
 
 
 def _both_methods(s: Scene) -> DataFrame:
-    first = R.first_pass_classify(s.incidents, s.boundary, s.routes, box=CITY_BOX).select("incident_id", F.col("owner").alias("owner_before"))
+    first = R.first_pass_classify(s.stored, s.boundary, s.routes, box=CITY_BOX).select("incident_id", F.col("owner").alias("owner_before"))
     return s.classified.join(first, "incident_id")
 
 
@@ -496,7 +496,7 @@ def _(s: Scene):
 @query("ag25_ambiguity_kinds", f"SELECT {Q.n('NOT at_intersection AND coalesce(k.on_covered, false)')} AS not_reported, {Q.n('at_intersection AND intersection_node_id IS NULL')} AS not_found, {Q.n('at_intersection AND t.dist > 20')} AS off_road, "
        f"{Q.n('at_intersection AND intersection_node_id IS NULL AND t.dist > 20')} AS not_found_off_road FROM signal_status x LEFT JOIN marked_nodes k ON k.node_id = x.intersection_node_id LEFT JOIN ({Q.nearest_piece('incidents', 'incident_id', 'through', 'seg_id')}) t USING (incident_id)")
 def _(s: Scene):
-    road = P.nearest(s.incidents, s.through, point_id="incident_id", key=["seg_id"]).select("incident_id", "dist")
+    road = P.nearest(s.stored, s.through, point_id="incident_id", key=["seg_id"]).select("incident_id", "dist")
     return A.ambiguity_kinds(s.signal_status, s.marked_nodes, road)
 
 

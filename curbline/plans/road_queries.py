@@ -54,7 +54,7 @@ def _(s: Scene):
 
 @query("rl05_first_pass", f"SELECT incident_id, owner, in_city, CASE WHEN owner = 'State route' THEN route_id END AS route_id FROM {_FIRST} f")
 def _(s: Scene):
-    return R.first_pass_classify(s.incidents, s.boundary, s.routes, box=CITY_BOX).select("incident_id", "owner", "in_city", "route_id")
+    return R.first_pass_classify(s.stored, s.boundary, s.routes, box=CITY_BOX).select("incident_id", "owner", "in_city", "route_id")
 
 
 @query("rl06_intersection_status", f"SELECT incident_id, at_intersection, intersection_node_id, {Q.dm('nearest_ped_signal_m')} AS signal_dm, is_ambiguous, intersection_signalized FROM signal_status")

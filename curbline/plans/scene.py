@@ -32,6 +32,11 @@ class Scene(Tables):
     def incidents(self) -> DataFrame:
         return A.dedup_incidents(self.person_rows, order=PERSON_ORDER)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The incidents, folded once for the queries that read them more than once."""
+        return cut(self.incidents)
+
     @cached_property
     def measured(self) -> DataFrame:
         return cut(R.segment_measures(self.streets, self.routes, RULES))
@@ -42,12 +47,12 @@ class Scene(Tables):
 
     @cached_property
     def classified(self) -> DataFrame:
-        return cut(R.classify_incidents(cut(self.incidents), self.rulebook, self.routes))
+        return cut(R.classify_incidents(self.stored, self.rulebook, self.routes))
 
     @cached_property
     def named(self) -> DataFrame:
         """Incidents with the attributes of their nearest street only."""
-        inc = cut(self.incidents)
+        inc = self.stored
         hit = nearest(inc, self.streets, point_id="incident_id", key=["seg_id"]).select("incident_id", "seg_id", F.col("dist").alias("seg_m"))
         attrs = self.streets.select("seg_id", "street", "lanes", "speed", "mtfcc", "name")
         return cut(inc.join(hit, "incident_id").join(attrs, "seg_id"))
@@ -89,7 +94,7 @@ class Scene(Tables):
 
     @cached_property
     def signal_status(self) -> DataFrame:
-        return cut(R.intersection_status(cut(self.incidents), self.marked_nodes, self.signal_crossings))
+        return cut(R.intersection_status(self.stored, self.marked_nodes, self.signal_crossings))
 
     @cached_property
     def full_nodes(self) -> DataFrame:
@@ -136,9 +141,9 @@ class Scene(Tables):
 
     @cached_property
     def net_incidents(self) -> DataFrame:
-        hit = nearest(self.incidents, self.net_chains, point_id="incident_id", key=["seg_id"], carry=["chain_id", "m_start", "m_dir", "len"])
+        hit = nearest(self.stored, self.net_chains, point_id="incident_id", key=["seg_id"], carry=["chain_id", "m_start", "m_dir", "len"])
         at = hit.withColumn("m", CH.measured()).select("incident_id", "seg_id", "chain_id", "m")
-        return cut(self.incidents.select("incident_id", "severity", "x", "y").join(at, "incident_id"))
+        return cut(self.stored.select("incident_id", "severity", "x", "y").join(at, "incident_id"))
 
     # --- crosswalk study -------------------------------------------------------------------
     @cached_property
