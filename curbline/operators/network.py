@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from curbline.operators.graph import cluster_points, connected_components
 from curbline.operators.scan import interval_sums
-from curbline.operators.spatial import as_pieces, nearest
 from curbline.session import cut
 
 TOUCH = 1.0
@@ -54,14 +53,74 @@ def road_graph(chains: DataFrame, *, by: Sequence[str], touch: float = TOUCH) ->
 def real_gaps(chains: DataFrame, graph: DataFrame, *, by: Sequence[str], gap: float = REAL_GAP) -> DataFrame:
     """Per line: number of chains and clusters, and whether even the nearest two clusters lie
     more than ``gap`` apart."""
-    ends = chain_ends(chains, by=by).join(graph.select("chain_id", "cluster"), "chain_id").select(*by, "end_id", "cluster", "x", "y")
+    ends = chain_ends(chains, by=by).join(graph.select("chain_id", "cluster"), "chain_id").select(*by, "cluster", "x", "y")
     many = graph.groupBy(*by).agg(F.count(F.lit(1)).alias("chains"), F.count_distinct("cluster").alias("clusters"))
-    split = cut(ends.join(many.where("clusters > 1").select(*by), list(by), "left_semi").withColumn("_own", F.col("cluster")))
-    apart = nearest(split, as_pieces(split), point_id="end_id", key=["cluster"], by=by, differ=("_own", "cluster"), cell=250.0)
-    least = split.join(apart.select("end_id", "dist"), "end_id").groupBy(*by).agg(F.min("dist").alias("nearest_gap"))
+    least = least_gaps(ends, by=by, first=4 * TOUCH)
     return many.join(least, list(by), "left").withColumn("real_gap", F.coalesce(F.col("nearest_gap") > gap, F.lit(False)))
 
 
+def least_gaps(points: DataFrame, *, by: Sequence[str], tag: str = "cluster", first: float = 4.0) -> DataFrame:
+    """Per line with several ``tag`` values the least distance of two points of different ones: ``*by, nearest_gap``.
+
+    Cells of a width that starts at ``first`` and grows fourfold: places whose neighbouring cells hold two tags are compared
+    there, until a pair at most one width apart is found, as no pair outside neighbouring cells is nearer. They are compared
+    as cells first, which are divided as long as they may hold the nearest pair, so neither the inside of a large cluster nor
+    a wide gap between two large ones costs pairs of points.
+    """
+    by = list(by)
+    left = cut(points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*by, tag, "x", "y").distinct())
+    lines = left.groupBy(*by).agg(F.min(tag).alias("_lo"), F.max(tag).alias("_hi"), *[f(c).alias(f"_{name}_{c}") for c in "xy" for name, f in (("min", F.min), ("max", F.max))]).where("_lo <> _hi")
+    span = lines.agg(F.max(F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y")))).first()[0]
+    left = cut(left.join(lines.select(*by), by, "left_semi"))
+    cell, ends = [*by, "_cx", "_cy"], [("a", tag), ("b", "_tag")]
+
+    def beside(df: DataFrame) -> DataFrame:
+        shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+        return df.withColumn("_o", shifts).withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")}).drop("_o")
+
+    def placed(df: DataFrame, side: float, mark: str) -> DataFrame:
+        return df.withColumns({f"_{mark}{c}": F.floor(F.col(c) / side) for c in "xy"})
+
+    def possible(pairs: DataFrame, side: float, width: float) -> DataFrame:
+        """Pairs of cells that may hold the nearest two points of their line."""
+        apart = [F.abs(F.col(f"_a{c}") - F.col(f"_b{c}")) for c in "xy"]
+        low, high = [sum((g * g for g in gaps), F.lit(0)) * (side * side) for gaps in ([F.greatest(g - 1, F.lit(0)) for g in apart], [g + 1 for g in apart])]
+        pairs = cut(pairs.withColumns({"_low": low, "_high": high}).where(F.col("_low") <= width * width))
+        least = pairs.groupBy(*by).agg(F.min("_high").alias("_least"))
+        return pairs.join(least, by).where(F.col("_low") <= F.col("_least")).select(*by, tag, "_tag", "_ax", "_ay", "_bx", "_by")
+
+    found, width = [], first
+    while span is not None:
+        spots = placed(left, width, "c")
+        tags = spots.groupBy(*cell).agg(F.min(tag).alias("_lo"), F.max(tag).alias("_hi"))
+        mixed = beside(tags).groupBy(*cell).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo <> _hi").select(*cell)
+        near, side = cut(spots.join(mixed, cell, "left_semi")), width / 4
+        if near.isEmpty() and width <= 2 * span:
+            width *= 4
+            continue
+        one = placed(near, side, "a").select(*cell, tag, "_ax", "_ay").distinct()
+        other = one.withColumnsRenamed({tag: "_tag", "_ax": "_bx", "_ay": "_by"})
+        pairs = possible(beside(one).join(other, cell).where(F.col(tag) < F.col("_tag")), side, width)
+        while side > first:
+            for mark, own in ends:
+                parts = placed(placed(near, side, mark), side / 4, "n").select(*by, F.col(tag).alias(own), f"_{mark}x", f"_{mark}y", "_nx", "_ny").distinct()
+                pairs = pairs.join(parts, [*by, own, f"_{mark}x", f"_{mark}y"]).drop(f"_{mark}x", f"_{mark}y").withColumnsRenamed({"_nx": f"_n{mark}x", "_ny": f"_n{mark}y"})
+            side /= 4
+            pairs = possible(pairs.withColumnsRenamed({f"_n{m}{c}": f"_{m}{c}" for m in "ab" for c in "xy"}), side, width)
+        for mark, own in ends:
+            whole = placed(near, side, mark).select(*by, F.col(tag).alias(own), f"_{mark}x", f"_{mark}y", F.struct("x", "y").alias(f"_{mark}"))
+            pairs = pairs.join(whole, [*by, own, f"_{mark}x", f"_{mark}y"])
+        gx, gy = F.col("_a.x") - F.col("_b.x"), F.col("_a.y") - F.col("_b.y")
+        best = pairs.groupBy(*by).agg(F.sqrt(F.min(gx * gx + gy * gy)).alias("nearest_gap"))
+        found.append(cut(best.where(F.col("nearest_gap") <= width)))
+        left = left.join(found[-1], by, "left_anti")
+        if width > 2 * span or left.isEmpty():
+            break
+        width *= 4
+    empty = lines.select(*by, F.lit(None).cast("double").alias("nearest_gap")).where("false")
+    return reduce(DataFrame.unionByName, found, empty)
+
+
 def graph_nodes(chains: DataFrame, graph: DataFrame, *, by: Sequence[str]) -> DataFrame:
     """One row per node: ``node, x, y`` (least corner of its ends), ``ends``, ``opening``.
 

@@ -103,3 +103,21 @@ def test_global_rank_and_percentiles(spark):
     got = {r["share"]: r["value"] for r in percentiles(df, "v", [0, 0.1, 0.5, 0.99, 1]).collect()}
     for q, x in got.items():
         assert x == pytest.approx(np.quantile(v, q), abs=1e-12)
+
+
+def test_least_gaps_of_large_clusters(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for line, far in (("a", 3.0), ("b", 700.0), ("c", 9000.0)):  # two clusters of 3000 places side by side
+        for cluster, shift in ((1, 0.0), (2, 2000.0 + far)):
+            rows += [(line, cluster, float(x + shift), float(y)) for x, y in zip(rng.uniform(0, 2000, 3000), rng.uniform(0, 2000, 3000))]
+    rows += [("d", c, float(x), float(y)) for c, (x, y) in enumerate(rng.uniform(0, 5000, (300, 2)))]  # every place its own
+    rows += [("e", 1, 0.0, 0.0), ("e", 1, 5.0, 5.0)]
+    points = spark.createDataFrame(rows, "street string, cluster long, x double, y double")
+    got = {r.street: r.nearest_gap for r in N.least_gaps(points, by=["street"]).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    for line, gap in got.items():
+        own = [(c, x, y) for s, c, x, y in rows if s == line]
+        c, x, y = (np.array(v) for v in zip(*own))
+        d = np.hypot(x[:, None] - x, y[:, None] - y)
+        assert gap == pytest.approx(d[c[:, None] != c].min(), abs=1e-9)
