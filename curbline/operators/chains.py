@@ -27,7 +27,7 @@ def merge_lines(pieces: DataFrame, *, by: Sequence[str], seg_id: str = "seg_id")
     with the chain. Measures come from pointer doubling: log2(longest chain) equi joins.
     """
     by = list(by)
-    base = cut(pieces.withColumn("len", piece_length()).where(F.col("len") > 0))
+    base = cut(pieces.withColumn("len", piece_length())).where(F.col("len") > 0)  # behind the written table: before it, the test would repeat all that x and y are made of
     end = lambda k: F.struct(F.lit(k).alias("end"), _snap(f"x{k + 1}").alias("nx"), _snap(f"y{k + 1}").alias("ny"))
     ends = base.select(*by, seg_id, F.explode(F.array(end(0), end(1))).alias("_e"))
     ends = ends.select(*by, F.col("_e.nx").alias("nx"), F.col("_e.ny").alias("ny"), F.struct(F.col(seg_id).alias("seg"), F.col("_e.end").alias("end")).alias("who"))

@@ -28,6 +28,11 @@ MERGE_RADIUS = 25.0
 
 
 class Scene(Tables):
+    @cached_property
+    def streets(self) -> DataFrame:
+        """The street pieces, written once: a test on them would otherwise repeat all that its columns are made of."""
+        return cut(super().streets)
+
     @cached_property
     def incidents(self) -> DataFrame:
         return A.dedup_incidents(self.person_rows, order=PERSON_ORDER)

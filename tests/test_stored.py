@@ -3,6 +3,7 @@
 import pytest
 
 from curbline.operators import rules as R
+from curbline.plans.fixtures import Tables
 from curbline.plans.scene import CITY_BOX, Scene
 
 FOLDER = "/root/testdata/sf0.001"
@@ -25,3 +26,10 @@ def test_person_rows_are_read_once(spark, name):
         out = scene.net_incidents
     assert out.count() == scene.stored.count() > 0
     assert seen.value == rows.count()
+
+
+def test_streets_are_written_once(spark):
+    scene = Scene(spark, FOLDER)
+    assert all("/curbline-" in f for df in (scene.streets, scene.routes, scene.through) for f in df.inputFiles())
+    lazy = Tables(spark, FOLDER).streets
+    assert lazy.exceptAll(scene.streets).isEmpty() and scene.streets.count() == lazy.count() > 0
