@@ -122,7 +122,7 @@ def match_parts(parts: DataFrame, vocabulary: DataFrame, aliases: DataFrame) ->
     two = _spelled(odd.where(F.length("part") >= 6).join(one.select("part").distinct(), "part", "left_anti"), words, 2)
     near = raw.join(one.unionByName(two), "part").select("raw", "base", F.lit(2).alias("quality"))
     found = found.unionByName(near)
-    return found.groupBy("raw", "base").agg(F.max("quality").alias("quality"))
+    return cut(found.groupBy("raw", "base").agg(F.max("quality").alias("quality")))  # read several times
 
 
 def _ranked(cands: DataFrame, query_id: str, order: list[Column], limit: int) -> DataFrame:
@@ -157,15 +157,25 @@ def street_candidates(parts: DataFrame, matches: DataFrame, streets: DataFrame,
 def junction_candidates(parts: DataFrame, matches: DataFrame, node_streets: DataFrame, nodes: DataFrame, *, query_id: str = "query_id", limit: int = TOP, directions: bool = False) -> DataFrame:
     """Junctions where every part matches a street of its own (SE4), parts choosing in order.
 
-    ``parts`` may also hold one-part queries (SE6). The rows of one (query, junction) pair are
-    its few streets times its few parts.
+    ``parts`` may also hold one-part queries (SE6). Queries of the same parts are answered once. Only junctions on a
+    street of the query's rarest part (by its hits at junctions) are looked at, and of those all streets are: a junction
+    that this part does not match is no answer. The rows of one (query, junction) pair are its few streets times its few parts.
     """
+    asked = parts.groupBy(query_id, "parts").agg(F.array_sort(F.collect_set(F.struct("part_no", "raw"))).alias("_texts"))
+    texts = cut(asked.select("parts", "_texts").distinct().withColumn("_ask", F.monotonically_increasing_id()))
+    spread = texts.select("_ask", "parts", F.inline("_texts"))
+    slim = node_streets.select("node_id", "k", "base", "street")
+    reach = matches.join(slim.groupBy("base").agg(F.count(F.lit(1)).alias("_n")), "base").groupBy("raw").agg(F.sum("_n").alias("_n"))
+    counted = spread.join(reach, "raw").groupBy("_ask", "parts", "part_no").agg(F.sum("_n").alias("_n"))
+    rarest = counted.groupBy("_ask", "parts").agg(F.min(F.struct("_n", "part_no")).getField("part_no").alias("part_no"), F.count(F.lit(1)).alias("_seen")).where(F.col("_seen") == F.col("parts"))
+    first = spread.join(rarest.select("_ask", "part_no"), ["_ask", "part_no"]).select("_ask", "raw").join(matches, "raw")
+    at = first.join(slim.select("base", "node_id"), "base").select("_ask", "node_id").distinct()
     quality = F.col("quality").cast("double")
-    hits = parts.join(matches, "raw").join(node_streets.select("node_id", "k", "base", "street"), "base")
+    hits = at.join(slim, "node_id").join(spread, "_ask").join(matches, ["raw", "base"])
     if directions:
         quality = quality + F.when(C.flag(C.direction_of("raw") == C.direction_of("street")), F.lit(0.5)).otherwise(F.lit(0.0))
-    hits = hits.select(query_id, "parts", "node_id", F.struct("part_no", (-quality).alias("nq"), "k").alias("h"))
-    both = hits.groupBy(query_id, "node_id", "parts").agg(F.array_sort(F.collect_list("h")).alias("_h"), F.count_distinct("h.part_no").alias("_seen"))
+    hits = hits.select("_ask", "parts", "node_id", F.struct("part_no", (-quality).alias("nq"), "k").alias("h"))
+    both = hits.groupBy("_ask", "node_id", "parts").agg(F.array_sort(F.collect_list("h")).alias("_h"), F.count_distinct("h.part_no").alias("_seen"))
     both = both.where(F.col("_seen") == F.col("parts"))
     start = F.struct(F.array().cast("array<int>").alias("used"), F.lit(-1).alias("last"), F.lit(0).alias("taken"), F.lit(0.0).alias("q"))
 
@@ -175,8 +185,9 @@ def junction_candidates(parts: DataFrame, matches: DataFrame, node_streets: Data
         return F.when(free, take).otherwise(acc)
 
     scored = both.withColumn("_g", F.aggregate("_h", start, pick)).where(F.col("_g.taken") == F.col("parts"))
-    out = scored.select(query_id, "node_id", F.col("_g.q").alias("q")).join(nodes.select("node_id", "crashes"), "node_id")
-    return _ranked(out, query_id, [F.col("q").desc(), F.col("crashes").desc(), F.col("node_id")], limit)
+    out = scored.select("_ask", "node_id", F.col("_g.q").alias("q")).join(nodes.select("node_id", "crashes"), "node_id")
+    best = _ranked(out, "_ask", [F.col("q").desc(), F.col("crashes").desc(), F.col("node_id")], limit)
+    return asked.join(texts, ["parts", "_texts"]).select(query_id, "_ask").join(best, "_ask").select(query_id, "node_id", "q", "crashes", "place")
 
 
 def locate(queries: DataFrame, streets: DataFrame, node_streets: DataFrame, nodes: DataFrame, aliases: DataFrame, *, query_id: str = "query_id", text: str = "q") -> DataFrame:
