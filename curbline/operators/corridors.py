@@ -31,12 +31,15 @@ def line_presence(pieces: DataFrame, lines: DataFrame, *, r: float = 20.0, seg_i
     return out.select(seg_id, F.col(line_id).isNotNull().alias("has_line"), width.alias("width"))
 
 
-def near_lines(points: DataFrame, ref: DataFrame, r: float, *, point_id: str) -> DataFrame:
-    """Every line within ``r`` of each point: ``point_id, street, m, dist`` at its nearest piece."""
+def near_lines(points: DataFrame, ref: DataFrame, r: float, *, point_id: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Every line within ``r`` of each point: ``point_id, *keep, street, m, dist`` at its nearest piece.
+
+    ``keep``: columns of the points; they are the same in all rows of one id.
+    """
     slim = ref.select("street", "seg_id", "x1", "y1", "x2", "y2", "len", "m_start", "m_dir", "chain_id")
-    pairs = within_distance(points.select(point_id, "x", "y"), slim, r).withColumn("m", measured())
-    best = pairs.groupBy(point_id, "street").agg(F.min(F.struct("dist", "seg_id", "m", "chain_id")).alias("_b"))
-    return best.select(point_id, "street", F.col("_b.m").alias("m"), F.col("_b.dist").alias("dist"), F.col("_b.chain_id").alias("chain_id"))
+    pairs = within_distance(points.select(point_id, *dict.fromkeys(["x", "y", *keep])), slim, r).withColumn("m", measured())
+    best = pairs.groupBy(point_id, *keep, "street").agg(F.min(F.struct("dist", "seg_id", "m", "chain_id")).alias("_b"))
+    return best.select(point_id, *keep, "street", F.col("_b.m").alias("m"), F.col("_b.dist").alias("dist"), F.col("_b.chain_id").alias("chain_id"))
 
 
 def point_at(marks: DataFrame, chains: DataFrame, *, step: float = 200.0) -> DataFrame:
@@ -83,7 +86,7 @@ def crossing_lines(lines: DataFrame, ref: DataFrame, *, line_id: str, r: float =
     ``line_id, street, m, dist`` of the line's middle.
     """
     middle = lines.select(line_id, ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
-    near = near_lines(middle, ref, r, point_id=line_id)
+    near = cut(near_lines(middle, ref, r, point_id=line_id))  # read by each of the tests below
     spots = near.select(line_id, "street", "chain_id", F.explode(F.array(F.struct(F.lit("p").alias("k"), (F.col("m") - reach).alias("m")), F.struct(F.lit("q").alias("k"), (F.col("m") + reach).alias("m")))).alias("_s"))
     spots = point_at(spots.select(line_id, "street", "chain_id", F.col("_s.k").alias("k"), F.col("_s.m").alias("m")), ref)
     pick = lambda k, c: F.min(F.when(F.col("k") == k, F.col(c)))
@@ -100,8 +103,9 @@ def crossing_lines(lines: DataFrame, ref: DataFrame, *, line_id: str, r: float =
 
 def crossing_points(points: DataFrame, ref: DataFrame, through: DataFrame, *, point_id: str, near: float = 8.0) -> DataFrame:
     """Marked points on a road: within ``near`` of it and no farther than from any other street (LR4)."""
-    on = near_lines(points, ref, near, point_id=point_id).drop("chain_id")
-    asked = on.join(points.select(point_id, "x", "y"), point_id).select(F.concat_ws("|", point_id, "street").alias("_pair"), point_id, F.col("street").alias("_own"), "x", "y", "m", "dist")
+    on = near_lines(points, ref, near, point_id=point_id, keep=["x", "y"])
+    asked = on.select(F.concat_ws("|", point_id, "street").alias("_pair"), point_id, F.col("street").alias("_own"), "x", "y", "m", "dist")
+    asked = cut(asked)
     other = nearest(asked, through, point_id="_pair", key=["seg_id"], carry=["street"], within=near, differ=("_own", "street"))
     out = asked.join(other.select("_pair", F.col("dist").alias("_other")), "_pair", "left")
     return out.where(F.col("_other").isNull() | (F.col("dist") <= F.col("_other"))).select(point_id, F.col("_own").alias("street"), "m", "dist")
@@ -114,12 +118,11 @@ def junction_points(ref: DataFrame, through: DataFrame) -> DataFrame:
 
 def junction_signals(crossings: DataFrame, ref: DataFrame, corners: DataFrame, *, point_id: str = "crossing_id", r: float = 30.0) -> DataFrame:
     """Signals near a road that also lie near one of its junctions (LR5): ``point_id, street, m, dist``."""
-    on = near_lines(crossings, ref, r, point_id=point_id).drop("chain_id")
-    asked = on.join(crossings.select(point_id, "x", "y"), point_id)
-    pair = asked.select(F.concat_ws("|", point_id, "street").alias("_pair"), "street", "x", "y")
+    on = near_lines(crossings, ref, r, point_id=point_id, keep=["x", "y"]).drop("chain_id")
+    keyed = cut(on.withColumn("_pair", F.concat_ws("|", point_id, "street")))
+    pair = keyed.select("_pair", "street", "x", "y")
     slim = as_pieces(corners).drop("x", "y")
     close = within_distance(pair, slim, r, by=LINE).select("_pair").distinct()
-    keyed = asked.withColumn("_pair", F.concat_ws("|", point_id, "street"))
     return keyed.join(close, "_pair", "left_semi").select(point_id, "street", "m", "dist")
 
 
@@ -132,6 +135,7 @@ def safe_crossings(marked: DataFrame, signals: DataFrame, ref: DataFrame, *, r:
     both = both.withColumn("place_id", F.concat_ws("|", "street", "place_id"))
     labels = cluster_points(both, r, point_id="place_id", by=LINE, out="safe_id")
     merged = both.join(labels, "place_id").groupBy("safe_id", "street").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.bool_or("is_signal").alias("signalized"))
+    merged = cut(merged)
     at = nearest(merged, ref, point_id="safe_id", key=["seg_id"], by=LINE, carry=["m_start", "m_dir", "len"])
     return merged.join(at.withColumn("m", measured()).select("safe_id", "m"), "safe_id")
 
@@ -139,17 +143,16 @@ def safe_crossings(marked: DataFrame, signals: DataFrame, ref: DataFrame, *, r:
 def crossing_distances(incidents: DataFrame, safe: DataFrame, ref: DataFrame, *, r: float = 30.0) -> DataFrame:
     """Crossing-related incidents within ``r`` of each road and the along-road distance to its nearest
     safe crossing (LR3, LR7): ``incident_id, street, is_fatal, m, along_m``."""
-    rel = incidents.where(C.crossing_related())
-    on = near_lines(rel, ref, r, point_id="incident_id").drop("chain_id", "dist")
-    on = on.withColumn("_pair", F.concat_ws("|", "incident_id", "street"))
+    rel = incidents.where(C.crossing_related()).select("incident_id", "x", "y", C.is_fatal().alias("is_fatal"))
+    on = near_lines(rel, ref, r, point_id="incident_id", keep=["is_fatal"]).drop("chain_id", "dist")
+    on = cut(on.withColumn("_pair", F.concat_ws("|", "incident_id", "street")))
     hit = along_nearest(on, safe, point_id="_pair", target_id="safe_id", by=LINE)
-    out = on.join(hit.select("_pair", "along_m"), "_pair", "left").drop("_pair")
-    return out.join(rel.select("incident_id", C.is_fatal().alias("is_fatal")), "incident_id")
+    return on.join(hit.select("_pair", "along_m"), "_pair", "left").select("incident_id", "street", "m", "along_m", "is_fatal")
 
 
 def distance_stats(distances: DataFrame, *, near_ft: float = 100.0, gap_ft: float = 250.0) -> DataFrame:
     """Per road: crossing-related incidents by distance to the nearest safe crossing (LR7)."""
-    d = F.col("along_m") / METRES_PER_FOOT
+    distances, d = cut(distances), F.col("along_m") / METRES_PER_FOOT
     stats = distances.groupBy("street").agg(
         F.count(F.lit(1)).alias("incidents"), F.count_if("is_fatal").alias("fatal"), F.avg("along_m").alias("mean_m"), F.max("along_m").alias("max_m"),
         F.count_if(C.flag(d <= near_ft)).alias("near"), F.count_if(C.flag(d > gap_ft)).alias("in_gap"), F.count_if(C.flag((d > near_ft) & (d <= gap_ft))).alias("between"),
@@ -160,7 +163,7 @@ def distance_stats(distances: DataFrame, *, near_ft: float = 100.0, gap_ft: floa
 def corridor_gaps(positions: DataFrame, lines: DataFrame, *, good_ft: float = 300.0) -> DataFrame:
     """Per road: longest stretch without a position, its ends and its multiple of ``good_ft``, and mean, median and
     largest spacing (WN3, WN4, LR7)."""
-    gaps = spacing_and_gaps(positions, lines, by=LINE)
+    gaps = cut(spacing_and_gaps(positions, lines, by=LINE))
     inner = gaps.groupBy("street").agg(F.avg(F.when(F.col("inner"), F.col("gap"))).alias("mean_spacing"), F.max(F.when(F.col("inner"), F.col("gap"))).alias("max_spacing"))
     out = longest_gap(gaps, by=LINE).join(inner, "street").join(group_median(gaps.where("inner"), LINE, "gap", "median_spacing"), LINE, "left")
     return out.withColumn("gap_ratio", F.col("longest_gap") / (good_ft * METRES_PER_FOOT))
@@ -187,9 +190,9 @@ def crossing_density(points: DataFrame, ref: DataFrame, lines: DataFrame, *, poi
 def nodes_to_safe(nodes: DataFrame, safe: DataFrame, ref: DataFrame) -> DataFrame:
     """Along-road distance from each junction of a road to its nearest safe crossing (LR8)."""
     spread = nodes.select("node_id", "x", "y", F.explode("streets").alias("street")).join(ref.select("street").distinct(), "street", "left_semi")
-    spread = spread.withColumn("_pair", F.concat_ws("|", "node_id", "street"))
+    spread = cut(spread.withColumn("_pair", F.concat_ws("|", "node_id", "street")))
     at = nearest(spread, ref, point_id="_pair", key=["seg_id"], by=LINE, carry=["m_start", "m_dir", "len"]).withColumn("m", measured())
-    placed = spread.join(at.select("_pair", "m"), "_pair")
+    placed = cut(spread.join(at.select("_pair", "m"), "_pair"))
     hit = along_nearest(placed, safe, point_id="_pair", target_id="safe_id", by=LINE)
     return placed.join(hit.select("_pair", "along_m"), "_pair").select("node_id", "street", "along_m")
 

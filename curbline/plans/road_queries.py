@@ -216,7 +216,7 @@ def _(s: Scene):
 
 @query("lr07_distance_stats", f"SELECT street, count(*) AS incidents, {Q.n('is_fatal')} AS fatal, {Q.dm('avg(along_m)')} AS mean_dm, {Q.dm('max(along_m)')} AS max_dm, {Q.n('along_m / 0.3048e0 <= 100')} AS near, {Q.n('along_m / 0.3048e0 > 250')} AS in_gap, {Q.n('along_m / 0.3048e0 > 100 AND along_m / 0.3048e0 <= 250')} AS between_n, {Q.dm('median(along_m)')} AS median_dm FROM related_dist GROUP BY street")
 def _(s: Scene):
-    out = K.distance_stats(K.crossing_distances(s.incidents, s.safe, s.ref))
+    out = K.distance_stats(K.crossing_distances(s.stored, s.safe, s.ref))
     return out.select("street", "incidents", "fatal", dm("mean_m").alias("mean_dm"), dm("max_m").alias("max_dm"), "near", "in_gap", F.col("between").alias("between_n"), dm("median_m").alias("median_dm"))
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from curbline.operators import corridors as K
 from curbline.operators import rules as R
 from curbline.plans.fixtures import Tables
 from curbline.plans.scene import CITY_BOX, Scene
@@ -33,3 +34,22 @@ def test_streets_are_written_once(spark):
     assert all("/curbline-" in f for df in (scene.streets, scene.routes, scene.through) for f in df.inputFiles())
     lazy = Tables(spark, FOLDER).streets
     assert lazy.exceptAll(scene.streets).isEmpty() and scene.streets.count() == lazy.count() > 0
+
+
+def _counted(df, seen):
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(passed, df.schema)
+
+
+def test_distances_along_roads_read_incidents_once(spark):
+    ref = spark.createDataFrame([("A", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 0.0, 1.0, 1)], "street string, seg_id long, x1 double, y1 double, x2 double, y2 double, len double, m_start double, m_dir double, chain_id long")
+    safe = spark.createDataFrame([("s", "A", 40.0)], "safe_id string, street string, m double")
+    rows = [(1, 50.0, 5.0, "Intersection-In Crosswalk", "Fatal"), (2, 100.0, 9.0, "Not Intersection-On Roadway", "Possible Injury"), (3, 10.0, 0.0, "Not on Roadway", "Fatal"), (4, 10.0, 99.0, "In Crosswalk", "Fatal")]
+    incidents, seen = spark.createDataFrame(rows, "incident_id long, x double, y double, location string, severity string"), spark.sparkContext.accumulator(0)
+    out = K.distance_stats(K.crossing_distances(_counted(incidents, seen), safe, ref)).collect()
+    assert [(r["incidents"], r["fatal"], r["mean_m"], r["max_m"], r["median_m"]) for r in out] == [(2, 1, 35.0, 60.0, 35.0)]
+    assert seen.value == 4
