@@ -178,6 +178,12 @@ def intersection_status(incidents: DataFrame, nodes: DataFrame, crossings: DataF
     ).drop("node_id", "signalized", "on_covered", "_dn")
 
 
+def incident_junctions(incidents: DataFrame, nodes: DataFrame, *, snap: float = 30.0, cell: float = 250.0) -> DataFrame:
+    """Incidents with a junction within ``snap``: ``incident_id, severity, intersection_node_id``, as in RL6 without the rest of it."""
+    near = nearest_point(incidents, nodes, point_id="incident_id", key=["node_id"], cell=cell, within=snap * (1 + 1e-9)).where(F.col("dist") <= snap)
+    return incidents.select("incident_id", "severity").join(near.select("incident_id", F.col("node_id").alias("intersection_node_id")), "incident_id")
+
+
 def audit_verdict(points: DataFrame, routes: DataFrame, *, limit: float = 12.0, cell: float = 500.0) -> DataFrame:
     """Does the nearest route carry the incident's own street name, closer than ``limit``? (RL7)"""
     hit = nearest(points, routes, point_id="incident_id", key=["route_id"], carry=["name"], cell=cell)

@@ -103,7 +103,7 @@ class Scene(Tables):
 
     @cached_property
     def full_nodes(self) -> DataFrame:
-        return cut(A.junction_totals(self.marked_nodes, self.signal_status))
+        return cut(A.junction_totals(self.marked_nodes, R.incident_junctions(self.stored, self.nodes)))
 
     @cached_property
     def chains(self) -> DataFrame:

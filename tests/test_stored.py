@@ -2,6 +2,7 @@
 
 import pytest
 
+from curbline.operators import aggregates as A
 from curbline.operators import corridors as K
 from curbline.operators import rules as R
 from curbline.plans.fixtures import Tables
@@ -53,3 +54,11 @@ def test_distances_along_roads_read_incidents_once(spark):
     out = K.distance_stats(K.crossing_distances(_counted(incidents, seen), safe, ref)).collect()
     assert [(r["incidents"], r["fatal"], r["mean_m"], r["max_m"], r["median_m"]) for r in out] == [(2, 1, 35.0, 60.0, 35.0)]
     assert seen.value == 4
+
+
+def test_junction_totals_need_no_signals(spark):
+    scene = Scene(spark, FOLDER)
+    got = {tuple(r) for r in scene.full_nodes.select("node_id", "crashes", "deaths").collect()}
+    assert "signal_status" not in vars(scene)
+    assert got == {tuple(r) for r in A.junction_totals(scene.marked_nodes, scene.signal_status).select("node_id", "crashes", "deaths").collect()}
+    assert sum(crashes for _, crashes, _ in got) > 0
