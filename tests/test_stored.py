@@ -5,6 +5,7 @@ import pytest
 from curbline.operators import aggregates as A
 from curbline.operators import corridors as K
 from curbline.operators import rules as R
+from curbline.plans import scene as scenes
 from curbline.plans.fixtures import Tables
 from curbline.plans.scene import CITY_BOX, Scene
 
@@ -62,3 +63,20 @@ def test_junction_totals_need_no_signals(spark):
     assert "signal_status" not in vars(scene)
     assert got == {tuple(r) for r in A.junction_totals(scene.marked_nodes, scene.signal_status).select("node_id", "crashes", "deaths").collect()}
     assert sum(crashes for _, crashes, _ in got) > 0
+
+
+def test_nearest_streets_of_incidents_are_searched_once(spark, monkeypatch):
+    searched, search = [], R.nearest
+
+    def counted(points, pieces, **options):
+        searched.append((options["point_id"], *options["key"]))
+        return search(points, pieces, **options)
+
+    monkeypatch.setattr(R, "nearest", counted)
+    monkeypatch.setattr(scenes, "nearest", counted)
+    scene = Scene(spark, FOLDER)
+    got = {tuple(r) for r in scene.classified.select("incident_id", "seg_id", "seg_m", "owner").collect()}
+    assert scene.named.count() == scene.classified.count() == len(got) > 0
+    assert searched.count(("incident_id", "seg_id")) == 1
+    whole = R.classify_incidents(scene.stored, scene.rulebook, scene.routes)
+    assert got == {tuple(r) for r in whole.select("incident_id", "seg_id", "seg_m", "owner").collect()}
