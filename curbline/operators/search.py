@@ -195,7 +195,7 @@ def locate(queries: DataFrame, streets: DataFrame, node_streets: DataFrame, node
     parts = split_queries(queries, query_id=query_id, text=text)
     words = streets.select("base").unionByName(node_streets.select("base"))
     matches = match_parts(parts, words, aliases)
-    on_street = street_candidates(parts, matches, streets, query_id=query_id)
+    on_street = cut(street_candidates(parts, matches, streets, query_id=query_id))
     at_node = junction_candidates(parts.where("parts >= 2"), matches, node_streets, nodes, query_id=query_id)
     lost = parts.where("parts = 1").join(on_street.select(query_id).distinct(), query_id, "left_anti")
     fallback = junction_candidates(lost, matches, node_streets, nodes, query_id=query_id)
